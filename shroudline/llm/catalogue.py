@@ -3,11 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shroudline.llm import packing, tokens
+from shroudline.llm import conversations, copies, packing, tokens
 from shroudline.sources.tables import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.conversations(table(spark, d, "step_messages"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    nodes, n = copies.prepared(copies.keyed_nodes(table(spark, d, "nodes")))
+    items, i = copies.prepared(copies.keyed_items(table(spark, d, "collected_items")))
+    of_nodes = copies.copy_pairs(nodes, n).select(F.lit("nodes").alias("table_name"), "first_id", "copy_id")
+    of_items = copies.copy_pairs(items, i).select(F.lit("collected_items").alias("table_name"), "first_id", "copy_id")
+    return of_nodes.unionByName(of_items)
+
+
+def p5_representatives(spark: SparkSession, d: str) -> DataFrame:
+    nodes, n = copies.prepared(copies.keyed_nodes(table(spark, d, "nodes")))
+    items, i = copies.prepared(copies.keyed_items(table(spark, d, "collected_items")))
+    of_nodes = copies.representatives(nodes, n).select(F.lit("nodes").alias("table_name"), "first_id", "copies")
+    of_items = copies.representatives(items, i).select(F.lit("collected_items").alias("table_name"), "first_id", "copies")
+    return of_nodes.unionByName(of_items)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents"))
 
@@ -25,5 +46,13 @@ def p9_utilisation(spark: SparkSession, d: str) -> DataFrame:
     return packing.utilisation(p9_packed(spark, d), table(spark, d, "containers"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_counts": p8_counts, "p9_packed": p9_packed, "p9_utilisation": p9_utilisation}
+QUERIES = {
+    "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_representatives": p5_representatives,
+    "p8_ids": p8_ids,
+    "p8_counts": p8_counts,
+    "p9_packed": p9_packed,
+    "p9_utilisation": p9_utilisation,
+}
 ORACLE: dict[str, str] = {}

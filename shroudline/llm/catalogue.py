@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroudline.llm import conversations, copies, packing, tokens
+from shroudline.llm import conversations, copies, lookalikes, packing, residue, tokens
 from shroudline.sources.tables import table
 
 
@@ -13,6 +13,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "step_messages"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "nodes")
+    return lookalikes.same_looking(nodes, lookalikes.train(nodes))
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "nodes")
+    return lookalikes.canonical_texts(nodes, lookalikes.train(nodes), ["node_pk"]).select("node_pk", "canonical")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     nodes, n = copies.prepared(copies.keyed_nodes(table(spark, d, "nodes")))
     items, i = copies.prepared(copies.keyed_items(table(spark, d, "collected_items")))
@@ -29,6 +39,14 @@ def p5_representatives(spark: SparkSession, d: str) -> DataFrame:
     return of_nodes.unionByName(of_items)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.found(table(spark, d, "nodes"), table(spark, d, "audit_entries"))
+
+
+def p7_content(spark: SparkSession, d: str) -> DataFrame:
+    return residue.content(table(spark, d, "nodes")).select("node_pk", "text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents"))
 
@@ -48,8 +66,12 @@ def p9_utilisation(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_forms": p4_forms,
     "p5_found": p5_found,
     "p5_representatives": p5_representatives,
+    "p7_found": p7_found,
+    "p7_content": p7_content,
     "p8_ids": p8_ids,
     "p8_counts": p8_counts,
     "p9_packed": p9_packed,

@@ -30,7 +30,7 @@ GRAPH_TURNS = 20_000
 
 
 def _empty(c: Column) -> Column:
-    return F.coalesce(F.regexp_replace(c, r"[\s ]+", "").isin("", "null", "{}"), F.lit(True))
+    return F.coalesce(F.regexp_replace(c, r"[\s\u00a0]+", "").isin("", "null", "{}"), F.lit(True))
 
 
 def clean_turns(messages: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def clean_turns(messages: DataFrame) -> DataFrame:
     spelled = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])[said]
     unsaid = said.isNull() | (said == "")
     role = F.when(unsaid, F.when(_empty(F.col("action_json")), "user").otherwise("assistant")).otherwise(F.coalesce(spelled, said))
-    task = F.lower(F.regexp_replace("task_id", r"^[\s ]+|[\s ]+$", ""))
+    task = F.lower(F.regexp_replace("task_id", r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
     return (
         messages.select(task.alias("task_id"), "iteration", role.alias("role"), "msg_id", "received_at", "prompt", "action_json", "last_action_result")
         .where("task_id != '' and iteration is not null")

@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroudline.llm import conversations, copies, lookalikes, packing, residue, tokens
+from shroudline.llm import conversations, copies, lookalikes, packing, residue, tokens, truncation
 from shroudline.sources.tables import table
 
 
+def _p1_judged(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "nodes")
+    return truncation.judged(nodes, truncation.fit(truncation.training_texts(nodes, nodes.count())))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p1_judged(spark, d).where("cut").select("node_pk")
+
+
+def p1_share_by_host(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.shares(_p1_judged(spark, d), "host")
+
+
+def p1_share_by_site_config(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.shares(_p1_judged(spark, d), "site_config_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "step_messages"))
 
@@ -65,6 +82,9 @@ def p9_utilisation(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_share_by_host": p1_share_by_host,
+    "p1_share_by_site_config": p1_share_by_site_config,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_forms": p4_forms,

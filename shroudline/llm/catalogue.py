@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroudline.llm import conversations, copies, lookalikes, packing, residue, tokens, truncation
+from shroudline.llm import conversations, copies, lookalikes, mojibake, packing, residue, tokens, truncation
 from shroudline.sources.tables import table
 
 
@@ -81,6 +81,20 @@ def p9_utilisation(spark: SparkSession, d: str) -> DataFrame:
     return packing.utilisation(p9_packed(spark, d), table(spark, d, "containers"))
 
 
+def _p10_judged(spark: SparkSession, d: str, restore: bool) -> DataFrame:
+    documents = table(spark, d, "documents")
+    classifier = mojibake.fit(mojibake.training_words(documents, documents.count()))
+    return mojibake.judged(documents, classifier, restore=restore)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p10_judged(spark, d, False).where("garbled").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _p10_judged(spark, d, True).where("garbled").select("doc_id", F.col("restored").alias("text"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_share_by_host": p1_share_by_host,
@@ -96,5 +110,7 @@ QUERIES = {
     "p8_counts": p8_counts,
     "p9_packed": p9_packed,
     "p9_utilisation": p9_utilisation,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
 }
 ORACLE: dict[str, str] = {}

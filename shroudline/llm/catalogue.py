@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroudline.llm import conversations, copies, lookalikes, mojibake, packing, residue, tokens, truncation
+from shroudline.llm import conversations, copies, lookalikes, mojibake, packing, personal, residue, tokens, truncation
 from shroudline.sources.tables import table
 
 
@@ -56,6 +56,20 @@ def p5_representatives(spark: SparkSession, d: str) -> DataFrame:
     return of_nodes.unionByName(of_items)
 
 
+def _p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    return personal.all_texts(table(spark, d, "nodes"), table(spark, d, "step_messages"), table(spark, d, "collected_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = _p6_texts(spark, d)
+    return personal.occurrences(texts, personal.bootstrap(spark, texts))
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    texts = _p6_texts(spark, d)
+    return personal.redacted(texts, personal.bootstrap(spark, texts))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.found(table(spark, d, "nodes"), table(spark, d, "audit_entries"))
 
@@ -104,6 +118,8 @@ QUERIES = {
     "p4_forms": p4_forms,
     "p5_found": p5_found,
     "p5_representatives": p5_representatives,
+    "p6_found": p6_found,
+    "p6_redacted": p6_redacted,
     "p7_found": p7_found,
     "p7_content": p7_content,
     "p8_ids": p8_ids,

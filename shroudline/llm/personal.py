@@ -34,14 +34,14 @@ KINDS = ("EMAIL", "ADDRESS", "ID", "PHONE", "NAME")
 PATTERN_BITS, INSTANCE_BITS = 18, 20
 ROUNDS = 3
 #: Least share of known instances, and least number of different ones, that make a pattern trusted.
-PATTERN_SHARE, PATTERN_DISTINCT = 0.6, 4
+PATTERN_SHARE, PATTERN_DISTINCT = 0.8, 4
 INSTANCE_SCORE = 0.5
 
 _S = r"[\s ]"
 EMAIL = re.compile(
     rf"(?<![\w@.])(?:mailto:)?[\w.+'-]+(?:@|{_S}@{_S}|＠)[\w-]+(?:\.[\w-]+)+"
     rf"|(?<![\w@.])[\w.+-]+{_S}*(?:\[at\]|\(at\)|\{{at\}}|<at>){_S}*[\w-]+(?:{_S}*(?:\.|\[dot\]|\(dot\)|\{{dot\}}){_S}*[\w-]+)+"
-    rf"|(?<![\w@.])[\w+-]+(?:{_S}+dot{_S}+[\w+-]+){{0,4}}{_S}+at{_S}+[\w-]+(?:{_S}+dot{_S}+[\w-]+)+",
+    rf"|(?<![\w@.])(?!(?:me|us|him|her|them|it|you|is|be|are|or|and|to|look|mail|email|write|reach)\b)[\w+-]+(?:{_S}+dot{_S}+[\w+-]+){{0,4}}{_S}+at{_S}+[\w-]+(?:{_S}+dot{_S}+[\w-]+)+",
     re.I,
 )
 #: Words for a street, by language, and what stands before a flat or house number.
@@ -89,8 +89,8 @@ def _h(s: str, bits: int) -> int:
 
 def _pattern(text: str, start: int, end: int) -> str:
     """The two words before and the word after a candidate."""
-    before = re.findall(r"\w+|[^\w\s]", text[max(0, start - 30) : start].lower())[-2:]
-    after = re.findall(r"\w+|[^\w\s]", text[end : end + 16].lower())[:1]
+    before = re.findall(r"\w+|[^\w\s]", text[max(0, start - 30) : start])[-2:]
+    after = re.findall(r"\w+|[^\w\s]", text[end : end + 16])[:1]
     return " ".join("0" if w.isdigit() else w for w in before) + " | " + "".join("0" if w.isdigit() else w for w in after)
 
 
@@ -164,7 +164,8 @@ def _names(text: str, known: Lexicon) -> list[tuple[int, int]]:
             j = i + 1
             while j < n and j < i + 4 and _initial(words[j][0]) and near(j):
                 j += 1
-            if flags[j] & 1 and (flags[i] & 2 or _initial(word) or words[j][0][0].isupper() and not text[end : words[j][1]].strip()):
+            backwards = flags[j] & 1 and j + 1 < n and flags[j + 1] & 2 and _COMMA.match(gap(j)) and not flags[i] & 2
+            if flags[j] & 1 and not backwards and (flags[i] & 2 or _initial(word) or words[j][0][0].isupper() and not text[end : words[j][1]].strip()):
                 last = j
         if last is None and _cap(word) and i + 1 < n and known.name_patterns.any():
             j = i + 1
@@ -172,7 +173,7 @@ def _names(text: str, known: Lexicon) -> list[tuple[int, int]]:
                 j += 1
             if j < n and _cap(words[j][0]) and re.fullmatch(r"[\s ](?:[A-Z]\.[\s ])*|,[\s ]", text[end : words[j][1]]):
                 stop = words[j][2] - words[j][0].endswith(".")
-                if known.name_patterns[_h(_pattern(text, start, stop), PATTERN_BITS)]:
+                if text[:start].strip(" \0") and known.name_patterns[_h(_pattern(text, start, stop), PATTERN_BITS)]:
                     last = j
         if last is not None:
             out.append((start, words[last][2] - (words[last][0].endswith(".") and not _initial(words[last][0]))))

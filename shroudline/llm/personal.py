@@ -103,19 +103,31 @@ class Lexicon:
 
     def __init__(self, family: np.ndarray, given: np.ndarray, name_patterns: np.ndarray, id_patterns: np.ndarray) -> None:
         self.family, self.given, self.name_patterns, self.id_patterns = family, given, name_patterns, id_patterns
+        self.some_names, self.some_ids = bool(name_patterns.any()), bool(id_patterns.any())
         self.memo: dict[str, int] = {}
 
+    def named(self, text: str) -> bool:
+        """Some word of the text is a known name or a title."""
+        get = self.memo.get
+        for word in text.split():
+            got = get(word)
+            if got or got is None and self.flags(word):
+                return True
+        return False
+
     def flags(self, word: str) -> int:
-        """1: known family name, 2: known given name."""
+        """1: known family name, 2: known given name, 4: a title."""
         got = self.memo.get(word)
         if got is None:
             if len(self.memo) > 300_000:
                 self.memo.clear()
             key = fold(word.strip(".,;:!?\"'“”«»()[]"))
             got = 0
-            if len(key) > 2 and not key.isdigit():
+            if len(key) > 2 and key.isalpha():
                 at = _h(key, INSTANCE_BITS)
                 got = int(self.family[at]) | 2 * int(self.given[at])
+            if key in TITLES:
+                got |= 4
             self.memo[word] = got
         return got
 
@@ -167,7 +179,7 @@ def _names(text: str, known: Lexicon) -> list[tuple[int, int]]:
             backwards = flags[j] & 1 and j + 1 < n and flags[j + 1] & 2 and _COMMA.match(gap(j)) and not flags[i] & 2
             if flags[j] & 1 and not backwards and (flags[i] & 2 or _initial(word) or words[j][0][0].isupper() and not text[end : words[j][1]].strip()):
                 last = j
-        if last is None and _cap(word) and i + 1 < n and known.name_patterns.any():
+        if last is None and known.some_names and _cap(word) and i + 1 < n:
             j = i + 1
             while j < n and j < i + 3 and _initial(words[j][0]):
                 j += 1
@@ -183,6 +195,17 @@ def _names(text: str, known: Lexicon) -> list[tuple[int, int]]:
     return out
 
 
+#: Parts of the words that addresses hold, in lower case; a text without any needs no search.
+_PLACES = ("nagar", "colony", "layout", "puram", "vihar", "marg", "lane", " ln", "street", " st", "road", " rd", " ave", "close", "cresc", "drive", " dr", " row", " way", "court", " ct", "place", " pl",
+           "square", " sq", "terrace", "boulev", "blvd", "garden", "grove", " walk", "mews", "parade", "highway", "hwy", "straße", "strasse", "weg ", "gasse", "platz", "allee", "ring ", "damm", "ufer",
+           "am ", "an der", "im ", "zum ", "zur ", "rue ", "allée", "chemin", "impasse", "quai", "route", "cours", "calle", "avenida", "avda", "plaza", "paseo", "camino", "rua ", "ulica", "ul.")
+_MIXED = re.compile(r"[A-Za-z]\d{4}[A-Za-z]")
+
+
+def _count_digits(s: str) -> int:
+    return sum(map(s.count, "0123456789"))
+
+
 def _digits(s: str) -> int:
     return sum(map(str.isdigit, s))
 
@@ -204,18 +227,22 @@ def spans(text: str | None, known: Lexicon = EMPTY) -> list[tuple[int, int, str]
         for m in _HELD.finditer(text):
             masked = masked[: m.start()] + "\0" * (m.end() - m.start()) + masked[m.end() :]
     low = text.lower()
+    digits = _count_digits(text)
     if "@" in text or "＠" in text or "at]" in low or "at)" in low or " dot " in low:
         take("EMAIL", [m.span() for m in EMAIL.finditer(masked)])
-    if any(c.isdigit() for c in text):
-        view = masked.title() if text.islower() or text.swapcase().istitle() or text.isupper() else masked
-        take("ADDRESS", [m.span() for m in ADDRESS.finditer(view if len(view) == len(masked) else masked)])
-        take("ID", [m.span() for m in ID.finditer(masked) if not _GOODS.search(masked[max(0, m.start() - 20) : m.start()])])
-        take("PHONE", [m.span() for m in PHONE.finditer(masked) if 8 <= _digits(re.split(r"(?i)\s*(?:ext|x)", m.group(0))[0]) <= 15 and not _GOODS.search(masked[max(0, m.start() - 20) : m.start()])])
-        if known.id_patterns.any():
+    if digits:
+        if any([w in low for w in _PLACES]):
+            view = masked.title() if text.islower() or text.swapcase().istitle() or text.isupper() else masked
+            take("ADDRESS", [m.span() for m in ADDRESS.finditer(view if len(view) == len(masked) else masked)])
+        if digits >= 7 or _MIXED.search(text):
+            take("ID", [m.span() for m in ID.finditer(masked) if not _GOODS.search(masked[max(0, m.start() - 20) : m.start()])])
+        if digits >= 8:
+            take("PHONE", [m.span() for m in PHONE.finditer(masked) if 8 <= _digits(re.split(r"(?i)\s*(?:ext|x)", m.group(0))[0]) <= 15 and not _GOODS.search(masked[max(0, m.start() - 20) : m.start()])])
+        if digits >= 6 and known.some_ids:
             take("ID", [m.span() for m in _NUMBER.finditer(masked) if _digits(m.group(0)) >= 6 and known.id_patterns[_h(_pattern(masked, *m.span()), PATTERN_BITS)] and not _GOODS.search(masked[max(0, m.start() - 20) : m.start()])])
     if "श्री" in text or "डॉ" in text or "सुश्री" in text:
         take("NAME", [m.span() for m in _HINDI.finditer(masked)])
-    if any([known.flags(w) or w.rstrip(".").lower() in TITLES for w in masked.split()]) or known.name_patterns.any() and _CAPS.search(masked):
+    if known.named(masked) or known.some_names and _CAPS.search(masked):
         take("NAME", _names(masked, known))
     return sorted(found)
 
@@ -273,12 +300,12 @@ def edges(texts: DataFrame) -> DataFrame:
                         total["name", p, _h(fold(family), INSTANCE_BITS)] += 1
                         if given:
                             total["first", p, _h(fold(given), INSTANCE_BITS)] += 1
-                if any(c.isdigit() for c in t):
+                if _count_digits(t) >= 6:
                     known = [m.span() for m in ID.finditer(t)]
                     for a, b in known:
                         total["id", _h(_pattern(t, a, b), PATTERN_BITS), _h(_shape(t[a:b]), INSTANCE_BITS)] += 1
                     for m in _NUMBER.finditer(t):
-                        if _digits(m.group(0)) >= 2 and not any(a < m.end() and m.start() < b for a, b in known):
+                        if _digits(m.group(0)) >= 6 and not any(a < m.end() and m.start() < b for a, b in known):
                             total["number", _h(_pattern(t, *m.span()), PATTERN_BITS), 0] += 1
         keys = list(total)
         yield pa.RecordBatch.from_arrays(

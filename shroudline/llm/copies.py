@@ -26,7 +26,8 @@ _DROP = r"[\p{P}\p{Z}\p{C}\s]+"
 
 def fold_text(c: Column) -> Column:
     """Text without white space, punctuation, invisible characters and letter case (sharp s and final sigma included)."""
-    return F.translate(F.regexp_replace(F.lower(F.upper(c)), _DROP, ""), "ςſ", "σs")
+    low = F.replace(F.lower(F.upper(c)), F.lit("ß"), F.lit("ss"))
+    return F.translate(F.regexp_replace(low, _DROP, ""), "ςſ", "σs")
 
 
 def fold_json(c: Column) -> Column:

@@ -18,7 +18,8 @@ def append_log(entries: DataFrame, folder: str, rows_per_file: int = 100_000) ->
 
 def read_log(spark: SparkSession, folder: str) -> DataFrame:
     """All readable lines; broken ones are left out."""
-    return spark.read.schema(LINE).option("mode", "PERMISSIVE").json(folder).where("_corrupt_record is null").drop("_corrupt_record")
+    lines = spark.read.text(folder).select(F.from_json("value", LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    return lines.where("r is not null and r._corrupt_record is null").select("r.*").drop("_corrupt_record")
 
 
 def tail(log: DataFrame, n: int) -> DataFrame:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shroudline.operators.groups import sorted_groups
+
 
 #: Types whose values are compared by their digits only.
 DIGIT_TYPES = ("PHONE", "CC", "AADHAAR", "BANK_ACCOUNT", "OTP", "CVV", "PINCODE")
@@ -161,24 +163,22 @@ def surrogates(types: Column, values: Column) -> Column:
     return run(types, values)
 
 
-def mint(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One scope's vault rows in first-seen order with surrogates; at most 25 tries to avoid a real or taken value, else the token."""
-    pdf = pdf.sort_values(["type", "n"], kind="stable")
-    real, taken, out = set(pdf["value"]), set(), []
-    for t, key, value, token in zip(pdf["type"], pdf["norm_key"], pdf["value"], pdf["token"]):
+def mint(rows: list[tuple]) -> list[tuple]:
+    """One scope's vault rows (scope, type, n, norm_key, value, token) in first-seen order with surrogates; at most 25 tries to avoid a real or taken value, else the token."""
+    real, taken, out = {r[4] for r in rows}, set(), []
+    for scope, type_, n, key, value, token in rows:
         made = None
         for bump in range(25):
-            made = surrogate(t, value, seed_of(f"{t}:{t}:{key}:{bump}"))
+            made = surrogate(type_, value, seed_of(f"{type_}:{type_}:{key}:{bump}"))
             if made is None or made not in real and made not in taken:
                 break
             made = None
-        out.append(made or token)
-        taken.add(out[-1])
-    return pdf.assign(surrogate=out)[["scope", "type", "n", "token", "surrogate"]]
+        taken.add(made or token)
+        out.append((scope, type_, n, token, made or token))
+    return out
 
 
 def minted(vault: DataFrame) -> DataFrame:
-    """(scope, type, n, token, surrogate); a scope is one task's vault."""
-    return vault.groupBy("scope").applyInPandas(mint, "scope string, type string, n int, token string, surrogate string")
-
-
+    """(scope, type, n, token, surrogate); a scope is one task's vault, whose placeholders a task has at hand anyway."""
+    slim = vault.select("scope", "type", "n", "norm_key", "value", "token")
+    return sorted_groups(slim, ["scope"], ["type", "n"], mint, "scope string, type string, n int, token string, surrogate string")

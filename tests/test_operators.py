@@ -33,9 +33,9 @@ def test_surrogates_are_stable_and_of_their_kind(spark):
         assert vault.surrogate(t, " Value ") == vault.surrogate(t, "value") != vault.surrogate(t, "other")
     assert vault.surrogate("PAN", "x") is None
     assert vault.seed_of("abc") == 440920331
-    pdf = pd.DataFrame({"scope": "s", "type": "NAME", "norm_key": [f"k{i}" for i in range(60)], "n": range(1, 61), "token": [f"[NAME_{i}]" for i in range(60)], "value": [f"v{i}" for i in range(60)]})
-    minted = vault.mint(pdf)["surrogate"]
-    assert minted.is_unique and not set(minted) & set(pdf["value"])
+    rows = [("s", "NAME", i + 1, f"k{i}", f"v{i}", f"[NAME_{i}]") for i in range(60)]
+    minted = [r[4] for r in vault.mint(rows)]
+    assert len(set(minted)) == 60 and not set(minted) & {r[4] for r in rows}
 
 
 # scrub

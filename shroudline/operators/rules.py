@@ -95,10 +95,12 @@ class Rule:
     not_after: re.Pattern | None = None
     weak: bool = False
 
+    hindi: bool = False
+
 
 def _r(type_: str, pattern: str, group: int = 0, valid=None, not_after: str | None = None, weak: bool = False, ignore_case: bool = False) -> Rule:
     flags = re.ASCII | (re.IGNORECASE if ignore_case else 0)
-    return Rule(type_, re.compile(pattern, flags), group, valid, re.compile(not_after, re.ASCII | re.IGNORECASE) if not_after else None, weak)
+    return Rule(type_, re.compile(pattern, flags), group, valid, re.compile(not_after, re.ASCII | re.IGNORECASE) if not_after else None, weak, pattern.startswith(("(?:ओ", "(?:स", "(?:ज", "(?:प", "(?:ख", _HI_TITLE, _HI_HOUSE, _HI_CITY)))
 
 
 def _switches(v: str) -> bool:
@@ -179,10 +181,12 @@ def rule_spans(text: str | None) -> list[Span]:
     if not text:
         return []
     flat, places = scan_form(text)
-    has_digit = any("0" <= c <= "9" for c in flat)
+    digits, low = sum(map(flat.count, "0123456789")), flat.lower()
+    hindi = not flat.isascii() and _DEVANAGARI.search(flat) is not None
     found: list[Span] = []
     for rule in RULES:
-        if not has_digit and rule.type not in _WITHOUT_DIGITS:
+        # what every match of the rule must hold, tested before its pattern is searched
+        if digits < _LEAST_DIGITS.get(rule.type, 0) or rule.type in _MARKS and not any([m in low for m in _MARKS[rule.type]]) or rule.hindi and not hindi:
             continue
         for m in rule.pattern.finditer(flat):
             value = m.group(rule.group)
@@ -204,7 +208,10 @@ def rule_spans(text: str | None) -> list[Span]:
     return resolve(found)
 
 
-_WITHOUT_DIGITS = frozenset({"EMAIL", "UPI", "PASSWORD", "NAME", "LOCATION", "SECRET"})
+_DEVANAGARI = re.compile("[\u0900-\u097f]")
+#: Digits (or, for IPv6, colons) and words without which no rule of a type can match.
+_LEAST_DIGITS = {"OTP": 4, "CVV": 3, "GSTIN": 6, "PAN": 4, "DRIVING_LICENSE": 13, "PASSPORT": 6, "VOTER_ID": 7, "SSN": 9, "CC": 13, "AADHAAR": 4, "BANK_ACCOUNT": 6, "DOB": 3, "PHONE": 9, "ADDRESS": 1, "PINCODE": 6}
+_MARKS = {"EMAIL": ("@",), "UPI": ("@",), "PASSWORD": ("password", "passwd", "pwd", "passcode", "pin"), "IP": (".", ":"), "VOTER_ID": ("voter", "epic"), "NAME": ("\u0936\u094d\u0930\u0940", "\u0938\u0941\u0936\u094d\u0930\u0940", "\u0915\u0941\u092e\u093e\u0930\u0940", "\u0921\u0949")}
 
 
 def resolve(spans: list[Span]) -> list[Span]:

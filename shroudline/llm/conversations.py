@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shroudline.operators.groups import sorted_groups
+from shroudline.session import cut
+
 #: Spellings of the roles.
 ROLES = {"system": "system", "user": "user", "client": "user", "human": "user", "assistant": "assistant", "model": "assistant", "agent": "assistant"}
 #: Turns of a reply graph that one task sorts; larger graphs are ordered by a window.
@@ -71,7 +73,7 @@ def _iterations(turns: DataFrame) -> DataFrame:
 
 def judged_iterations(turns: DataFrame) -> DataFrame:
     """The iterations with ``sound`` (complete by itself) and ``linked`` (its reply edge to the iteration before exists)."""
-    each = _iterations(turns)
+    each = cut(_iterations(turns))  # read twice below, so written once: a few numbers a row
     before = each.select(F.col("task_id").alias("b_task"), (F.col("iteration") + 1).alias("b_next"), F.col("did").alias("b_did"), F.col("assistants").alias("b_assistants"))
     joined = each.join(before, (F.col("task_id") == F.col("b_task")) & (F.col("iteration") == F.col("b_next")), "left")
     start = F.col("iteration") == 0
@@ -112,40 +114,36 @@ def kahn(nodes: list[tuple], edges: list[tuple]) -> tuple[list, list]:
 _FOUND = "task_id string, turn bigint, msg_role string, msg_id bigint"
 
 
-def _sort_task(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The ordered turns of one task, or no row where the reply graph is not one whole chain."""
-    empty = pd.DataFrame({"task_id": [], "turn": [], "msg_role": [], "msg_id": []})
+def sort_task(rows: list[tuple]) -> list[tuple]:
+    """The ordered turns of one task's (task, iteration, s_id, s_at, u_id, u_at, a_id, a_at), or nothing where the reply graph is not one whole chain."""
     nodes, edges, ids = [], [], {}
-    for r in pdf.itertuples(index=False):
-        for letter, rank in (("s", 0), ("u", 1), ("a", 2)):
-            msg = getattr(r, letter + "_id")
-            if not pd.isna(msg):
-                key = (int(r.iteration), rank)
-                at = getattr(r, letter + "_at")
-                ids[key] = int(msg)
-                nodes.append((key, float("inf") if pd.isna(at) else at.timestamp()))
-        if r.iteration >= 1:
-            edges.append(((r.iteration, 1), (r.iteration, 2)))
-            edges.append(((r.iteration - 1, 2), (r.iteration, 1)) if r.iteration > 1 else ((0, 0), (1, 1)))
+    for _, iteration, *turns in rows:
+        for rank, (msg, at) in enumerate(zip(turns[::2], turns[1::2])):
+            if msg is not None:
+                ids[iteration, rank] = msg
+                nodes.append(((iteration, rank), float("inf") if at is None else at.timestamp()))
+        if iteration >= 1:
+            edges.append(((iteration, 1), (iteration, 2)))
+            edges.append(((iteration - 1, 2), (iteration, 1)) if iteration > 1 else ((0, 0), (1, 1)))
     order, leftover = kahn(nodes, edges)
-    roles = [("system", "user", "assistant")[k[1]] for k in order]
+    roles = [("system", "user", "assistant")[rank] for _, rank in order]
     talk = [r for r in roles if r != "system"]
-    whole = not leftover and talk and talk == ["user", "assistant"] * (len(talk) // 2) and "system" not in roles[1:]
-    if not whole:
-        return empty
-    return pd.DataFrame({"task_id": pdf["task_id"].iloc[0], "turn": range(1, len(order) + 1), "msg_role": roles, "msg_id": [ids[k] for k in order]})
+    if leftover or not talk or talk != ["user", "assistant"] * (len(talk) // 2) or "system" in roles[1:]:
+        return []
+    return [(rows[0][0], n, role, ids[key]) for n, (key, role) in enumerate(zip(order, roles), 1)]
 
 
 def conversations(messages: DataFrame, graph_turns: int = GRAPH_TURNS) -> DataFrame:
     """(task_id, turn, msg_role, msg_id) of every kept conversation."""
-    judged = judged_iterations(clean_turns(messages))
+    judged = cut(judged_iterations(clean_turns(messages)))
     exchanges = F.col("iteration") >= 1
     tasks = judged.groupBy("task_id").agg(
         F.min(F.col("sound") & F.col("linked")).alias("ok"), F.count(F.when(exchanges, 1)).alias("n"), F.max("iteration").alias("last"), F.min("iteration").alias("first")
     )
     kept = tasks.where("ok and n >= 1 and n = last and first >= 0").select(F.col("task_id").alias("k_task"), F.col("n").alias("k_n"))
     whole = judged.join(kept, F.col("task_id") == F.col("k_task")).drop("k_task", "sound", "linked")
-    small = whole.where(F.col("k_n") * 2 + 1 <= graph_turns).drop("k_n").groupBy("task_id").applyInPandas(_sort_task, _FOUND)
+    small = whole.where(F.col("k_n") * 2 + 1 <= graph_turns).select("task_id", "iteration", "s_id", "s_at", "u_id", "u_at", "a_id", "a_at")
+    sorted_small = sorted_groups(small, ["task_id"], ["iteration"], sort_task, _FOUND)
     large = whole.where(F.col("k_n") * 2 + 1 > graph_turns)
     system = F.max(F.when(F.col("iteration") == 0, 1).otherwise(0)).over(Window.partitionBy("task_id"))
     placed = large.withColumn("shift", system).select(
@@ -155,4 +153,4 @@ def conversations(messages: DataFrame, graph_turns: int = GRAPH_TURNS) -> DataFr
             F.struct((F.col("shift") + 2 * F.col("iteration")).cast("bigint").alias("turn"), F.lit("assistant").alias("msg_role"), F.col("a_id").alias("msg_id")),
         )).alias("t"),
     ).where("t.msg_id is not null").select("task_id", "t.turn", "t.msg_role", "t.msg_id")
-    return small.unionByName(placed)
+    return sorted_small.unionByName(placed)

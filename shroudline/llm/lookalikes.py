@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -177,7 +178,7 @@ def train(texts: DataFrame, text: str = "text") -> dict[str, int]:
     return {r.pair: r.n for r in rows}
 
 
-_lattices: dict[int, Lattice] = {}
+_lattices: dict[str, Lattice] = {}
 
 
 def _lattice(shared) -> Lattice:
@@ -191,7 +192,7 @@ def _lattice(shared) -> Lattice:
 class _Shared:
     def __init__(self, spark, counts: dict[str, int]) -> None:
         self.counts = spark.sparkContext.broadcast(counts)
-        self.id = id(counts)
+        self.id = uuid.uuid4().hex
 
 
 def canonical_texts(df: DataFrame, counts: dict[str, int], keys: list[str], text: str = "text") -> DataFrame:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -375,12 +376,12 @@ def all_texts(nodes: DataFrame, messages: DataFrame, items: DataFrame) -> DataFr
     return of_nodes.unionByName(of_prompts).unionByName(item_texts(items)).where("rec_id is not null and text is not null")
 
 
-_known: dict[int, Lexicon] = {}
+_known: dict[str, Lexicon] = {}
 
 
 def _share(spark: SparkSession, known: Lexicon):
     shared = spark.sparkContext.broadcast((known.family, known.given, known.name_patterns, known.id_patterns))
-    token = id(shared)
+    token = uuid.uuid4().hex
 
     def get() -> Lexicon:
         if token not in _known:

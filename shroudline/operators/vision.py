@@ -69,6 +69,18 @@ def prototypes(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     return gathered.select("class", l2_normalize(F.col("emb")).alias("emb"))
 
 
+def train_head(vectors: DataFrame, label: str, vector: str, key: str, rounds: int = 60) -> DataFrame:
+    """(key, label, predicted): a multinomial logistic head fitted over all rows with classes balanced by weight, and its answers."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    counts = vectors.groupBy(F.col(label).alias("c_label")).agg(F.count("*").alias("c"))
+    rows = vectors.select(key, F.col(label).cast("double").alias("label"), array_to_vector(vector).alias("features"))
+    weighted = rows.join(F.broadcast(counts), rows["label"] == counts["c_label"].cast("double")).select(key, "label", "features", (1.0 / F.col("c")).alias("weight"))
+    model = LogisticRegression(family="multinomial", weightCol="weight", maxIter=rounds, regParam=0.001).fit(weighted)
+    return model.transform(weighted).select(key, F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
+
+
 def fuse(probabilities: DataFrame, priors: DataFrame, key: str) -> DataFrame:
     """(key, class, p): softmax of log probability (at least 1e-6) plus prior evidence."""
     joined = probabilities.join(priors, [key, "class"], "left")

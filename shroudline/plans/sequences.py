@@ -193,6 +193,12 @@ def confusion(spark: SparkSession, d: str) -> DataFrame:
     return metrics.confusion(joined, "label", "class")
 
 
+def head_training(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy of each class under a softmax head trained here, classes balanced by weight."""
+    done = vision.train_head(_embeddings(spark, d), "label", "embedding", "vec_id")
+    return metrics.class_accuracy(done, "label", "predicted")
+
+
 def _features(spark: SparkSession, d: str) -> DataFrame:
     """Structural counts of each page from its nodes; counts the pages do not have are zero."""
     n = lambda c: F.count(F.when(c, 1)).alias
@@ -293,7 +299,7 @@ def rate_limit_window(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     dedupe_first, merge_cap, fact_upsert, template_upsert, newest_per_user, reading_order, roi_top, marks, field_texts, site_config_join, mock_collect, synth_concat, sanitize_items, repeat_streak, no_progress, url_visits, retry_guard, frame_tree,
-    floor_percentile, median_loop, stage_average, success_rate, engine_stats, image_rate, arms, l2_normalize, zero_shot, zero_shot_top, class_accuracy, confusion, screen_priors, fuse_priors, feature_vector, hamming_pairs, iou_pairs, mosaic_cells, nms_boxes, ctc,
+    floor_percentile, median_loop, stage_average, success_rate, engine_stats, image_rate, arms, l2_normalize, zero_shot, zero_shot_top, class_accuracy, confusion, head_training, screen_priors, fuse_priors, feature_vector, hamming_pairs, iou_pairs, mosaic_cells, nms_boxes, ctc,
     span_prf, face_match, pixel_prf, group_folds, rate_limit_window,
 )}
 
@@ -304,7 +310,16 @@ _PROTO = """WITH e AS (SELECT vec_id, label::VARCHAR AS class, generate_subscrip
  s AS (SELECT vec_id, u.class, 100 * sum(x * m) AS s FROM e JOIN u USING (i) GROUP BY ALL),
  p AS (SELECT vec_id, class, exp(s - max(s) OVER w) / sum(exp(s - mx)) OVER w AS p FROM (SELECT *, max(s) OVER (PARTITION BY vec_id) AS mx FROM s) WINDOW w AS (PARTITION BY vec_id)),
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, class) AS INTEGER) AS rank FROM p)"""
+_JSON = "CASE WHEN json_valid(item_json) THEN item_json END"
+_VALID = f"coalesce(json_type({_JSON}) = 'OBJECT', false)"
+_FIELD = f"CASE WHEN {_VALID} THEN json_extract_string({_JSON}, '$.{{}}') END"
 ORACLE = {
+    "dedupe_first": "SELECT key, min(item_id) AS item_id, arg_min({'t': task_id}, item_id).t AS task_id FROM (SELECT item_id, task_id, coalesce(" + ", ".join(f"nullif({_FIELD.format(k)}, '')" for k in ("href", "url", "text")) + ", item_json) AS key FROM collected_items WHERE item_json IS NOT NULL) GROUP BY key",
+    "sanitize_items": "SELECT item_id, " + ", ".join(f"left({_FIELD.format(k)}, 60) AS {k}" for k in ("author", "text", "timestamp", "href")) + f" FROM collected_items WHERE {_VALID}",
+    "face_match": f"""WITH g AS (SELECT page_id, node_pk AS gold_id, rect.x::DOUBLE AS ax, rect.y::DOUBLE AS ay, rect.w::DOUBLE AS aw, rect.h::DOUBLE AS ah FROM nodes WHERE rect.w > 0 AND rect.h > 0 AND node_pk % 4 > 0),
+        p AS (SELECT page_id, node_pk AS pred_id, rect.x + 3.0::DOUBLE AS bx, rect.y + 3.0::DOUBLE AS by_, rect.w::DOUBLE AS bw, rect.h::DOUBLE AS bh FROM nodes WHERE rect.w > 0 AND rect.h > 0 AND (node_pk + 3) % 4 > 0),
+        j AS (SELECT *, greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0, least(ay + ah, by_ + bh) - greatest(ay, by_)) AS i FROM g JOIN p USING (page_id)), k AS (SELECT page_id, pred_id, gold_id, {_IOU} AS iou FROM j)
+        SELECT page_id, pred_id, arg_max(gold_id, (iou, -gold_id)) AS gold_id, round(max(iou), 6) AS iou FROM k WHERE iou >= 0.5 GROUP BY page_id, pred_id""",
     "merge_cap": """WITH o AS (SELECT href, min(node_pk) AS node_pk FROM nodes WHERE href IS NOT NULL AND node_pk % 2 = 0 GROUP BY href),
         f AS (SELECT href, min(node_pk) AS node_pk FROM nodes WHERE href IS NOT NULL AND node_pk % 2 = 1 AND href NOT IN (SELECT href FROM o) GROUP BY href)
         SELECT href, node_pk FROM (SELECT *, 0 AS part FROM o UNION ALL SELECT *, 1 FROM f) ORDER BY part, node_pk, href LIMIT 3000""",

@@ -131,15 +131,15 @@ def _boundaries(df: DataFrame, chunk: int, overlap: int) -> DataFrame:
                 names=[*batch.schema.names, "heads", "tails"],
             )
 
-    return df.mapInArrow(run, "row bigint, k bigint, n bigint, slice string, heads array<bigint>, tails array<bigint>")
+    return df.mapInArrow(run, "row bigint, k bigint, n bigint, slice string, doc_id bigint, heads array<bigint>, tails array<bigint>")
 
 
 def _long_pieces(df: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(row, run, piece) of texts longer than a chunk, cut only at stitched boundaries."""
+    """(row, run, doc_id, piece) of texts longer than a chunk, cut only at stitched boundaries."""
     n = F.length("text").cast("bigint")
-    chunks = df.select("row", n.alias("n"), "text", F.explode(F.sequence(F.lit(0).cast("bigint"), ((n - 1) / chunk).cast("bigint"))).alias("k"))
+    chunks = df.select("row", "doc_id", n.alias("n"), "text", F.explode(F.sequence(F.lit(0).cast("bigint"), ((n - 1) / chunk).cast("bigint"))).alias("k"))
     start = F.greatest(F.lit(0), F.col("k") * chunk - overlap)
-    sliced = chunks.select("row", "k", "n", F.col("text").substr((start + 1).cast("int"), ((F.col("k") + 1) * chunk + overlap - start).cast("int")).alias("slice"))
+    sliced = chunks.select("row", "k", "n", F.col("text").substr((start + 1).cast("int"), ((F.col("k") + 1) * chunk + overlap - start).cast("int")).alias("slice"), "doc_id")
     in_order = Window.partitionBy("row").orderBy("k")
     marked = (
         _boundaries(sliced.repartition("row", "k"), chunk, overlap)
@@ -149,15 +149,15 @@ def _long_pieces(df: DataFrame, chunk: int, overlap: int) -> DataFrame:
     head = F.greatest(F.lit(0), F.col("k") * chunk - overlap)
     core = F.col("slice").substr((F.col("k") * chunk - head + 1).cast("int"), F.lit(chunk + overlap))
     runs = (
-        marked.select("row", "run", "k", "n", "stitch", core.alias("core"))
+        marked.select("row", "run", "doc_id", "k", "n", "stitch", core.alias("core"))
         .groupBy("row", "run")
-        .agg(F.min("k").alias("k0"), F.max("n").alias("n"), F.max("stitch").alias("stitch"), F.array_sort(F.collect_list(F.struct("k", "core"))).alias("parts"))
+        .agg(F.max("doc_id").alias("doc_id"), F.min("k").alias("k0"), F.max("n").alias("n"), F.max("stitch").alias("stitch"), F.array_sort(F.collect_list(F.struct("k", "core"))).alias("parts"))
     )
     last = F.element_at("parts", -1)["core"]
     fronts = F.transform(F.slice("parts", F.lit(1), F.size("parts") - 1), lambda p: F.substring(p["core"], 1, chunk))
     until = F.coalesce(F.lead("stitch").over(Window.partitionBy("row").orderBy("run")), F.col("n"))
     return runs.select(
-        "row", "run", F.concat(F.array_join(fronts, ""), last).substr((F.col("stitch") - F.col("k0") * chunk + 1).cast("int"), (until - F.col("stitch")).cast("int")).alias("piece")
+        "row", "run", "doc_id", F.concat(F.array_join(fronts, ""), last).substr((F.col("stitch") - F.col("k0") * chunk + 1).cast("int"), (until - F.col("stitch")).cast("int")).alias("piece")
     )
 
 
@@ -166,10 +166,9 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
     source = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     short = _encode(source.where(F.col("text").isNull() | (F.length("text") <= chunk)), "doc_id bigint", vocabulary)
     rows = source.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
-    pieces = _encode(_long_pieces(rows, chunk, overlap), "row bigint, run bigint", vocabulary)
-    joined = pieces.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "ids"))), lambda p: p["ids"])).alias("ids"))
-    long = joined.join(rows.select("row", "doc_id"), "row").select("doc_id", "ids")
-    return short.unionByName(long).withColumnRenamed("doc_id", key)
+    pieces = _encode(_long_pieces(rows, chunk, overlap), "row bigint, run bigint, doc_id bigint", vocabulary)
+    long = pieces.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "ids"))), lambda p: p["ids"])).alias("ids"))
+    return short.unionByName(long.select("doc_id", "ids")).withColumnRenamed("doc_id", key)
 
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

@@ -303,10 +303,10 @@ def detect(c: Column, known: list[tuple[str, str]] = (), terms: list[tuple[str,
     return run(c)
 
 
-def exploded(df: DataFrame, key: str, text: str, **options) -> DataFrame:
-    """One row per span: (key, ord, start, end, type, value, source, weak); detection runs once a row."""
-    found = df.select(key, detect(F.col(text), **options).alias("spans")).where(F.size("spans") > 0)
-    return found.select(key, F.posexplode("spans").alias("ord", "s")).select(key, "ord", "s.*")
+def exploded(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """One row per span: (key, *keep, ord, start, end, type, value, source, weak); detection runs once a row, and what is kept needs no join."""
+    found = df.select(key, *keep, detect(F.col(text), **options).alias("spans")).where(F.size("spans") > 0)
+    return found.select(key, *keep, F.posexplode("spans").alias("ord", "s")).select(key, *keep, "ord", "s.*")
 
 
 def apply_tokens(text: Column, spans: Column, token: Callable[[Column], Column]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shroudline.operators import policy, rules, scrub, vault
+from shroudline.session import cut
 from shroudline.sources.tables import table
 
 _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -17,10 +18,9 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    """(node_pk, scope, ord, start, end, type, value, source, weak) of all node texts; a node without a task has scope ''."""
-    found = rules.exploded(_texts(spark, d), "node_pk", "text")
-    scopes = table(spark, d, "nodes").select(F.col("node_pk").alias("k"), F.coalesce("task_id", F.lit("")).alias("scope"), "host")
-    return found.join(scopes, F.col("node_pk") == F.col("k")).drop("k")
+    """(node_pk, scope, host, ord, start, end, type, value, source, weak) of all node texts; a node without a task has scope ''."""
+    texts = _texts(spark, d).select("node_pk", "text", "host", F.coalesce("task_id", F.lit("")).alias("scope"))
+    return rules.exploded(texts, "node_pk", "text", ("scope", "host"))
 
 
 def spans_full(spark: SparkSession, d: str) -> DataFrame:
@@ -62,14 +62,14 @@ def vault_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redact_vault(spark: SparkSession, d: str) -> DataFrame:
-    spans = _spans(spark, d)
+    spans = cut(_spans(spark, d))  # numbered and joined back: the search runs once
     tokens = vault.tokenise(spans, vault.build(spans, ["node_pk", "ord"], "host"))
     return vault.redact(_texts(spark, d), tokens, "node_pk", "text")
 
 
 def resolve_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Nodes whose text does not come back after redaction and resolution; there are none."""
-    spans = _spans(spark, d).where("type in ('EMAIL', 'SSN', 'PAN')")
+    spans = cut(_spans(spark, d).where("type in ('EMAIL', 'SSN', 'PAN')"))
     vaulted = vault.build(spans.withColumn("scope", F.concat_ws(":", "scope", "node_pk", "ord")), ["node_pk", "ord"], "host")
     tokens = vault.tokenise(spans.withColumn("scope", F.concat_ws(":", "scope", "node_pk", "ord")), vaulted)
     held = _texts(spark, d).select("node_pk", "text")

@@ -106,13 +106,18 @@ class Lexicon:
         self.family, self.given, self.name_patterns, self.id_patterns = family, given, name_patterns, id_patterns
         self.some_names, self.some_ids = bool(name_patterns.any()), bool(id_patterns.any())
         self.memo: dict[str, int] = {}
+        self.held: dict[str, bool] = {}
 
     def named(self, text: str) -> bool:
-        """Some word of the text is a known name or a title."""
-        get = self.memo.get
+        """Some token of the text is a known name or a title; no token holds white space."""
+        get = self.held.get
         for word in text.split():
             got = get(word)
-            if got or got is None and self.flags(word):
+            if got is None:
+                if len(self.held) > 300_000:
+                    self.held.clear()
+                got = self.held[word] = any([self.flags(t) for t in _TOKEN.findall(word)])
+            if got:
                 return True
         return False
 
@@ -127,7 +132,7 @@ class Lexicon:
             if len(key) > 2 and key.isalpha():
                 at = _h(key, INSTANCE_BITS)
                 got = int(self.family[at]) | 2 * int(self.given[at])
-            if key in TITLES:
+            if key in TITLES or word.rstrip(".").lower() in TITLES:
                 got |= 4
             self.memo[word] = got
         return got
@@ -196,19 +201,36 @@ def _names(text: str, known: Lexicon) -> list[tuple[int, int]]:
     return out
 
 
-#: Parts of the words that addresses hold, in lower case; a text without any needs no search.
+# Gates: each holds for every text its pattern can match, and for few others.
+#: Parts of the words that addresses hold, as low() writes them; a text without any needs no search.
 _PLACES = ("nagar", "colony", "layout", "puram", "vihar", "marg", "lane", " ln", "street", " st", "road", " rd", " ave", "close", "cresc", "drive", " dr", " row", " way", "court", " ct", "place", " pl",
            "square", " sq", "terrace", "boulev", "blvd", "garden", "grove", " walk", "mews", "parade", "highway", "hwy", "straße", "strasse", "weg ", "gasse", "platz", "allee", "ring ", "damm", "ufer",
            "am ", "an der", "im ", "zum ", "zur ", "rue ", "allée", "chemin", "impasse", "quai", "route", "cours", "calle", "avenida", "avda", "plaza", "paseo", "camino", "rua ", "ulica", "ul.")
 _MIXED = re.compile(r"[A-Za-z]\d{4}[A-Za-z]")
 
 
-def _count_digits(s: str) -> int:
-    return sum(map(s.count, "0123456789"))
+_WHITE = re.compile(r"[^\S ]")
+
+
+def _low(text: str) -> str:
+    """Lower case as patterns without regard to case see it, any white space as a blank."""
+    low = text.lower()
+    if not low.isascii():
+        low = low.replace("i\u0307", "i").replace("ı", "i").replace("ſ", "s")
+    return _WHITE.sub(" ", low)
+
+
+def _may_mail(low: str) -> bool:
+    return "@" in low or "＠" in low or "at]" in low or "at)" in low or "at}" in low or "at>" in low or " dot " in low
+
+
+def _may_id(text: str, digits: int) -> bool:
+    return digits >= 6 or digits >= 4 and _MIXED.search(text) is not None
 
 
 def _digits(s: str) -> int:
-    return sum(map(str.isdigit, s))
+    """Decimal digits of any script (and the few other signs str.isdigit takes)."""
+    return sum(map(s.count, "0123456789")) if s.isascii() else sum(map(str.isdigit, s))
 
 
 def spans(text: str | None, known: Lexicon = EMPTY) -> list[tuple[int, int, str]]:
@@ -227,15 +249,15 @@ def spans(text: str | None, known: Lexicon = EMPTY) -> list[tuple[int, int, str]
     if "[" in text:
         for m in _HELD.finditer(text):
             masked = masked[: m.start()] + "\0" * (m.end() - m.start()) + masked[m.end() :]
-    low = text.lower()
-    digits = _count_digits(text)
-    if "@" in text or "＠" in text or "at]" in low or "at)" in low or " dot " in low:
+    low = _low(text)
+    digits = _digits(text)
+    if _may_mail(low):
         take("EMAIL", [m.span() for m in EMAIL.finditer(masked)])
     if digits:
         if any([w in low for w in _PLACES]):
             view = masked.title() if text.islower() or text.swapcase().istitle() or text.isupper() else masked
             take("ADDRESS", [m.span() for m in ADDRESS.finditer(view if len(view) == len(masked) else masked)])
-        if digits >= 7 or _MIXED.search(text):
+        if _may_id(text, digits):
             take("ID", [m.span() for m in ID.finditer(masked) if not _GOODS.search(masked[max(0, m.start() - 20) : m.start()])])
         if digits >= 8:
             take("PHONE", [m.span() for m in PHONE.finditer(masked) if 8 <= _digits(re.split(r"(?i)\s*(?:ext|x)", m.group(0))[0]) <= 15 and not _GOODS.search(masked[max(0, m.start() - 20) : m.start()])])
@@ -243,11 +265,14 @@ def spans(text: str | None, known: Lexicon = EMPTY) -> list[tuple[int, int, str]
             take("ID", [m.span() for m in _NUMBER.finditer(masked) if _digits(m.group(0)) >= 6 and known.id_patterns[_h(_pattern(masked, *m.span()), PATTERN_BITS)] and not _GOODS.search(masked[max(0, m.start() - 20) : m.start()])])
     if "श्री" in text or "डॉ" in text or "सुश्री" in text:
         take("NAME", [m.span() for m in _HINDI.finditer(masked)])
-    if known.named(masked) or known.some_names and _CAPS.search(masked):
+    if known.named(masked) or known.some_names and _PAIR.search(masked):
         take("NAME", _names(masked, known))
     return sorted(found)
 
 
+#: Two words after the start of a text that may be capitals, which is all that a name found by its pattern must be.
+_PAIR = re.compile(r"(?<=[\s\S])(?<![^\W\d_])[^\W\d_a-zß-öø-ÿ][\w'’-]+\.?,?\s(?:[A-Z]\.\s)*[^\W\d_a-zß-öø-ÿ][\w'’-]")
+#: Texts that names are learned from: a name inside a sentence.
 _CAPS = re.compile(r"(?:[a-zß-ÿ]|[:.?!])\s+[A-ZÀ-Þ][\w'’-]+,?\s+(?:[A-Z]\.\s+)?[A-ZÀ-Þ][\w'’-]")
 
 
@@ -288,9 +313,9 @@ def edges(texts: DataFrame) -> DataFrame:
         total: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                if "@" in t or " dot " in t or "at]" in t or "at)" in t:
+                if _may_mail(_low(t)):
                     for m in EMAIL.finditer(t):
-                        local = re.split(r"@|\[at\]|\(at\)| at ", m.group(0).removeprefix("mailto:").lower())[0]
+                        local = re.split(r"@|＠|\[at\]|\(at\)|\{at\}|<at>|\sat\s", m.group(0).lower().removeprefix("mailto:"))[0]
                         parts = [p for p in re.split(r"[._+\d\s]+|\bdot\b", local) if len(p) > 3]
                         if len(parts) == 2:
                             total["given", 0, _h(parts[0], INSTANCE_BITS)] += 1
@@ -301,7 +326,7 @@ def edges(texts: DataFrame) -> DataFrame:
                         total["name", p, _h(fold(family), INSTANCE_BITS)] += 1
                         if given:
                             total["first", p, _h(fold(given), INSTANCE_BITS)] += 1
-                if _count_digits(t) >= 6:
+                if _may_id(t, _digits(t)):
                     known = [m.span() for m in ID.finditer(t)]
                     for a, b in known:
                         total["id", _h(_pattern(t, a, b), PATTERN_BITS), _h(_shape(t[a:b]), INSTANCE_BITS)] += 1

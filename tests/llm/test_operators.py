@@ -175,6 +175,26 @@ def test_spans_of_shapes():
     assert kinds(None) == kinds("") == []
 
 
+def test_gates_hold_for_every_text_their_patterns_match(monkeypatch):
+    known = personal.Lexicon(*[a.copy() for a in (personal.EMPTY.family, personal.EMPTY.given, personal.EMPTY.name_patterns, personal.EMPTY.id_patterns)])
+    odd = {
+        "passport no. AB123456": ["ID"], "Passport A١٢٣٤٥٦": ["ID"], "+49 30 １２３４５６７": ["PHONE"], "+４９ ３０ １２３４５６７": ["PHONE"], "PAN ABCPK１２３４F": ["ID"],
+        "a.b{at}c.example": ["EMAIL"], "a.b <AT> c.example": ["EMAIL"], "a.b＠c.example": ["EMAIL"], "d\u00a0at\u00a0f\u00a0dot\u00a0example": ["EMAIL"], "d at f\tdot\nexample": ["EMAIL"],
+        "12 Kestrel\u00a0St, Ambervale": ["ADDRESS"], "12 Kestrel\nRd": ["ADDRESS"], "12 KESTREL DRİVE": None, "１２ Kestrel\tWay": ["ADDRESS"], "Am\u00a0Kestrel 5, 12345 Ambervale": ["ADDRESS"],
+        "asked Señor Hargrimm": ["NAME"], "asked:Mr.Hargrimm": ["NAME"], "no 1, order 12": [],
+    }
+    gated = {t: personal.spans(t, known) for t in odd}
+    for t, kinds in odd.items():
+        assert kinds is None or [k for _, _, k in gated[t]] == kinds, t
+    monkeypatch.setattr(personal, "_may_mail", lambda low: True)
+    monkeypatch.setattr(personal, "_may_id", lambda text, digits: True)
+    monkeypatch.setattr(personal, "_PLACES", ("",))
+    monkeypatch.setattr(personal.Lexicon, "named", lambda self, text: True)
+    whole = personal._digits
+    monkeypatch.setattr(personal, "_digits", lambda s: max(8, whole(s)) if s in odd else whole(s))
+    assert gated == {t: personal.spans(t, known) for t in odd}
+
+
 def test_bootstrapping_finds_names_no_seed_had(spark):
     mails = [f"write to {g}.{f}@mail.example today" for g in ("anna", "boris", "clara", "dario", "elena") for f in ("hargrimm", "skelderby", "oxenfold", "wintlebury", "tansworth", "plumbridge") for _ in range(2)]
     said = [f"The form was signed by {g.title()} {f.title()} and filed." for g in ("anna", "boris") for f in ("hargrimm", "skelderby", "oxenfold", "wintlebury", "tansworth")]

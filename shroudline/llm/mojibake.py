@@ -3,7 +3,9 @@
 A multinomial classifier on hashed byte bigrams predicts the exact chain of a passage's wrong decoding, or that it is
 clean.  It is fitted here, on a bounded sample of the corpus' own words, garbled synthetically by every chain.  The
 predicted chain is inverted and counts only if every step decodes strictly and the outcome is made of letters and marks
-a text would hold.  Passages are the words with characters outside ASCII; words met before come from a memo.
+a text in European languages would hold.  Where no chain gives that, a chain with a UTF-8 step may give assigned letters,
+marks, digits and signs of any script (two of them are proof enough); a word of letters in a regular case must then be as
+surely garbled as for a single-byte chain.  Passages are the words with characters outside ASCII; words met before come from a memo.
 
 Defined results: null, empty and ASCII texts are clean; a text with replacement characters inside or instead of words is
 garbled but cannot be restored there, so those characters stay; a garbled word that does not invert strictly stays as it
@@ -114,6 +116,23 @@ def plausible(text: str) -> bool:
     return all(_usual(c) for c in text) and any(ord(c) > 0x7F for c in text)
 
 
+def natural(word: str) -> bool:
+    """Letters alone, in a regular case: a word that stands as it is, though its bytes may decode."""
+    letters = "".join([c for c in word if c.isalpha() or c > "\x7f"])
+    return letters.isalpha() and (letters.islower() or letters.isupper() or letters.istitle())
+
+
+def assigned(text: str) -> bool:
+    """Holds characters outside ASCII, all of them assigned letters, marks after something, digits or signs of any script."""
+    before = "Z"
+    for c in text:
+        kind = unicodedata.category(c)[0]
+        if kind == "C" and c not in "\t\n\r\u200b\u200c\u200d\u200e\u200f\ufeff" or kind == "M" and before == "Z":
+            return False
+        before = kind
+    return not text.isascii()
+
+
 _FOREIGN = re.compile(r"[^\x00-\x7f]+")
 _SPACE = re.compile(r"[ \t\n\r]")
 
@@ -164,7 +183,7 @@ def suspicious(word: str) -> bool:
     """Words not to be taught as clean: controls, replacement characters, or strictly invertible by a UTF-8 chain."""
     if "�" in word or any("\x80" <= c <= "\x9f" for c in word):
         return True
-    return any((back := invert(word, name)) is not None and plausible(back) for name in ("utf8>latin1", "utf8>cp1252", "utf8>cp437", "utf8>mac_roman", "utf8>cp1251", "utf8>cp850", "utf8>cp1250", "utf8>koi8_r", "utf8>cp866"))
+    return any((back := invert(word, name)) is not None and (plausible(back) or assigned(back) and not natural(word)) for name in ("utf8>latin1", "utf8>cp1252", "utf8>cp437", "utf8>mac_roman", "utf8>cp1251", "utf8>cp850", "utf8>cp1250", "utf8>koi8_r", "utf8>cp866"))
 
 
 def fit(words: dict[str, int]) -> Classifier:
@@ -214,17 +233,27 @@ class Judge:
         return got
 
     def _judge(self, word: str) -> tuple[str, float, str | None]:
-        backs = {}
+        backs, wide = {}, {}
         for k, name in enumerate(NAMES[1:], 1):
             back = invert(word, name)
-            if back is not None and back != word and plausible(back) and (name in _SURE or sum(map(str.isalpha, back)) > 1):
+            if back is None or back == word:
+                continue
+            if plausible(back) and (name in _SURE or sum(map(str.isalpha, back)) > 1):
                 backs[k] = back
+            elif name in _SURE and assigned(back):
+                wide[k] = back
+        least = -4.0
+        if not any(NAMES[k] in _SURE for k in backs) and wide and not natural(word):
+            backs = {k: b for k, b in wide.items() if len(b) - len(_FOREIGN.sub("", b)) > 1} or wide
+            least = -4.0 if backs is wide else -math.inf  # two characters that decode are no chance
+        elif not backs and wide:
+            backs, least = wide, TOGETHER / 2
         if not backs:
             return CLEAN, 0.0, None
         scores = self.classifier.scores(word)
         best = max(backs, key=lambda k: scores[k] + (8.0 if NAMES[k] in _SURE else 0.0))
         name, odds = NAMES[best], float(scores[best] - scores[0])
-        if name in _SURE and odds > -4.0 or name not in _SURE and odds > TOGETHER / 2:
+        if name in _SURE and odds > least or name not in _SURE and odds > TOGETHER / 2:
             return name, odds, backs[best]
         return CLEAN, odds, None
 

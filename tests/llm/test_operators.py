@@ -243,6 +243,16 @@ def test_garbled_documents_are_found_and_restored(spark):
     assert mojibake.judged(df.limit(0), mojibake.fit({})).count() == 0
 
 
+def test_garbled_letters_of_any_script_are_restored():
+    judge = mojibake.Judge(mojibake.fit({w: 5 for w in "größere Gemäß Übung hängt für après été école não решение условие функция сад фон там Łódź naïve".split()}))
+    for source in ("𝓐𝓑", "中文", "日本語テスト", "سلام", "שלום", "नमस्ते"):
+        for chain in ("utf8>latin1", "utf8>cp1252", "utf8>cp437", "utf8>cp1252 twice"):
+            assert judge.document(f"so {mojibake.garble(source, chain)} it is") == (True, f"so {source} it is"), (source, chain)
+        assert judge.document(source) == (False, source)
+    for fine in ("сад фон там", "Сад, там.", "5 m² und 3 £", "ångström"):
+        assert judge.document(fine) == (False, fine)
+
+
 def test_held_out_words_of_the_classifier():
     random.seed(5)
     letters = "aeiourstnlmdgbäöüßéèàçñóíãõ"

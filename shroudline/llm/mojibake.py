@@ -261,7 +261,8 @@ class Judge:
         """(garbled, the text with every strictly invertible garbled word restored)."""
         sure = "�" in text
         found: list[tuple[int, int, str]] = []
-        weak: dict[str, tuple[float, list]] = {}
+        weak: dict[str, list[tuple[int, int, str]]] = {}
+        totals: Counter = Counter()
         for a, b in passages(text):
             name, odds, back = self.word(text[a:b])
             if name == CLEAN:
@@ -269,11 +270,12 @@ class Judge:
             if name in _SURE:
                 found.append((a, b, back))
             else:
-                total, places = weak.setdefault(name, (0.0, []))
-                weak[name] = (total + min(odds, ALONE), places + [(a, b, back)] if len(places) < 100_000 else places)
+                weak.setdefault(name, []).append((a, b, back))
+                totals[name] += min(odds, ALONE)
         if found:
             sure = True
-        for total, places in weak.values():
+        for name, places in weak.items():
+            total = totals[name]
             words = {text[a:b] for a, b, _ in places}
             if total >= ALONE or len(words) > 1 and total >= 2 * TOGETHER:
                 sure = True

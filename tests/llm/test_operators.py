@@ -253,6 +253,13 @@ def test_garbled_letters_of_any_script_are_restored():
         assert judge.document(fine) == (False, fine)
 
 
+def test_no_garbled_word_of_a_long_text_is_left():
+    judge = mojibake.Judge(mojibake.fit({w: 5 for w in "решение условие функция größere".split()}))
+    source = "решение условие функция " * 35_000
+    flag, back = judge.document(" ".join(mojibake.garble(w, "cp1251>cp1252") for w in source.split(" ")))
+    assert flag and back == source
+
+
 def test_held_out_words_of_the_classifier():
     random.seed(5)
     letters = "aeiourstnlmdgbäöüßéèàçñóíãõ"

@@ -11,7 +11,9 @@ from shroudline.sources.tables import table
 
 def _p1_judged(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "nodes")
-    return truncation.judged(nodes, truncation.fit(truncation.training_texts(nodes, nodes.count())))
+    counts = truncation.corpus_counts(nodes)
+    texts = truncation.training_texts(nodes, nodes.count())
+    return truncation.judged(nodes, truncation.fit(texts, known=truncation.known_of(texts, counts)), counts=counts)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,11 +21,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_share_by_host(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.shares(_p1_judged(spark, d), "host")
+    return truncation.shares_of(table(spark, d, "nodes"), _p1_judged(spark, d), "host")
 
 
 def p1_share_by_site_config(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.shares(_p1_judged(spark, d), "site_config_id")
+    return truncation.shares_of(table(spark, d, "nodes"), _p1_judged(spark, d), "site_config_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -8,8 +8,10 @@ neighbourhood.  A text at such a limit has the censoring posterior S(limit) / (S
 (host, length, count) are grouped by source, so a source with a third of all rows is as small as any other.
 
 Ending: what follows the cut (ellipsis, broken character, half an entity or tag) is set aside, and a logistic model on
-hashed features of the ending and of the last sentence's frame tells whether such an ending is complete.  The model is
-fitted here on a bounded sample of the corpus itself: the texts as they are, and the same texts cut at random places.
+hashed features of the ending and of the last sentence's frame tells whether such an ending is complete.  How often all
+other texts hold the last word, its neighbour, words that begin so and the whole text is counted by Spark over all rows
+and joined to each ending.  Only the model's weights are fitted on a bounded sample of the corpus: the texts as they are,
+and the same texts cut at random places.
 
 A node is found when the sum of both log-odds exceeds a threshold.
 
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 from shroudline.llm.lookalikes import plain, skeleton
 from shroudline.llm.residue import residue
 from shroudline.operators.groups import sorted_groups
+from shroudline.session import cut
 
 #: Texts the ending model is fitted on at most (chosen by a hash of the text); documented bound of the training sample.
 SAMPLE = 30_000
@@ -81,18 +84,29 @@ def words_of(text: str) -> list[str]:
     return ["0" if w.isdigit() else w for w in _WORDS.findall(flat.lower())]
 
 
+#: A text that occurs so often as a whole is taught as complete, whatever a model of other texts says.
+REPEATED = 8
+#: Longer texts are not counted as wholes.
+LABEL = 60
+
+
+def taught(text: str) -> tuple[list[str], list[tuple[str, str]]]:
+    """The words and neighbours a text teaches: all but its last word, which may be cut."""
+    found = words_of(text)
+    last = found[-1:] if found and _CLOSED.search(text) else []
+    return found[:-1] + last, list(zip(found[:-2], found[1:-1]))
+
+
 class Vocabulary:
-    """What words, neighbours and beginnings of words a sample of texts holds."""
+    """What words, neighbours and beginnings of words some texts hold."""
 
     def __init__(self, texts: list[str]) -> None:
         self.words, self.pairs, self.prefixes, self.pair_prefixes = Counter(), Counter(), Counter(), Counter()
-        self.whole = Counter(t for t in texts if len(t) <= 60)
+        self.whole = Counter(t for t in texts if len(t) <= LABEL)
         for t in texts:
-            found = words_of(t)
-            self.words.update(found[:-1])
-            self.pairs.update(zip(found[:-2], found[1:-1]))
-            if found and _CLOSED.search(t):
-                self.words[found[-1]] += 1
+            words, pairs = taught(t)
+            self.words.update(words)
+            self.pairs.update(pairs)
         for w, n in self.words.items():
             for i in range(1, len(w)):
                 self.prefixes[w[:i]] += n
@@ -100,13 +114,27 @@ class Vocabulary:
             for i in range(1, len(w)):
                 self.pair_prefixes[a, w[:i]] += n
 
+    def counts(self, text: str, before: str, word: str, source: str | None = None) -> tuple[int, ...]:
+        """How often the word, words that begin so, both with the neighbour, and the whole text occur; the source's own are taken off."""
+        own = own_counts(source, text, before, word) if source is not None else (0,) * 5
+        held = (self.words[word], self.prefixes[word], self.pairs[before, word], self.pair_prefixes[before, word], self.whole[text])
+        return tuple([max(0, n - o) for n, o in zip(held, own)])
+
+
+def own_counts(source: str, text: str, before: str, word: str) -> tuple[int, ...]:
+    """What a source itself adds to the counts of an ending."""
+    words, pairs = taught(source)
+    longer = [w for w in words if len(w) > len(word) and w.startswith(word)] if word else []
+    beside = [w for a, w in pairs if a == before and len(w) > len(word) and w.startswith(word)] if word else []
+    return words.count(word), len(longer), pairs.count((before, word)), len(beside), int(text == source and len(text) <= LABEL)
+
 
 def _bucket(n: int) -> int:
-    return min(n.bit_length(), 8)
+    return n.bit_length()
 
 
-def features(text: str, role: str | None, known: Vocabulary) -> list[int] | None:
-    """Hashed features of an ending; None where the ending is complete by its mark or there is nothing to judge."""
+def ending(text: str, role: str | None) -> tuple[list[str], tuple] | None:
+    """(features that need no counts, (last word but one, last word, what else the others need)); None where the ending is complete by its mark or there is nothing to judge."""
     stripped = text.rstrip()
     if stripped[-1:] in _MARKS and not stripped.endswith("..."):
         return None
@@ -127,17 +155,30 @@ def features(text: str, role: str | None, known: Vocabulary) -> list[int] | None
     kind = "" if not suffix else "e" if suffix[0] in "….[(" else "x"
     shape = " ".join([t if len(t) < 4 or not t.isascii() and len(t) < 3 else "W" for t in tokens])
     inside = stripped[-1].isalnum()
-    vocab = f"{_bucket(known.words[e1])} {_bucket(known.prefixes[e1])}"
     quotes = f"{last.count(chr(34)) % 2}{last.count('(') > last.count(')')}{last.count('«') > last.count('»')}{'„' in last and '“' not in last or '“' in last and '”' not in last and '„' not in last}"
     r = role or ""
     out = [
         f"1 {e1}", f"2 {e2} {e1}", f"3 {e3} {e2} {e1}", f"f {first} {more}", f"fn {first} {n} {more}", f"b {begin} {more}", f"sh {shape} {more}", f"s4 {shape[-12:]}",
-        f"k {kind} {r} {more}", f"v {vocab}", f"vr {vocab} {r}", f"vb {_bucket(known.pairs[e2, e1])} {_bucket(known.pair_prefixes[e2, e1])}",
-        f"vs {_bucket(known.words[e1])} {_bucket(known.pairs[e2, e1])} {_bucket(known.pair_prefixes[e2, e1])} {more}", f"x {e1[-3:]} {inside} {min(len(e1), 6)}",
+        f"k {kind} {r} {more}", f"x {e1[-3:]} {inside} {min(len(e1), 6)}",
         f"q {quotes}", f"t {_TAGS.search(stripped) is not None} {more}", f"w {' '.join(tokens) if n < 9 else ' '.join(tokens[-5:])}", f"r {r} {more} {body != stripped and not suffix}",
-        f"ph {_HELD.search(stripped) is not None}", f"wh {_bucket(known.whole[text] // 2)}", f"whl {_bucket(known.whole[text] // 2)} {min(n, 5)} {kind}",
+        f"ph {_HELD.search(stripped) is not None}",
     ]
-    return [_hash(s) for s in out]
+    return out, (e2, e1, r, more, min(n, 5), kind)
+
+
+def counted(role: str, more: str, n: int, kind: str, counts: tuple[int, ...]) -> list[str]:
+    """Features of an ending's counts."""
+    word, prefix, pair, pair_prefix, whole = [_bucket(c) for c in (*counts[:4], counts[4] // 2)]
+    return [f"v {word} {prefix}", f"vr {word} {prefix} {role}", f"vb {pair} {pair_prefix}", f"vs {word} {pair} {pair_prefix} {more}", f"wh {whole}", f"whl {whole} {n} {kind}"]
+
+
+def features(text: str, role: str | None, known: Vocabulary, source: str | None = None) -> list[int] | None:
+    """Hashed features of an ending; None where the ending is complete by its mark or there is nothing to judge."""
+    got = ending(text, role)
+    if got is None:
+        return None
+    plain_ones, (before, word, *rest) = got
+    return [_hash(s) for s in plain_ones + counted(*rest, known.counts(text, before, word, source))]
 
 
 _PUT = ("", "", "", "", "…", "...", "�")
@@ -186,30 +227,35 @@ def _descend(x: np.ndarray, y: np.ndarray, epochs: int, rate: float = 0.25, deca
     return weights, bias
 
 
-def fit(texts: list[tuple[str, str | None]], epochs: int = 5) -> Model:
-    """Texts as they are count as complete, their cut copies as not; the vocabulary comes from the other half of the texts.
+def fit(texts: list[tuple[str, str | None]], epochs: int = 5, known: Vocabulary | None = None) -> Model:
+    """Texts as they are count as complete, their cut copies as not.
+
+    Taught is every other text.  With the corpus' counts known, each is seen with the counts of all others; else the
+    vocabulary comes from the other half of the texts.
 
     Some texts of the sample are cut themselves: each is judged by a model of other texts first, and those that look
     cut are not taught as complete.
     """
-    known = Vocabulary([t for t, _ in texts[::2]])
-    learned = texts[1::2]
-    rows, labels, folds = [], [], []
+    whole = known is not None
+    known, learned = known if whole else Vocabulary([t for t, _ in texts[::2]]), texts[1::2]
+    rows, labels, folds, sure = [], [], [], []
     for group, label in ((learned, 0.0), (cut_copies(learned), 1.0)):
-        for t, role in group:
-            found = features(t, role, known)
+        sources = [t for t, _ in learned if not label or len(t) >= SHORTEST]
+        for (t, role), source in zip(group, sources, strict=True):
+            found = features(t, role, known, source if whole else None)
             if found is not None:
                 rows.append(found)
                 labels.append(label)
+                sure.append(known.whole[t] >= REPEATED)
                 folds.append(zlib.crc32(t[:8].encode("utf-8", "surrogatepass")) & 1)
     if not rows:
         return Model(np.zeros(1 << BITS, dtype=np.float32), COMPLETE, known)
     x, y, fold = np.array(rows, dtype=np.int64), np.array(labels), np.array(folds)
-    keep = np.ones(len(y), dtype=bool)
+    keep, sure = np.ones(len(y), dtype=bool), np.array(sure)
     for side in (0, 1):
         if (fold != side).any():
             weights, bias = _descend(x[fold != side], y[fold != side], 2)
-            keep &= ~((fold == side) & (y == 0) & (weights[x].sum(axis=1) + bias > 0.5))
+            keep &= ~((fold == side) & (y == 0) & ~sure & (weights[x].sum(axis=1) + bias > 0.5))
     weights, bias = _descend(x[keep], y[keep], epochs)
     return Model(weights.astype(np.float32), bias, known)
 
@@ -221,6 +267,52 @@ def training_texts(nodes: DataFrame, rows: int, sample: int = SAMPLE) -> list[tu
     return sorted(((r.text, r.node_role or "") for r in picked.take(2 * sample)), key=lambda r: (zlib.crc32(r[0].encode()), r))
 
 
+def corpus_counts(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((before, word, n), (text, n)) over all rows: words (before is empty) and neighbours, and short texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            keys = list(total)
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64())], names=["before", "word", "n"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                words, pairs = taught(t)
+                total.update([("", w) for w in words])
+                total.update(pairs)
+            if len(total) > 200_000:
+                yield rows()
+                total.clear()
+        yield rows()
+
+    texts = nodes.where("text is not null").select("text")
+    words = texts.mapInArrow(run, "before string, word string, n bigint").groupBy("before", "word").agg(F.sum("n").alias("n"))
+    return cut(words), texts.where(F.length("text") <= LABEL).groupBy("text").agg(F.count("*").alias("n"))
+
+
+def lookup(words: DataFrame) -> DataFrame:
+    """(before, word, exact, longer): how often the word, and longer words that begin so, occur."""
+    begun = words.where(F.length("word") > 1).select("before", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", F.lit(1), i))).alias("word"), F.lit(0).cast("bigint").alias("exact"), F.col("n").alias("longer"))
+    return words.select("before", "word", F.col("n").alias("exact"), F.lit(0).cast("bigint").alias("longer")).unionByName(begun).groupBy("before", "word").agg(F.sum("exact").alias("exact"), F.sum("longer").alias("longer"))
+
+
+def known_of(texts: list[tuple[str, str | None]], counts: tuple[DataFrame, DataFrame]) -> Vocabulary:
+    """The corpus' counts of the endings of a bounded sample and of its cut copies."""
+    known, words, whole = Vocabulary([]), *counts
+    spark = words.sparkSession
+    group = texts[1::2] + cut_copies(texts[1::2])
+    keys = {got[1][:2] for t, role in group if (got := ending(t, role)) is not None}
+    wanted = F.broadcast(spark.createDataFrame(sorted(keys | {("", w) for _, w in keys}), "before string, word string"))
+    for r in lookup(words).join(wanted, ["before", "word"], "left_semi").collect():
+        at = (r.before, r.word) if r.before else r.word
+        (known.pairs if r.before else known.words)[at], (known.pair_prefixes if r.before else known.prefixes)[at] = r.exact, r.longer
+    labels = spark.createDataFrame(sorted({(t,) for t, _ in group if len(t) <= LABEL}), "text string")
+    known.whole.update({r.text: r.n for r in whole.join(F.broadcast(labels), "text", "left_semi").collect()})
+    return known
+
+
 def _survival(log_n: float, mu: float, sigma: float) -> float:
     return 0.5 * math.erfc((log_n - mu) / (sigma * math.sqrt(2)))
 
@@ -280,10 +372,9 @@ def limits(nodes: DataFrame) -> DataFrame:
     return sorted_groups(histogram, ["src"], ["n"], source_limits, "src string, at int, posterior double")
 
 
-def judged(nodes: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """(node_pk, host, site_config_id, cut) of every node with a text."""
+def scored(nodes: DataFrame, model: Model) -> DataFrame:
+    """(node_pk, host, site_config_id, src, n, ending) by the counts the model holds."""
     shared = nodes.sparkSession.sparkContext.broadcast(model)
-    source = nodes.where("text is not null").select(F.col("node_pk").cast("bigint").alias("node_pk"), "host", "site_config_id", _source().alias("src"), "node_role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -304,13 +395,91 @@ def judged(nodes: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
                 sizes.append(len(t))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes, pa.int32()), pa.array(scores, pa.float64())], names=["node_pk", "host", "site_config_id", "src", "n", "ending"])
 
-    scored = source.mapInArrow(run, "node_pk bigint, host string, site_config_id string, src string, n int, ending double")
+    return _sources(nodes).mapInArrow(run, "node_pk bigint, host string, site_config_id string, src string, n int, ending double")
+
+
+def _sources(nodes: DataFrame) -> DataFrame:
+    return nodes.where("text is not null").select(F.col("node_pk").cast("bigint").alias("node_pk"), "host", "site_config_id", _source().alias("src"), "node_role", "text")
+
+
+_IDS = "node_pk bigint, host string, site_config_id string, src string, n int"
+_ENDS = _IDS + ", base double, role string, more string, size int, kind string, before string, word string, label string, own array<bigint>"
+
+
+def scored_by_corpus(nodes: DataFrame, model: Model, counts: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(node_pk, host, site_config_id, src, n, ending) by the corpus' counts of each ending, joined by its key.
+
+    Rows that no count can make a cut text are left out: endings complete by their mark, and residue, which is whole or scores below -4.
+    """
+    shared = nodes.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = shared.value
+        memo: dict[tuple, tuple] = {}
+        for batch in batches:
+            at, rows = [], []
+            for i, (role, t) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                got = memo.get((t, role), 0) if len(t) < 80 else 0
+                if got == 0:
+                    end = ending(t, role)
+                    if end is None or residue(t):
+                        got = None
+                    else:
+                        plain_ones, (before, word, *rest) = end
+                        got = (len(t), float(weights[[_hash(s) for s in plain_ones]].sum()) + bias, *rest, before, word, t if len(t) <= LABEL else None, own_counts(t, t, before, word))
+                    if len(t) < 80:
+                        if len(memo) > 100_000:
+                            memo.clear()
+                        memo[t, role] = got
+                if got is not None:
+                    at.append(i)
+                    rows.append(got if got[8] is not None else (*got[:8], f"\0{i % 997}", got[9]))  # keys that meet nothing, spread evenly
+            types = (pa.int32(), pa.float64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()))
+            columns = list(zip(*rows)) if rows else [()] * len(types)
+            picked = batch.select([0, 1, 2, 3]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*picked.columns, *[pa.array(c, kind) for c, kind in zip(columns, types)]], names=[f.split()[0] for f in _ENDS.split(", ")])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, _ = shared.value
+        memo: dict[tuple, float] = {}
+        for batch in batches:
+            scores = []
+            for base, *rest in zip(*[c.to_pylist() for c in batch.columns[5:]]):
+                key = (*rest[:4], *[1 << n.bit_length() >> 1 for n in [max(0, (c or 0) - o) for c, o in zip(rest[5:], rest[4])]])
+                part = memo.get(key)
+                if part is None:
+                    if len(memo) > 200_000:
+                        memo.clear()
+                    part = memo[key] = float(weights[[_hash(s) for s in counted(*key[:4], key[4:])]].sum())
+                scores.append(base + part)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(scores, pa.float64())], names=["node_pk", "host", "site_config_id", "src", "n", "ending"])
+
+    words, labels = counts
+    table = lookup(words)
+    pairs = table.where("before != ''").select("before", "word", F.col("exact").alias("c2"), F.col("longer").alias("c3"))
+    singles = table.where("before = ''").select("word", F.col("exact").alias("c0"), F.col("longer").alias("c1"))
+    ends = _sources(nodes).mapInArrow(split, _ENDS).join(pairs, ["before", "word"], "left").join(singles, "word", "left").join(labels.select(F.col("text").alias("label"), F.col("n").alias("c4")), "label", "left")
+    held = ends.select("node_pk", "host", "site_config_id", "src", "n", "base", "role", "more", "size", "kind", "own", "c0", "c1", "c2", "c3", "c4")
+    return held.mapInArrow(score, _IDS + ", ending double")
+
+
+def judged(nodes: DataFrame, model: Model, threshold: float = THRESHOLD, counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(node_pk, host, site_config_id, cut) of every node with a text; with the corpus' counts given, of every node they can make a cut text."""
+    ends = scored(nodes, model) if counts is None else scored_by_corpus(nodes, model, counts)
     bounds = limits(nodes).select(F.col("src").alias("l_src"), "at", "posterior")
-    joined = scored.join(bounds, (F.col("src") == F.col("l_src")) & (F.col("n") == F.col("at")), "left")
+    joined = ends.join(bounds, (F.col("src") == F.col("l_src")) & (F.col("n") == F.col("at")), "left")
     censor = F.when(F.col("posterior").isNull(), F.lit(0.0)).otherwise(F.least(F.lit(MOST_CENSOR), F.log(F.col("posterior") / F.greatest(F.lit(1e-6), 1 - F.col("posterior")))))
     return joined.select("node_pk", "host", "site_config_id", "ending", censor.alias("censor"), (F.col("ending") + censor > threshold).alias("cut"))
 
 
+def shares_of(nodes: DataFrame, cut: DataFrame, source: str) -> DataFrame:
+    """The shares where only rows that may be cut were judged."""
+    texts = nodes.where("text is not null").groupBy(source).agg(F.count("*").alias("n_texts"))
+    found = cut.where("cut").groupBy(F.col(source).alias("c_source")).agg(F.count("*").alias("n_cut"))
+    joined = texts.join(found, F.col(source).eqNullSafe(F.col("c_source")), "left").select(source, "n_texts", F.coalesce("n_cut", F.lit(0).cast("bigint")).alias("n_cut"))
+    return joined.withColumn("share", F.round(F.col("n_cut") / F.col("n_texts"), 6))
+
+
 def shares(cut: DataFrame, source: str) -> DataFrame:
     """Number of texts, of cut texts, and their share by source."""
     return cut.groupBy(source).agg(F.count("*").alias("n_texts"), F.count(F.when(F.col("cut"), 1)).alias("n_cut")).withColumn("share", F.round(F.col("n_cut") / F.col("n_texts"), 6))

@@ -295,6 +295,23 @@ def test_endings_and_limits(spark, data):
     assert share.n_texts == 72 - 1 and share.n_cut == len(got)
 
 
+def test_counts_of_endings_cover_all_rows(spark):
+    texts = [f"The lantern{i} stood by the harbour{i} wall." for i in range(40)] + ["Sign in"] * 9 + ["Go by the harbour7", "We saw the harb", "日本語", "x", "", None]
+    df = nodes(spark, texts)
+    counts = truncation.corpus_counts(df)
+    held = [t for t in texts if t is not None]
+    known, whole = truncation.known_of([(t, "") for t in ("Go by the harbour7", "We saw the harb", "Sign in") for _ in range(2)], counts), truncation.Vocabulary(held)
+    for end in (("Go by the harbour7", "the", "harbour"), ("We saw the harb", "the", "harb"), ("Sign in", "sign", "in")):
+        before, word = truncation.ending(end[0], "")[1][:2]
+        assert known.counts(end[0], before, word) == whole.counts(end[0], before, word), end
+    assert known.counts("We saw the harb", "the", "harb")[3] == 41 and known.whole["Sign in"] == 9
+    model = truncation.fit([(t, "") for t in held[:45]], known=whole)
+    got = {r.node_pk: r.ending for r in truncation.scored_by_corpus(df, model, counts).collect()}
+    for i, t in enumerate(texts, 1):
+        found = truncation.features(t, "paragraph", whole, t) if t is not None and not truncation.residue(t) else None
+        assert i not in got if found is None else abs(got[i] - float(model.weights[found].sum()) - model.bias) < 1e-3, t
+
+
 def test_censored_fit_recovers_the_distribution():
     import numpy as np
 

@@ -29,11 +29,19 @@ def norm_key(type_: Column, value: Column) -> Column:
     return F.when(type_.isin(*DIGIT_TYPES), F.regexp_replace(value, "[^0-9]", "")).otherwise(plain)
 
 
-def build(found: DataFrame, order: list[str], origin: str | None = None) -> DataFrame:
+def reserved(texts: DataFrame, text: str, scope: str = "scope") -> DataFrame:
+    """(scope, type, top): the highest number of each type that texts of a scope hold as a literal placeholder."""
+    held = texts.select(F.col(scope).alias("scope"), F.explode(F.array_distinct(tokens_in(F.col(text)))).alias("t"))
+    number = F.regexp_extract("t", r"_(\d{1,9})\]$", 1)
+    parts = held.select("scope", F.regexp_extract("t", r"^\[(.*)_\d+\]$", 1).alias("type"), F.when(number != "", number.cast("int")).alias("top"))
+    return parts.where("top is not null").groupBy("scope", "type").agg(F.max("top").alias("top"))
+
+
+def build(found: DataFrame, order: list[str], origin: str | None = None, held: DataFrame | None = None) -> DataFrame:
     """(scope, type, norm_key, n, token, label, value, origin) from found (scope, type, value, *order [, origin]).
 
     The first value seen gives the raw form; the origin is the first seen, but a prompt's origin gives way once to the
-    first page's.
+    first page's.  Numbers start above those ``held`` (see reserved), so that no literal placeholder is taken for a value's.
     """
     keyed = found.where("type is not null and value is not null").withColumn("norm_key", norm_key(F.col("type"), F.col("value"))).withColumn("at", F.struct(*order))
     source = F.col(origin) if origin else F.lit(None).cast("string")
@@ -43,6 +51,9 @@ def build(found: DataFrame, order: list[str], origin: str | None = None) -> Data
         F.coalesce(F.min_by(F.when(source != "user_prompt", source), F.when(source != "user_prompt", F.col("at"))), F.min_by(source, F.col("at"))).alias("origin"),
     )
     numbered = first.withColumn("n", F.row_number().over(Window.partitionBy("scope", "type").orderBy("at")))
+    if held is not None:
+        h = held.select(F.col("scope").alias("h_scope"), F.col("type").alias("h_type"), "top")
+        numbered = numbered.join(h, F.col("scope").eqNullSafe(F.col("h_scope")) & (F.col("type") == F.col("h_type")), "left").withColumn("n", F.col("n") + F.coalesce("top", F.lit(0)))
     token = F.concat(F.lit("["), F.col("type"), F.lit("_"), F.col("n").cast("string"), F.lit("]"))
     return numbered.select("scope", "type", "norm_key", "n", token.alias("token"), F.concat_ws("_", "type", F.col("n").cast("string")).alias("label"), "value", "origin")
 

@@ -53,8 +53,12 @@ def redact_coarse(spark: SparkSession, d: str) -> DataFrame:
     return found.select("node_pk", rules.apply_tokens(F.col("text"), F.col("spans"), rules.coarse_token).alias("redacted"))
 
 
+def _held(spark: SparkSession, d: str) -> DataFrame:
+    return vault.reserved(_texts(spark, d).select(F.coalesce("task_id", F.lit("")).alias("scope"), "text"), "text")
+
+
 def _vault(spark: SparkSession, d: str) -> DataFrame:
-    return vault.build(_spans(spark, d), ["node_pk", "ord"], "host")
+    return vault.build(_spans(spark, d), ["node_pk", "ord"], "host", _held(spark, d))
 
 
 def vault_catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -63,21 +67,18 @@ def vault_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 def redact_vault(spark: SparkSession, d: str) -> DataFrame:
     spans = cut(_spans(spark, d))  # numbered and joined back: the search runs once
-    tokens = vault.tokenise(spans, vault.build(spans, ["node_pk", "ord"], "host"))
+    tokens = vault.tokenise(spans, vault.build(spans, ["node_pk", "ord"], "host", _held(spark, d)))
     return vault.redact(_texts(spark, d), tokens, "node_pk", "text")
 
 
 def resolve_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes whose text does not come back after redaction and resolution; there are none."""
-    spans = cut(_spans(spark, d).where("type in ('EMAIL', 'SSN', 'PAN')"))
-    vaulted = vault.build(spans.withColumn("scope", F.concat_ws(":", "scope", "node_pk", "ord")), ["node_pk", "ord"], "host")
-    tokens = vault.tokenise(spans.withColumn("scope", F.concat_ws(":", "scope", "node_pk", "ord")), vaulted)
-    held = _texts(spark, d).select("node_pk", "text")
-    one = tokens.groupBy("node_pk").agg(F.count("*").alias("n")).where("n = 1").select("node_pk")
-    sole = tokens.join(one, "node_pk", "left_semi")
-    redacted = vault.redact(held, sole, "node_pk", "text").join(sole.select("node_pk", "scope"), "node_pk")
+    """Nodes whose text does not come back after redaction and resolution, over all spans of all nodes in their tasks' vaults."""
+    spans = cut(_spans(spark, d))  # numbered, joined back and resolved: the search runs once
+    vaulted = vault.build(spans, ["node_pk", "ord"], "host", _held(spark, d))
+    held = _texts(spark, d).select("node_pk", "text", F.coalesce("task_id", F.lit("")).alias("scope"))
+    redacted = vault.redact(held, vault.tokenise(spans, vaulted), "node_pk", "text").join(held, "node_pk")
     back = vault.resolve(redacted, vaulted, "node_pk", "redacted")
-    return back.join(held, "node_pk").where("resolved != text").select("node_pk")
+    return back.join(held, "node_pk").where(~F.col("resolved").eqNullSafe(F.col("text"))).select("node_pk")
 
 
 def residual_pii(spark: SparkSession, d: str) -> DataFrame:

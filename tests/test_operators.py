@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from shroudline.operators import collect, language, metrics, policy, rules, scrub, vault, vision
+from shroudline.plans import privacy
 from shroudline.sources import html, logs
 from shroudline.streaming import limits
 
@@ -201,3 +202,13 @@ def test_log_round_trip(spark, tmp_path):
     assert lines == ['"a ""q"", b",']
     logs.write_report(entries, ["taskId", "prompt"], str(tmp_path / "report"))
     assert spark.read.option("header", True).csv(str(tmp_path / "report")).count() == 2
+
+
+def test_round_trip_lists_every_node_that_differs(spark, monkeypatch):
+    texts = ["Write to a.b@c.example or x.y@c.example now.", "Write to [EMAIL_1] now.", "Again A.B@C.example and a.b@c.example.", "plain", None]
+    rows = [(i, "t", "h", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "node_pk bigint, task_id string, host string, text string")
+    monkeypatch.setattr(privacy, "table", lambda *_: df)
+    redacted = {r.node_pk: r.redacted for r in privacy.redact_vault(spark, "").collect()}
+    assert redacted[0] == "Write to [EMAIL_2] or [EMAIL_3] now." and redacted[1] == texts[1]
+    assert [r.node_pk for r in privacy.resolve_roundtrip(spark, "").collect()] == [2]  # one token, two spellings

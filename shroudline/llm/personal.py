@@ -3,8 +3,7 @@
 1. Seeds: mail addresses, telephone and document numbers and postal addresses are known by their shape; the parts of
    mail addresses and words after a title seed the names.
 2. Every task counts edges between lexical patterns (the words around a candidate) and instances (a name's family part,
-   a number's shape); patterns and instances are hashed into tables of fixed size, so what is kept grows with neither
-   the rows nor the vocabulary.
+   a number's shape), each under its 64-bit digest.
 3. Spark scores the graph in rounds: a pattern is as sure as the share of its instances that are known, an instance as
    sure as the patterns that hold it (noisy or).  High-confidence patterns bring in family names and number shapes that
    no seed had.
@@ -20,11 +19,10 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +30,8 @@ from pyspark.sql import functions as F
 from shroudline.session import cut
 
 KINDS = ("EMAIL", "ADDRESS", "ID", "PHONE", "NAME")
-PATTERN_BITS, INSTANCE_BITS = 18, 20
+#: Trusted patterns and known names that may come to the driver and be broadcast, of each kind; more is an error, never a cut.
+MOST_KNOWN = 1_000_000
 ROUNDS = 3
 #: Least share of known instances, and least number of different ones, that make a pattern trusted.
 PATTERN_SHARE, PATTERN_DISTINCT = 0.8, 4
@@ -84,8 +83,8 @@ def fold(word: str) -> str:
     return "".join(c for c in flat if c.isalnum())
 
 
-def _h(s: str, bits: int) -> int:
-    return zlib.crc32(s.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
+def _h(s: str) -> int:
+    return int.from_bytes(blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _pattern(text: str, start: int, end: int) -> str:
@@ -100,11 +99,11 @@ def _shape(value: str) -> str:
 
 
 class Lexicon:
-    """What the rounds have learned: hashed scores of family names, given names and patterns."""
+    """What the rounds have learned: digests of the known family names, given names and trusted patterns."""
 
-    def __init__(self, family: np.ndarray, given: np.ndarray, name_patterns: np.ndarray, id_patterns: np.ndarray) -> None:
+    def __init__(self, family: frozenset[int], given: frozenset[int], name_patterns: frozenset[int], id_patterns: frozenset[int]) -> None:
         self.family, self.given, self.name_patterns, self.id_patterns = family, given, name_patterns, id_patterns
-        self.some_names, self.some_ids = bool(name_patterns.any()), bool(id_patterns.any())
+        self.some_names, self.some_ids = bool(name_patterns), bool(id_patterns)
         self.memo: dict[str, int] = {}
         self.held: dict[str, bool] = {}
 
@@ -130,15 +129,15 @@ class Lexicon:
             key = fold(word.strip(".,;:!?\"'“”«»()[]"))
             got = 0
             if len(key) > 2 and key.isalpha():
-                at = _h(key, INSTANCE_BITS)
-                got = int(self.family[at]) | 2 * int(self.given[at])
+                at = _h(key)
+                got = int(at in self.family) | 2 * int(at in self.given)
             if key in TITLES or word.rstrip(".").lower() in TITLES:
                 got |= 4
             self.memo[word] = got
         return got
 
 
-EMPTY = Lexicon(np.zeros(1 << INSTANCE_BITS, bool), np.zeros(1 << INSTANCE_BITS, bool), np.zeros(1 << PATTERN_BITS, bool), np.zeros(1 << PATTERN_BITS, bool))
+EMPTY = Lexicon(frozenset(), frozenset(), frozenset(), frozenset())
 
 
 def _cap(word: str) -> bool:
@@ -191,7 +190,7 @@ def _names(text: str, known: Lexicon) -> list[tuple[int, int]]:
                 j += 1
             if j < n and _cap(words[j][0]) and re.fullmatch(r"[\s ](?:[A-Z]\.[\s ])*|,[\s ]", text[end : words[j][1]]):
                 stop = words[j][2] - words[j][0].endswith(".")
-                if text[:start].strip(" \0") and known.name_patterns[_h(_pattern(text, start, stop), PATTERN_BITS)]:
+                if text[:start].strip(" \0") and _h(_pattern(text, start, stop)) in known.name_patterns:
                     last = j
         if last is not None:
             out.append((start, words[last][2] - (words[last][0].endswith(".") and not _initial(words[last][0]))))
@@ -262,7 +261,7 @@ def spans(text: str | None, known: Lexicon = EMPTY) -> list[tuple[int, int, str]
         if digits >= 8:
             take("PHONE", [m.span() for m in PHONE.finditer(masked) if 8 <= _digits(re.split(r"(?i)\s*(?:ext|x)", m.group(0))[0]) <= 15 and not _GOODS.search(masked[max(0, m.start() - 20) : m.start()])])
         if digits >= 6 and known.some_ids:
-            take("ID", [m.span() for m in _NUMBER.finditer(masked) if _digits(m.group(0)) >= 6 and known.id_patterns[_h(_pattern(masked, *m.span()), PATTERN_BITS)] and not _GOODS.search(masked[max(0, m.start() - 20) : m.start()])])
+            take("ID", [m.span() for m in _NUMBER.finditer(masked) if _digits(m.group(0)) >= 6 and _h(_pattern(masked, *m.span())) in known.id_patterns and not _GOODS.search(masked[max(0, m.start() - 20) : m.start()])])
     if "श्री" in text or "डॉ" in text or "सुश्री" in text:
         take("NAME", [m.span() for m in _HINDI.finditer(masked)])
     if known.named(masked) or known.some_names and _PAIR.search(masked):
@@ -303,14 +302,22 @@ def _candidates(text: str) -> Iterator[tuple[str, str, int, int]]:
 
 
 #: What an edge row says: seeds of family and given names, name edges, and how often a pattern holds a document number or another.
-_EDGES = "what string, pattern int, instance int, n bigint"
+_EDGES = "what string, pattern bigint, instance bigint, n bigint"
 
 
 def edges(texts: DataFrame) -> DataFrame:
-    """Edges of the pattern-instance graph, summed; the tables' sizes are bounded by the hash sizes."""
+    """Edges of the pattern-instance graph, summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            keys = list(total)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int64()), pa.array([total[k] for k in keys], pa.int64())],
+                names=["what", "pattern", "instance", "n"],
+            )
+
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if _may_mail(_low(t)):
@@ -318,26 +325,25 @@ def edges(texts: DataFrame) -> DataFrame:
                         local = re.split(r"@|＠|\[at\]|\(at\)|\{at\}|<at>|\sat\s", m.group(0).lower().removeprefix("mailto:"))[0]
                         parts = [p for p in re.split(r"[._+\d\s]+|\bdot\b", local) if len(p) > 3]
                         if len(parts) == 2:
-                            total["given", 0, _h(parts[0], INSTANCE_BITS)] += 1
-                            total["family", 0, _h(parts[1], INSTANCE_BITS)] += 1
+                            total["given", 0, _h(parts[0])] += 1
+                            total["family", 0, _h(parts[1])] += 1
                 if _CAPS.search(t):
                     for family, given, a, b in _candidates(t):
-                        p = _h(_pattern(t, a, b), PATTERN_BITS)
-                        total["name", p, _h(fold(family), INSTANCE_BITS)] += 1
+                        p = _h(_pattern(t, a, b))
+                        total["name", p, _h(fold(family))] += 1
                         if given:
-                            total["first", p, _h(fold(given), INSTANCE_BITS)] += 1
+                            total["first", p, _h(fold(given))] += 1
                 if _may_id(t, _digits(t)):
                     known = [m.span() for m in ID.finditer(t)]
                     for a, b in known:
-                        total["id", _h(_pattern(t, a, b), PATTERN_BITS), _h(_shape(t[a:b]), INSTANCE_BITS)] += 1
+                        total["id", _h(_pattern(t, a, b)), _h(_shape(t[a:b]))] += 1
                     for m in _NUMBER.finditer(t):
                         if _digits(m.group(0)) >= 6 and not any(a < m.end() and m.start() < b for a, b in known):
-                            total["number", _h(_pattern(t, *m.span()), PATTERN_BITS), 0] += 1
-        keys = list(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([total[k] for k in keys], pa.int64())],
-            names=["what", "pattern", "instance", "n"],
-        )
+                            total["number", _h(_pattern(t, *m.span())), 0] += 1
+            if len(total) > 200_000:
+                yield rows()
+                total.clear()
+        yield rows()
 
     return texts.select("text").where("text is not null").mapInArrow(run, _EDGES).groupBy("what", "pattern", "instance").agg(F.sum("n").alias("n"))
 
@@ -360,16 +366,17 @@ def _round(graph: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
     return patterns, joined.where("score > 0.05")
 
 
-def _table(rows, bits: int) -> np.ndarray:
-    out = np.zeros(1 << bits, dtype=bool)
-    out[[r[0] for r in rows]] = True
-    return out
+def _keys(rows: DataFrame) -> frozenset[int]:
+    found = rows.limit(MOST_KNOWN + 1).collect()
+    if len(found) > MOST_KNOWN:
+        raise ValueError(f"more than {MOST_KNOWN} known {rows.columns[0]} digests")
+    return frozenset([r[0] for r in found])
 
 
 def bootstrap(spark: SparkSession, texts: DataFrame, rounds: int = ROUNDS) -> Lexicon:
     """Score the graph in rounds and keep the sure patterns and instances.
 
-    What comes to the driver are bucket numbers: at most 2^INSTANCE_BITS and 2^PATTERN_BITS of them, whatever the input.
+    The graph stays in Spark; what comes to the driver are the digests of trusted patterns and known names, checked against MOST_KNOWN.
     """
     all_edges = cut(edges(texts))
     graph = all_edges.where("what = 'name'").select("pattern", "instance", "n")
@@ -380,12 +387,12 @@ def bootstrap(spark: SparkSession, texts: DataFrame, rounds: int = ROUNDS) -> Le
         patterns, scores = _round(graph, scores)
         scores = cut(scores)
     sure = patterns.select("pattern")
-    first = all_edges.where("what = 'first'").join(F.broadcast(sure), "pattern", "left_semi").groupBy("instance").agg(F.sum("n").alias("n")).where("n >= 3").select("instance")
+    first = all_edges.where("what = 'first'").join(sure, "pattern", "left_semi").groupBy("instance").agg(F.sum("n").alias("n")).where("n >= 3").select("instance")
     given = seeds.where("g > f and g >= 2").select("instance").union(first).distinct()
     numbers = all_edges.where("what in ('id', 'number')").groupBy("pattern").agg(F.sum(F.when(F.col("what") == "id", F.col("n")).otherwise(0)).alias("i"), F.sum("n").alias("n"), F.count(F.when(F.col("what") == "id", 1)).alias("shapes"))
     family = scores.where(F.col("score") >= INSTANCE_SCORE).select("instance")
     ids = numbers.where("i >= 0.9 * n and i >= 20 and shapes >= 3").select("pattern")
-    return Lexicon(_table(family.collect(), INSTANCE_BITS), _table(given.collect(), INSTANCE_BITS), _table(sure.collect(), PATTERN_BITS), _table(ids.collect(), PATTERN_BITS))
+    return Lexicon(_keys(family), _keys(given), _keys(sure), _keys(ids))
 
 
 def item_texts(items: DataFrame) -> DataFrame:

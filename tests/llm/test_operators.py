@@ -176,7 +176,7 @@ def test_spans_of_shapes():
 
 
 def test_gates_hold_for_every_text_their_patterns_match(monkeypatch):
-    known = personal.Lexicon(*[a.copy() for a in (personal.EMPTY.family, personal.EMPTY.given, personal.EMPTY.name_patterns, personal.EMPTY.id_patterns)])
+    known = personal.Lexicon(personal.EMPTY.family, personal.EMPTY.given, personal.EMPTY.name_patterns, personal.EMPTY.id_patterns)
     odd = {
         "passport no. AB123456": ["ID"], "Passport A١٢٣٤٥٦": ["ID"], "+49 30 １２３４５６７": ["PHONE"], "+４９ ３０ １２３４５６７": ["PHONE"], "PAN ABCPK１２３４F": ["ID"],
         "a.b{at}c.example": ["EMAIL"], "a.b <AT> c.example": ["EMAIL"], "a.b＠c.example": ["EMAIL"], "d\u00a0at\u00a0f\u00a0dot\u00a0example": ["EMAIL"], "d at f\tdot\nexample": ["EMAIL"],
@@ -212,6 +212,16 @@ def test_bootstrapping_finds_names_no_seed_had(spark):
     assert personal.occurrences(texts.limit(0), empty).count() == 0
 
 
+def test_patterns_and_names_never_share_a_key(spark, monkeypatch):
+    words = [f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in range(20_000)]
+    assert len({personal._h(w) for w in words}) == len(words)
+    rows = spark.range(5).selectExpr("id as pattern")
+    assert personal._keys(rows) == frozenset(range(5))
+    monkeypatch.setattr(personal, "MOST_KNOWN", 4)
+    with pytest.raises(ValueError):
+        personal._keys(rows)
+
+
 def test_redaction_changes_nothing_else():
     text = "A: x@y.example, B: z@y.example, again x@y.example.\n\tEnd"
     assert personal.redact(text) == "A: [EMAIL_1], B: [EMAIL_2], again [EMAIL_1].\n\tEnd"

@@ -242,7 +242,7 @@ def known_value_spans(text: str, known: list[tuple[str, str]]) -> list[Span]:
 
 
 def custom_term_spans(text: str, terms: list[tuple[str, str, bool]]) -> list[Span]:
-    """Places of (label, term, is a pattern); broken patterns are left out, a pattern gives at most 1000 places a text."""
+    """Places of (label, term, is a pattern); broken patterns are left out."""
     out = []
     for label, term, is_pattern in terms:
         type_ = re.sub("[^A-Z0-9]+", "_", (label or "CUSTOM").upper()).strip("_") or "CUSTOM"
@@ -250,11 +250,7 @@ def custom_term_spans(text: str, terms: list[tuple[str, str, bool]]) -> list[Spa
             pattern = re.compile(term if is_pattern else re.escape(term), re.IGNORECASE)
         except re.error:
             continue
-        hits = (m for m in pattern.finditer(text) if m.end() > m.start())
-        for n, m in enumerate(hits):
-            if is_pattern and n >= 1000:
-                break
-            out.append((m.start(), m.end(), type_, m.group(0), "custom", False))
+        out += [(m.start(), m.end(), type_, m.group(0), "custom", False) for m in pattern.finditer(text) if m.end() > m.start()]
     return out
 
 

@@ -74,7 +74,7 @@ def scan(html: str | None) -> list[dict]:
     parser.close()
     out = []
     for r in parser.found:
-        r["text"] = " ".join(r["text"].split())[:300].strip(" ·")
+        r["text"] = " ".join(r["text"].split()).strip(" ·")
         if r["text"] or r["interactive"]:
             out.append(r)
     return out

@@ -212,3 +212,8 @@ def test_round_trip_lists_every_node_that_differs(spark, monkeypatch):
     redacted = {r.node_pk: r.redacted for r in privacy.redact_vault(spark, "").collect()}
     assert redacted[0] == "Write to [EMAIL_2] or [EMAIL_3] now." and redacted[1] == texts[1]
     assert [r.node_pk for r in privacy.resolve_roundtrip(spark, "").collect()] == [2]  # one token, two spellings
+
+
+def test_terms_and_elements_are_whole():
+    assert len(rules.custom_term_spans("ZX1 " * 1500, [("id", r"ZX\d", True)])) == 1500
+    assert [r["text"] for r in html.scan("<p>" + "word " * 200 + "end</p>")] == ["word " * 200 + "end"]

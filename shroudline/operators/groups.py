@@ -1,7 +1,11 @@
 """Groups as runs of sorted rows: for many small groups, far cheaper than one pandas frame per group.
 
-Rows are hash-partitioned by the key and sorted inside their partition (which spills); the function gets one group at a
-time as a list of tuples.  Use it only where the size of a group is bounded.
+Rows are hash-partitioned by a digest of the key and sorted inside their partition (which spills); the function gets one
+group at a time as a list of tuples.  Use it only where the size of a group is bounded.
+
+The digest is a column made here, so no earlier shuffle has it: a repartition by the key itself would be dropped where a
+join below has that partitioning already, and a join that turns into a broadcast at run time then loses it, since
+``mapInArrow`` demands no distribution of its own.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+_PLACE = "__place"
+
 
 def sorted_groups(df: DataFrame, keys: list[str], order: list[str], handle: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
     """The rows ``handle`` gives for each group; the group's rows have the key columns first, then all others in order."""
@@ -29,7 +35,7 @@ def sorted_groups(df: DataFrame, keys: list[str], order: list[str], handle: Call
         group: list[tuple] = []
         for batch in batches:
             out: list[tuple] = []
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
+            for row in zip(*[c.to_pylist() for c in batch.columns[:-1]]):
                 if group and group[0][:width] != row[:width]:
                     out.extend(handle(group))
                     group = []
@@ -38,4 +44,5 @@ def sorted_groups(df: DataFrame, keys: list[str], order: list[str], handle: Call
         if group:
             yield emit(list(handle(group)))
 
-    return df.select(*keys, *rest).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(run, out_type)
+    placed = df.select(*keys, *rest, F.xxhash64(*keys).alias(_PLACE)).repartition(_PLACE).sortWithinPartitions(_PLACE, *keys, *order)
+    return placed.mapInArrow(run, out_type)

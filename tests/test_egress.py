@@ -52,3 +52,23 @@ def test_groups_cross_batches(spark):
         assert sorted_groups(df.limit(0), ["k"], ["v"], lambda rows: [(1, 1, 1)], "k bigint, n bigint, first bigint").count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_sorted_groups_stay_whole_where_a_join_below_turns_into_a_broadcast(spark):
+    from shroudline.operators.groups import sorted_groups
+
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
+    try:
+        many = spark.range(60_000).selectExpr("id % 3000 as k", "id as v", "repeat(md5(string(id)), 20) as pad")
+        kept = many.groupBy("k").count().where("count > 1").select("k")  # planned as a sort-merge join on k, a broadcast at run time
+        for adaptive in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            got = sorted_groups(many.join(kept, "k"), ["k"], ["v"], lambda rows: [(rows[0][0], len(rows))], "k bigint, n bigint").collect()
+            assert len(got) == 3000 and {r.n for r in got} == {20}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")

@@ -115,9 +115,15 @@ _FOUND = "task_id string, turn bigint, msg_role string, msg_id bigint"
 
 
 def sort_task(rows: list[tuple]) -> list[tuple]:
-    """The ordered turns of one task's (task, iteration, s_id, s_at, u_id, u_at, a_id, a_at), or nothing where the reply graph is not one whole chain."""
+    """The ordered turns of one task's (task, exchanges, iteration, s_id, s_at, u_id, u_at, a_id, a_at), or nothing where the reply graph is not one whole chain.
+
+    A task that came in parts is an error, never a shorter conversation.
+    """
     nodes, edges, ids = [], [], {}
-    for _, iteration, *turns in rows:
+    exchanges = [r[2] for r in rows if r[2] >= 1]
+    if len(exchanges) != rows[0][1] or exchanges[0] != 1:
+        raise ValueError(f"task {rows[0][0]!r} has {rows[0][1]} exchanges, {len(exchanges)} of them here")
+    for _, _, iteration, *turns in rows:
         for rank, (msg, at) in enumerate(zip(turns[::2], turns[1::2])):
             if msg is not None:
                 ids[iteration, rank] = msg
@@ -142,7 +148,7 @@ def conversations(messages: DataFrame, graph_turns: int = GRAPH_TURNS) -> DataFr
     )
     kept = tasks.where("ok and n >= 1 and n = last and first >= 0").select(F.col("task_id").alias("k_task"), F.col("n").alias("k_n"))
     whole = judged.join(kept, F.col("task_id") == F.col("k_task")).drop("k_task", "sound", "linked")
-    small = whole.where(F.col("k_n") * 2 + 1 <= graph_turns).select("task_id", "iteration", "s_id", "s_at", "u_id", "u_at", "a_id", "a_at")
+    small = whole.where(F.col("k_n") * 2 + 1 <= graph_turns).select("task_id", "k_n", "iteration", "s_id", "s_at", "u_id", "u_at", "a_id", "a_at")
     sorted_small = sorted_groups(small, ["task_id"], ["iteration"], sort_task, _FOUND)
     large = whole.where(F.col("k_n") * 2 + 1 > graph_turns)
     system = F.max(F.when(F.col("iteration") == 0, 1).otherwise(0)).over(Window.partitionBy("task_id"))

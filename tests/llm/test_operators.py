@@ -99,6 +99,30 @@ def test_whole_conversations_in_order(spark):
     assert conversations.conversations(df.limit(0)).count() == 0
 
 
+def test_conversations_are_whole_under_every_plan(spark, data):
+    from pyspark.sql import functions as F
+
+    steps = spark.read.parquet(f"{data}/step_messages.parquet")
+    many = steps.join(spark.range(12).withColumnRenamed("id", "copy")).withColumn("task_id", F.concat(F.trim("task_id"), F.lit("-"), "copy")).withColumn("msg_id", F.col("msg_id") * 12 + F.col("copy"))
+    once = rows(conversations.conversations(steps))
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        by_graph = rows(conversations.conversations(many))
+        assert len(by_graph) == 12 * len(once) and by_graph == rows(conversations.conversations(many, 2))
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert by_graph == rows(conversations.conversations(many))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_task_that_came_in_parts_is_an_error():
+    with pytest.raises(ValueError):
+        conversations.sort_task([("t", 2, 1, None, None, 1, None, 2, None)])
+    with pytest.raises(ValueError):
+        conversations.sort_task([("t", 1, 2, None, None, 1, None, 2, None)])
+
+
 def test_kahn_breaks_ties_by_time_and_finds_cycles():
     order, left = conversations.kahn([("a", 3), ("b", 1), ("c", 2)], [("a", "c")])
     assert order == ["b", "a", "c"] and not left

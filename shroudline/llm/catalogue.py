@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shroudline.llm import conversations, copies, lookalikes, mojibake, packing, personal, residue, tokens, truncation
+from shroudline.session import cut
 from shroudline.sources.tables import table
 
 
@@ -99,16 +100,16 @@ def p9_utilisation(spark: SparkSession, d: str) -> DataFrame:
 
 def _p10_judged(spark: SparkSession, d: str, restore: bool) -> DataFrame:
     documents = table(spark, d, "documents")
-    classifier = mojibake.fit(mojibake.training_words(documents, documents.count()))
-    return mojibake.judged(documents, classifier, restore=restore)
+    words = cut(mojibake.corpus_words(documents))
+    return mojibake.judged(documents, mojibake.corpus_classifier(words), words, restore=restore)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p10_judged(spark, d, False).where("garbled").select("doc_id")
+    return _p10_judged(spark, d, False).select("doc_id")
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
-    return _p10_judged(spark, d, True).where("garbled").select("doc_id", F.col("restored").alias("text"))
+    return _p10_judged(spark, d, True).select("doc_id", F.col("restored").alias("text"))
 
 
 QUERIES = {

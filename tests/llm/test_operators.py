@@ -273,8 +273,30 @@ def test_garbled_documents_are_found_and_restored(spark):
     for fine in ("Não há razão. CONCLUSÃO", "© 2026 £ € § ° ± ²", "≤ ≥ ∑ ∫ ≠", "Ângulo e extensão", "🔬 lab", "plain"):
         assert judge.document(fine) == (False, fine)
     df = spark.createDataFrame([(1, "Gem" + "äß".encode().decode("latin-1")), (2, None), (3, ""), (4, "a�b"), (1, "ok")], "doc_id bigint, text string")
-    assert rows(mojibake.judged(df, classifier).where("garbled").select("doc_id", "restored")) == [(1, "Gemäß"), (4, "a�b")]
-    assert mojibake.judged(df.limit(0), mojibake.fit({})).count() == 0
+    assert rows(mojibake.judged(df, classifier, mojibake.corpus_words(df))) == [(1, "Gemäß"), (4, "a�b")]
+    none = mojibake.corpus_words(df.limit(0))
+    assert mojibake.judged(df.limit(0), mojibake.corpus_classifier(none), none).count() == 0
+
+
+def test_single_byte_chains_need_the_corpus_to_hold_the_restored_word_more_often(spark):
+    polish, russian = "większy można kończy Każdy przybliżyć łatwo Żaden", "решение условие функция средняя Отсюда следует"
+    garbled = [mojibake.garble(polish, "cp1250>cp1252"), mojibake.garble(russian, "koi8_r>cp1251"), mojibake.garble(russian, "cp1251>cp1252")]
+    for times in (1, 40):  # the clean words must stay clean however many texts hold them
+        texts = [polish] * 5 * times + [russian] * 5 * times + garbled * times + ["Größe und Übung", None, "", "plain"]
+        df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id bigint, text string, word string")
+        words = mojibake.corpus_words(df)
+        held = {r.word: r.n for r in words.collect()}
+        assert held["większy"] == 5 * times and held["Größe"] == 1
+        assert not {r.word for r in mojibake.clean_words(words).collect()} & {w for g in garbled for w in g.split()}
+        got = rows(mojibake.judged(df, mojibake.corpus_classifier(words), words))
+        assert got == sorted([(10 * times + i, (polish, russian, russian)[i % 3]) for i in range(3 * times)], key=repr)
+
+
+def test_long_words_are_judged_whole():
+    judge = mojibake.Judge(mojibake.fit({w: 5 for w in "größere Gemäß Übung".split()}))
+    source = "x" * 500 + "größereÜbung" * 400 + "y" * 500
+    assert list(mojibake.passages(f"a {source}\tb")) == [(2, 2 + len(source))]
+    assert judge.document(f"a {mojibake.garble(source, 'utf8>cp1252')} b") == (True, f"a {source} b")
 
 
 def test_garbled_letters_of_any_script_are_restored():

@@ -86,12 +86,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_counts(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.token_counts(table(spark, d, "documents"))
+    return tokens.token_counts(table(spark, d, "documents")).drop("digest")
 
 
 def p9_packed(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    return packing.pack(tokens.token_counts(documents), table(spark, d, "containers"), documents.count())
+    return packing.pack(tokens.token_counts(table(spark, d, "documents")), table(spark, d, "containers"))
 
 
 def p9_utilisation(spark: SparkSession, d: str) -> DataFrame:

@@ -2,26 +2,33 @@
 
 Each container has three residual capacities: tokens, number of documents, and attention cost (the sum of squared
 lengths).  A piece goes into the open container in which the weighted norm of what would remain is smallest, among
-those where no capacity is exceeded; pieces are taken from the longest to the shortest.  Documents are spread over
-shards of about ``shard_rows`` rows, each packed by one task, so a shard's memory does not grow with the input; at
-most the last few containers of a shard stay part-filled.
+those where no capacity is exceeded; pieces are taken from the longest to the shortest.  A piece whose own cost is above
+the limit stands alone.  Full pieces of longer documents fill a container each and never leave the JVM; the rest is
+spread over shards of about ``shard_tokens`` tokens, each packed by one task, so a shard's memory does not grow with the
+input; at most the last few containers of a shard stay part-filled.
 
 Defined results: a document longer than the capacity becomes full pieces and one remainder, every other one stays
-whole; empty and null texts take a place of 0 tokens; repeated rows are packed one by one; no documents, no rows; a
-container kind with a null or non-positive capacity is left out.  Other columns of the inputs are ignored.
+whole; empty and null texts take a place of 0 tokens; repeated rows are packed one by one, spread over the shards; no
+documents, no rows; a container kind with a null or non-positive capacity is left out.  Containers depend on the
+documents only, not on files or partitions.  Other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 50_000
+from shroudline.session import cut
+
+SHARD_TOKENS = 16_000_000
 #: Weights of the residuals (tokens, documents, attention cost), each as a share of its capacity.
 WEIGHTS = (1.0, 0.01, 0.05)
+#: Documents a container takes per token of capacity, and its attention cost as a share of the squared capacity.
+DOCS_SHARE, COST_SHARE = 1 / 128, 0.75
 #: Containers table rows at most: it is configuration, and checked.
 MOST_KINDS = 1_000
 
@@ -68,33 +75,42 @@ def best_fit(sizes: list[int], capacity: int, most_docs: int, most_cost: int, we
     return places
 
 
-def pack(sizes: DataFrame, containers: DataFrame, rows: int, shard_rows: int = SHARD_ROWS, most_docs: int | None = None) -> DataFrame:
-    """(container_kind, container_id, doc_id, piece, tokens) for every kind; ``rows`` is the number of documents."""
+_PACKED = "container_kind string, container_id bigint, doc_id bigint, piece int, tokens bigint"
+_SHARD, _FULL = 1 << 32, 1 << 31  # a container's number: its shard, then full pieces above part-filled containers
+
+
+def pack(sizes: DataFrame, containers: DataFrame, shard_tokens: int = SHARD_TOKENS, docs_share: float = DOCS_SHARE, cost_share: float = COST_SHARE) -> DataFrame:
+    """(container_kind, container_id, doc_id, piece, tokens) for every kind; sizes are (doc_id, tokens, digest)."""
     kinds = containers.where("container_kind is not null and capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().take(MOST_KINDS + 1)
     if len(kinds) > MOST_KINDS:
         raise ValueError(f"more than {MOST_KINDS} kinds of containers")
-    shards = max(1, -(-rows // shard_rows))
-    numbered = sizes.withColumn("row", F.monotonically_increasing_id())
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        capacity = int(pdf["capacity"].iloc[0])
-        docs = most_docs or max(1, capacity // 16)
-        pdf = pdf.sort_values(["tokens", "row", "piece"], ascending=[False, True, True], kind="stable")
-        places = best_fit(pdf["tokens"].tolist(), capacity, docs, capacity * capacity)
-        shard = int(pdf["shard"].iloc[0])
-        return pd.DataFrame({"container_kind": pdf["container_kind"].values, "container_id": [shard * (1 << 32) + p for p in places], "doc_id": pdf["doc_id"].astype("Int64").values, "piece": pdf["piece"].values, "tokens": pdf["tokens"].values})
-
-    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
-    # all kinds in one pass over the sizes: an array of (kind, capacity) is exploded per document
-    table = F.array(*[F.struct(F.lit(k.container_kind).alias("kind"), F.lit(int(k.capacity_tokens)).alias("capacity")) for k in kinds])
     if not kinds:
         return sizes.limit(0).selectExpr("cast(null as string) container_kind", "0L container_id", "doc_id", "0 piece", "tokens")
-    wide = numbered.withColumn("of", F.explode(table)).withColumns({"container_kind": F.col("of.kind"), "capacity": F.col("of.capacity")})
-    tokens, capacity = F.col("tokens"), F.col("capacity").cast("bigint")
-    count = F.greatest(F.lit(1), F.ceil(tokens / capacity)).cast("int")
-    parts = F.transform(F.sequence(F.lit(1), count), lambda k: F.least(capacity, tokens - (k - 1).cast("bigint") * capacity))
-    cut = wide.select("container_kind", "capacity", shard.alias("shard"), "row", "doc_id", F.posexplode(parts).alias("piece", "tokens"))
-    return cut.groupBy("container_kind", "shard").applyInPandas(one, "container_kind string, container_id bigint, doc_id bigint, piece int, tokens bigint")
+    # equal rows are counted and spread by their number, so that no document's copies meet in one shard
+    rows = cut(sizes.select("doc_id", "digest", "tokens").groupBy("doc_id", "digest", "tokens").agg(F.count("*").alias("copies")))
+    total = rows.agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0] or 0
+    shards = max(1, -(-total // shard_tokens))
+    each = rows.select("doc_id", "digest", "tokens", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
+    placed = each.withColumn("shard", F.pmod(F.xxhash64("doc_id", "digest", "copy"), F.lit(shards)))
+    # all kinds in one pass over the sizes: an array of (kind, capacity) is exploded per document
+    table = F.array(*[F.struct(F.lit(k.container_kind).alias("kind"), F.lit(int(k.capacity_tokens)).cast("bigint").alias("capacity")) for k in kinds])
+    wide = placed.withColumn("of", F.explode(table)).select("doc_id", "digest", "copy", "shard", "tokens", F.col("of.kind").alias("container_kind"), F.col("of.capacity").alias("capacity"))
+    whole = F.floor(F.col("tokens") / F.col("capacity"))
+    long = wide.where("tokens >= capacity").withColumn("whole", whole)
+    before = F.sum("whole").over(Window.partitionBy("container_kind", "shard").orderBy("doc_id", "digest", "copy")) - F.col("whole")
+    full = long.withColumn("before", before).select(
+        "container_kind", "shard", "before", "doc_id", "capacity", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("whole"))).alias("k")
+    ).select("container_kind", (F.col("shard") * _SHARD + _FULL + F.col("before") + F.col("k") - 1).alias("container_id"), "doc_id", (F.col("k") - 1).cast("int").alias("piece"), F.col("capacity").alias("tokens"))
+    rest = wide.select("container_kind", "capacity", "shard", "doc_id", "digest", "copy", F.when(F.col("tokens") >= F.col("capacity"), whole).otherwise(0).cast("int").alias("piece"), F.pmod("tokens", "capacity").alias("left"), "tokens")
+
+    def one(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("left", "descending"), ("doc_id", "ascending"), ("digest", "ascending"), ("copy", "ascending")])
+        capacity, shard = group["capacity"][0].as_py(), group["shard"][0].as_py()
+        places = best_fit(group["left"].to_pylist(), capacity, max(1, int(capacity * docs_share)), max(1, int(cost_share * capacity * capacity)))
+        ids = pc.add(pa.array(places, pa.int64()), shard * _SHARD)
+        return pa.table([group["container_kind"], ids, group["doc_id"], group["piece"], group["left"]], names=["container_kind", "container_id", "doc_id", "piece", "tokens"])
+
+    return full.unionByName(rest.where("left > 0 or tokens = 0").drop("tokens").groupBy("container_kind", "shard").applyInArrow(one, _PACKED))
 
 
 def utilisation(packed: DataFrame, containers: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def _encode(df: DataFrame, keys: str, path: str) -> DataFrame:
     return df.mapInArrow(run, f"{keys}, ids array<int>")
 
 
-def _boundaries(df: DataFrame, chunk: int, overlap: int) -> DataFrame:
+def _boundaries(df: DataFrame, chunk: int, overlap: int, key_type: str) -> DataFrame:
     """For each chunk the pre-token boundaries inside its overlaps, as offsets in the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +131,10 @@ def _boundaries(df: DataFrame, chunk: int, overlap: int) -> DataFrame:
                 names=[*batch.schema.names, "heads", "tails"],
             )
 
-    return df.mapInArrow(run, "row bigint, k bigint, n bigint, slice string, doc_id bigint, heads array<bigint>, tails array<bigint>")
+    return df.mapInArrow(run, f"row bigint, k bigint, n bigint, slice string, doc_id {key_type}, heads array<bigint>, tails array<bigint>")
 
 
-def _long_pieces(df: DataFrame, chunk: int, overlap: int) -> DataFrame:
+def _long_pieces(df: DataFrame, chunk: int, overlap: int, key_type: str = "bigint") -> DataFrame:
     """(row, run, doc_id, piece) of texts longer than a chunk, cut only at stitched boundaries."""
     n = F.length("text").cast("bigint")
     chunks = df.select("row", "doc_id", n.alias("n"), "text", F.explode(F.sequence(F.lit(0).cast("bigint"), ((n - 1) / chunk).cast("bigint"))).alias("k"))
@@ -142,7 +142,7 @@ def _long_pieces(df: DataFrame, chunk: int, overlap: int) -> DataFrame:
     sliced = chunks.select("row", "k", "n", F.col("text").substr((start + 1).cast("int"), ((F.col("k") + 1) * chunk + overlap - start).cast("int")).alias("slice"), "doc_id")
     in_order = Window.partitionBy("row").orderBy("k")
     marked = (
-        _boundaries(sliced.repartition("row", "k"), chunk, overlap)
+        _boundaries(sliced.repartition("row", "k"), chunk, overlap, key_type)
         .withColumn("stitch", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect(F.lag("tails").over(in_order), "heads"))))
         .withColumn("run", F.count("stitch").over(in_order))
     )
@@ -171,13 +171,20 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
     return short.unionByName(long.select("doc_id", "ids")).withColumnRenamed("doc_id", key)
 
 
-def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, tokens) of every row; nothing but the counts leaves the workers."""
+def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(key, tokens, digest) of every row: the number of its ids, long texts by their stitched pieces; digest is a 64-bit hash of the text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, counts = _encode_column(batch.column(1), vocabulary)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts)], names=["doc_id", "tokens"])
+    def count(df: DataFrame, keys: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, counts = _encode_column(batch.column(batch.num_columns - 1), vocabulary)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts)], names=[*batch.schema.names[:-1], "tokens"])
 
-    source = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, tokens bigint").withColumnRenamed("doc_id", key)
+        return df.mapInArrow(run, f"{keys}, tokens bigint")
+
+    source = df.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
+    short = count(source.where(F.col("text").isNull() | (F.length("text") <= chunk)), "doc_id bigint, digest bigint")
+    rows = source.where(F.length("text") > chunk).select(F.monotonically_increasing_id().alias("row"), F.struct("doc_id", "digest").alias("doc_id"), "text")
+    pieces = _long_pieces(rows, chunk, overlap, "struct<doc_id:bigint,digest:bigint>").select("row", "doc_id.*", "piece")
+    long = count(pieces, "row bigint, doc_id bigint, digest bigint").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("digest").alias("digest"), F.sum("tokens").alias("tokens"))
+    return short.unionByName(long.drop("row")).select(F.col("doc_id").alias(key), "tokens", "digest")

@@ -41,7 +41,13 @@ def test_decoding_gives_the_text_back():
 def test_token_counts_match_ids(spark):
     df = spark.createDataFrame([(1, "one two"), (2, ""), (3, None)], "doc_id bigint, text string")
     coder = tokens.encoder(tokens.VOCABULARY)
-    assert rows(tokens.token_counts(df)) == [(1, len(coder.ids("one two"))), (2, 0), (3, 0)]
+    assert rows(tokens.token_counts(df).drop("digest")) == [(1, len(coder.ids("one two"))), (2, 0), (3, 0)]
+    random.seed(4)
+    texts = ["".join(random.choice(["word", " ", "\n ", "it's", "ß", "日本", "9", "x" * 30]) for _ in range(n)) for n in (3, 60, 700)]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts + texts[2:])], "doc_id bigint, text string, digest string")
+    want = [(i, len(coder.core.encode_ordinary(t))) for i, t in enumerate(texts + texts[2:])]
+    for chunk, overlap in ((16_384, 512), (64, 24)):
+        assert rows(tokens.token_counts(df, chunk=chunk, overlap=overlap).drop("digest")) == want
 
 
 # 9 containers
@@ -56,22 +62,35 @@ def test_best_fit_respects_every_capacity():
     assert len(by) <= 1.1 * max(sum(sizes) / 100, 500 / 6) + 1
 
 
+def test_every_constraint_binds_and_changes_the_choice():
+    assert packing.best_fit([70, 60, 40, 30], 100, 99, 10**9, (1, 0, 0)) == [0, 1, 1, 0]  # tokens alone
+    assert packing.best_fit([70, 60, 40, 30], 100, 99, 5_200) == [0, 1, 1, 2]  # 70 and 30 cost 5,800
+    assert packing.best_fit([70, 60, 40, 30], 100, 1, 10**9) == [0, 1, 2, 3]
+    assert packing.best_fit([100, 95, 3], 100, 9, 7_500) == [0, 1, 2]  # above the cost limit by itself: alone
+    sizes = [3, 5, 5, 23, 10, 47, 42]  # the residual norm prefers a container that has taken more documents
+    assert packing.best_fit(sizes, 60, 5, 10**9, (1, 1, 0)) == [1, 1, 1, 2, 0, 0, 1] != packing.best_fit(sizes, 60, 5, 10**9, (1, 0, 0))
+
+
 def test_only_documents_above_the_capacity_are_split(spark):
-    sizes = spark.createDataFrame([(1, 25), (2, 10), (3, 0), (4, 7), (4, 7), (5, 3)], "doc_id bigint, tokens bigint")
+    sizes = spark.createDataFrame([(1, 25, 1), (2, 10, 2), (3, 0, 3), (4, 7, 4), (4, 7, 4), (5, 3, 5), (None, 20, 6)], "doc_id bigint, tokens bigint, digest bigint")
     kinds = spark.createDataFrame([("small", 10, "t"), ("none", None, "t"), ("large", 40, "t")], "container_kind string, capacity_tokens int, tokenizer string")
-    got = packing.pack(sizes, kinds, 6, shard_rows=3).collect()
-    small = [r for r in got if r.container_kind == "small"]
-    assert sorted(r.tokens for r in small if r.doc_id == 1) == [5, 10, 10]
-    assert {r.container_kind for r in got} == {"small", "large"}
-    for kind, capacity in (("small", 10), ("large", 40)):
-        total = {}
-        for r in got:
-            if r.container_kind == kind:
-                total[r.container_id] = total.get(r.container_id, 0) + r.tokens
-        assert max(total.values()) <= capacity
-        assert sum(total.values()) == 52
-    assert packing.pack(sizes.limit(0), kinds, 0).count() == 0
-    assert packing.pack(sizes, kinds.limit(0), 6).count() == 0
+    for shard_tokens in (1_000, 20):
+        got = packing.pack(sizes, kinds, shard_tokens, 1.0, 1.0).collect()
+        small = [r for r in got if r.container_kind == "small"]
+        assert sorted((r.piece, r.tokens) for r in small if r.doc_id == 1) == [(0, 10), (1, 10), (2, 5)]
+        assert sorted((r.piece, r.tokens) for r in small if r.doc_id is None) == [(0, 10), (1, 10)]
+        assert [(r.piece, r.tokens) for r in small if r.doc_id == 3] == [(0, 0)]
+        assert {r.container_kind for r in got} == {"small", "large"}
+        for kind, capacity in (("small", 10), ("large", 40)):
+            total = {}
+            for r in got:
+                if r.container_kind == kind:
+                    total[r.container_id] = total.get(r.container_id, 0) + r.tokens
+            assert max(total.values()) <= capacity
+            assert sum(total.values()) == 72
+        assert sorted(map(tuple, got), key=repr) == rows(packing.pack(sizes.repartition(5), kinds, shard_tokens, 1.0, 1.0))
+    assert packing.pack(sizes.limit(0), kinds).count() == 0
+    assert packing.pack(sizes, kinds.limit(0)).count() == 0
 
 
 # 3 conversations

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shroudline.functions import json_text
 from shroudline.operators import policy, rules, vault
 
 SKIPPED = frozenset({"redactedScreenshot"})
@@ -35,8 +35,8 @@ def json_leaves(bodies: DataFrame, key: str, body: str) -> DataFrame:
             keys, paths, texts = [], [], []
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    parsed = json.loads(raw)
-                except (ValueError, RecursionError):
+                    parsed = json_text.read(raw)
+                except ValueError:
                     parsed = raw
                 for path, text in leaves(parsed):
                     keys.append(k)

@@ -6,7 +6,6 @@ whole chain, whose other steps check a number, is one vectorised function.
 
 from __future__ import annotations
 
-import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -16,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shroudline.functions import json_text
 from shroudline.operators.rules import luhn, verhoeff
 
 _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -84,17 +84,15 @@ def scrub(c: Column) -> Column:
 
 
 def scrub_tree(value, skip: frozenset = frozenset({"redactedScreenshot"}), hits: Counter | None = None):
-    """The same over every text of a JSON value but those under a skipped key."""
-    if isinstance(value, str):
-        out, found = scrub_text(value)
+    """The same over every text of a JSON value of any depth but those under a skipped key."""
+
+    def change(text: str) -> str:
+        out, found = scrub_text(text)
         if hits is not None:
             hits.update(found)
         return out
-    if isinstance(value, list):
-        return [scrub_tree(v, skip, hits) for v in value]
-    if isinstance(value, dict):
-        return {k: v if k in skip else scrub_tree(v, skip, hits) for k, v in value.items()}
-    return value
+
+    return json_text.map_texts(value, change, skip)
 
 
 def scrub_bodies(bodies: DataFrame, key: str = "entry_id", body: str = "body") -> DataFrame:
@@ -106,7 +104,7 @@ def scrub_bodies(bodies: DataFrame, key: str = "entry_id", body: str = "body") -
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hits: Counter = Counter()
                 try:
-                    scrub_tree(json.loads(text), hits=hits)
+                    scrub_tree(json_text.read(text), hits=hits)
                 except ValueError:
                     hits.update(scrub_text(text)[1])
                 for kind, n in sorted(hits.items()):

@@ -1,8 +1,8 @@
 """Adjacency-table shredding of nested JSON records into related flat tables.
 
 One pass turns every body into rows ``(node, parent, label, ordinal, kind, scalar)``; entity tables come from joining
-object nodes with their scalar children and pivoting the labels.  Nesting may be of any depth: a node carries the path
-of its record, so no recursive join is needed.
+object nodes with their scalar children and pivoting the labels.  Nesting may be of any depth, and strings of JSON in
+JSON as well: a node carries the path of its record, so no recursive join is needed.
 
 Defined results: a body that is null, blank or not one whole JSON object gives no rows; a value that should be an array
 or object but is a string holding JSON is read through the string; a single value in place of an array counts as
@@ -13,13 +13,14 @@ entries.  Extra columns of the input are ignored, so their names cannot clash.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shroudline.functions import json_text
+
 ADJACENCY = (
     "entry_id bigint, node int, parent int, label string, ordinal int, kind string, scalar string, "
     "entity string, json_path string, parent_path string"
@@ -41,14 +42,12 @@ def norm(name: str) -> str:
 
 def _unwrap(value):
     """The value itself, or what a string holds if that is a JSON array, object or text."""
-    for _ in range(8):
-        if not isinstance(value, str):
-            break
+    while isinstance(value, str):  # each wrapping is longer than what it holds
         text = value.strip()
         if text[:1] not in ("{", "[", '"'):
             break
         try:
-            inner = json.loads(text)
+            inner = json_text.read(text)
         except ValueError:
             break
         if not isinstance(inner, (dict, list, str)):
@@ -61,8 +60,8 @@ def _whole_object(body):
     if not body:
         return None
     try:
-        found = json.loads(body)
-    except (ValueError, RecursionError):
+        found = json_text.read(body)
+    except ValueError:
         return None
     return found if isinstance(found, dict) else None
 
@@ -83,7 +82,7 @@ def _scalar(value) -> str | None:
         return "true" if value else "false"
     if isinstance(value, (int, float)):
         return repr(value)
-    return json.dumps(value, ensure_ascii=False)
+    return json_text.write(value)
 
 
 def shred_body(entry_id: int, body: str | None, rows: _Rows, with_scalars: bool) -> None:
@@ -166,28 +165,38 @@ def adjacency(bodies: DataFrame, key: str = "entry_id", body: str = "body", with
 
 
 def child_records(bodies: DataFrame) -> DataFrame:
-    """One row (entry_id, json_path) per child record."""
-    return adjacency(bodies, with_scalars=False).where("json_path is not null").select("entry_id", "json_path")
+    """One row (entry_id, json_path) per child record: the rows of all entity tables and of the texts.
 
+    No scalar column is asked for, so none is shredded, and the join with them falls away.
+    """
+    adjacent = adjacency(bodies, with_scalars=False)
+    return entity_rows(adjacent, {}).select("entry_id", "json_path").unionByName(text_table(adjacent).select("entry_id", "json_path"))
 
-def entity_table(adjacent: DataFrame, entity: str, fields: dict[str, str]) -> DataFrame:
-    """Flat table of one entity: object nodes joined with their scalar children, labels pivoted to columns.
 
-    ``fields`` maps a label (compared without case and underscores) to the output column.  Rows of an entry share one
-    hash partition, so the join and the pivot need one shuffle of each side.
+def entity_rows(adjacent: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Object nodes joined with their scalar children, labels pivoted to columns: (entry_id, entity, ordinal, json_path, parent_path, columns).
+
+    ``fields`` maps a label (compared without case and underscores) to the output column.  Both sides are spread by
+    (entry, node), so an entry of any size is spread as well.
     """
-    objects = adjacent.where((F.col("entity") == entity) & F.col("json_path").isNotNull()).select(
-        "entry_id", "node", "ordinal", "json_path", "parent_path"
+    objects = adjacent.where((F.col("kind") == "object") & F.col("json_path").isNotNull() & (F.col("entity") != "entry")).select(
+        "entry_id", "node", "entity", "ordinal", "json_path", "parent_path"
     )
     wanted = {norm(label): column for label, column in fields.items()}
     plain = F.lower(F.regexp_replace("label", "[_-]", ""))
     scalars = (
-        adjacent.where((F.col("kind") == "scalar") & F.col("json_path").isNull() & plain.isin(*wanted))
+        adjacent.where((F.col("kind") == "scalar") & F.col("json_path").isNull() & (plain.isin(*wanted) if wanted else F.lit(False)))
         .select(F.col("entry_id").alias("s_entry"), F.col("parent").alias("s_parent"), plain.alias("s_label"), "scalar")
     )
     joined = objects.join(scalars, (F.col("entry_id") == F.col("s_entry")) & (F.col("node") == F.col("s_parent")), "left")
     pick: list[Column] = [F.min(F.when(F.col("s_label") == label, F.col("scalar"))).alias(column) for label, column in wanted.items()]
-    return joined.groupBy("entry_id", "node", "ordinal", "json_path", "parent_path").agg(*pick).drop("node")
+    grouped = joined.groupBy("entry_id", "node", "entity", "ordinal", "json_path", "parent_path")
+    return (grouped.agg(*pick) if pick else objects).drop("node")
+
+
+def entity_table(adjacent: DataFrame, entity: str, fields: dict[str, str]) -> DataFrame:
+    """Flat table of one entity."""
+    return entity_rows(adjacent.where((F.col("entity") == entity) | F.col("entity").isNull()), fields).drop("entity")
 
 
 def text_table(adjacent: DataFrame, entity: str = "toast") -> DataFrame:

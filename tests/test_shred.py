@@ -1,9 +1,11 @@
 import json
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from shroudline.functions import json_text
 from shroudline.operators import shred
 
 BODY = "entry_id bigint, body string, json_path string, entity string"
@@ -37,11 +39,31 @@ def test_unreadable_bodies_give_nothing():
 
 
 def test_any_depth():
-    frame = {"frameId": 0}
-    for i in range(900):
-        frame = {"frameId": i, "children": [frame]}
-    got = paths(json.dumps({"openTabs": [{"frames": [frame]}]}))
-    assert len(got) == 902
+    for depth in (900, 20_000):
+        frame = '{"frameId": 7, "children": [' * depth + '{"frameId": 0}' + "]}" * depth
+        assert len(paths('{"openTabs": [{"frames": [' + frame + "]}]}")) == depth + 2
+
+
+def test_any_number_of_wrappings():
+    nodes = [{"id": "a"}]
+    for _ in range(10):
+        nodes = json.dumps(nodes)
+    assert paths(json.dumps({"sanitizedDom": nodes})) == ["sanitizedDom/0"]
+    text = "x"
+
+
+def test_deep_reader_and_writer_agree_with_the_standard_ones():
+    deep = '{"a": [' * 30_000 + '"e"' + "]}" * 30_000
+    value = json_text.read(deep)
+    assert json_text.write(value) == deep
+    seen = []
+    json_text.map_texts(value, lambda t: seen.append(t) or t)
+    assert seen == ["e"]
+    for text in ("[1, 2.5e3, -0, true, null, {}, [], {\"a\": \"\\u00e9\"}]", " 7 ", '"x"', "[NaN]"):
+        assert repr(json_text._read_deep(text)) == repr(json.loads(text))
+    for text in ("", "[1,]", "{1: 2}", "[1 2]", "[] []", '{"a" 1}', "{", "[01]", "tru"):
+        with pytest.raises(ValueError):
+            json_text._read_deep(text)
 
 
 def test_tables_keep_links(spark):

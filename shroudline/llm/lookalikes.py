@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shroudline.session import cut
+
 #: Letters of the same shape, Latin letter first, then its Cyrillic and Greek twins.
 LOOKALIKES = """
 aа cсϲ dԁ eе gɡ hһ iі jјϳ oоο pрρ qԛ sѕ vνѵ wԝ xх yу
@@ -210,19 +212,28 @@ def canonical_texts(df: DataFrame, counts: dict[str, int], keys: list[str], text
     return source.mapInArrow(run, f"{schema}, canonical string")
 
 
-def same_looking(nodes: DataFrame, counts: dict[str, int], key: str = "node_pk", group: str = "page_id", text: str = "text") -> DataFrame:
-    """(node_a, node_b): nodes of one group whose texts differ and have one consistent form.
+def spellings(nodes: DataFrame, counts: dict[str, int], key: str = "node_pk", group: str = "page_id", text: str = "text") -> DataFrame:
+    """(node, grp, form, spelling) of every node whose form is spelled in more than one way in its group.
 
-    Only digests are shuffled; forms spelled in one way only are dropped before any pair is made.
+    The corpus is searched once: digests of 64 bits, compared only within one group, are written, and forms spelled in
+    one way only are dropped before anything is paired.
     """
     rows = nodes.where(F.col(key).isNotNull() & F.col(group).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("node"), F.col(group).alias("grp"), F.col(text).alias("text"))
     done = canonical_texts(rows, counts, ["node", "grp"]).where(F.trim("canonical") != "")
-    slim = done.select("node", "grp", F.unhex(F.md5("canonical")).alias("form"), F.xxhash64("text").alias("spelling"))
-    spelled = slim.groupBy("grp", "form").agg(F.min("spelling").alias("s0"), F.max("spelling").alias("s1")).where("s0 != s1").select("grp", "form")
-    kept = slim.join(spelled, ["grp", "form"], "left_semi")
-    a, b = kept.alias("a"), kept.alias("b")
-    return (
-        a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.form") == F.col("b.form")))
-        .where("a.spelling != b.spelling and a.node < b.node")
-        .select(F.col("a.node").alias("node_a"), F.col("b.node").alias("node_b"))
-    )
+    slim = cut(done.select("node", "grp", F.xxhash64("canonical").alias("form"), F.xxhash64("text").alias("spelling")))
+    several = slim.groupBy("grp", "form").agg(F.min("spelling").alias("s0"), F.max("spelling").alias("s1")).where("s0 != s1").select("grp", "form")
+    return slim.join(several, ["grp", "form"], "left_semi")
+
+
+def same_looking(nodes: DataFrame, counts: dict[str, int], key: str = "node_pk", group: str = "page_id", text: str = "text") -> DataFrame:
+    """(node_a, node_b): nodes of one group whose texts differ and have one consistent form.
+
+    Classes of equal spellings are paired, and only then are their members put in: copies of one spelling never meet.
+    """
+    kept = cut(spellings(nodes, counts, key, group, text))
+    classes = kept.groupBy("grp", "form", "spelling").agg(F.count("*").alias("members"))
+    other = classes.select("grp", "form", F.col("spelling").alias("other"))
+    pairs = classes.join(other, ["grp", "form"]).where("spelling < other").select("grp", "form", "spelling", "other")
+    second = kept.select("grp", "form", F.col("spelling").alias("other"), F.col("node").alias("b"))
+    met = pairs.join(kept, ["grp", "form", "spelling"]).join(second, ["grp", "form", "other"])
+    return met.select(F.least("node", "b").alias("node_a"), F.greatest("node", "b").alias("node_b")).where("node_a < node_b")

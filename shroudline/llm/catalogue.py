@@ -43,19 +43,18 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical_texts(nodes, lookalikes.train(nodes), ["node_pk"]).select("node_pk", "canonical")
 
 
+def _p5_keyed(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
+    """The keyed rows of both tables, written once (24 bytes a row), so that counting and grouping read no text again."""
+    return [("nodes", cut(copies.keyed_nodes(table(spark, d, "nodes")))), ("collected_items", cut(copies.keyed_items(table(spark, d, "collected_items"))))]
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    nodes, n = copies.prepared(copies.keyed_nodes(table(spark, d, "nodes")))
-    items, i = copies.prepared(copies.keyed_items(table(spark, d, "collected_items")))
-    of_nodes = copies.copy_pairs(nodes, n).select(F.lit("nodes").alias("table_name"), "first_id", "copy_id")
-    of_items = copies.copy_pairs(items, i).select(F.lit("collected_items").alias("table_name"), "first_id", "copy_id")
+    of_nodes, of_items = [copies.copy_pairs(keyed).select(F.lit(name).alias("table_name"), "first_id", "copy_id") for name, keyed in _p5_keyed(spark, d)]
     return of_nodes.unionByName(of_items)
 
 
 def p5_representatives(spark: SparkSession, d: str) -> DataFrame:
-    nodes, n = copies.prepared(copies.keyed_nodes(table(spark, d, "nodes")))
-    items, i = copies.prepared(copies.keyed_items(table(spark, d, "collected_items")))
-    of_nodes = copies.representatives(nodes, n).select(F.lit("nodes").alias("table_name"), "first_id", "copies")
-    of_items = copies.representatives(items, i).select(F.lit("collected_items").alias("table_name"), "first_id", "copies")
+    of_nodes, of_items = [copies.representatives(keyed).select(F.lit(name).alias("table_name"), "first_id", "copies") for name, keyed in _p5_keyed(spark, d)]
     return of_nodes.unionByName(of_items)
 
 

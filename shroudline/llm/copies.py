@@ -1,9 +1,9 @@
 """Records that differ only in formatting: one representative per group and the number of its copies.
 
 A record's canonical form drops white space, punctuation and invisible characters, folds letter case and orders the
-fields by name; its digest is the grouping key.  Keys with very many copies are found exactly from partial counts;
-their rows are salted into a two-level aggregation, all others take a one-level shuffle.  The representative is the
-smallest identifier.
+fields by name; its digest is the grouping key.  Keys with HOT_ROWS copies or more, whatever the size of the input, are
+found exactly from partial counts; their rows are salted into a two-level aggregation, by as many salts as their number
+of copies asks for, all others take a one-level shuffle.  The representative is the smallest identifier.
 
 Defined results: identical records are copies too; two records with a null in the same field are equal there, a null
 and a blank text too (both are empty once formatting is gone), an absent field and a null field are not; values that
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from shroudline.session import cut
 
-#: A key is hot from this many rows on, or from one in HOT_SHARE of all rows if that is more: at most HOT_SHARE keys are hot.
-HOT_ROWS, HOT_SHARE, SALTS = 20_000, 2_000, 64
+#: A key is hot from this many rows on.
+HOT_ROWS = 2_000
+#: So many hot keys are broadcast at most; more of them meet their rows in a shuffle, which splits its skewed partitions.
+MOST_BROADCAST = 1_000_000
 
 _DROP = r"[\p{P}\p{Z}\p{C}\s]+"
 
@@ -55,41 +57,34 @@ def keyed_items(items: DataFrame) -> DataFrame:
     return items.where(F.col("item_id").isNotNull()).select(F.col("item_id").alias("id"), F.unhex(F.md5(fold_json(F.col("item_json")))).alias("key")).where("key is not null")
 
 
-def hot_keys(keyed: DataFrame, rows: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least max(hot_rows, rows / HOT_SHARE) rows, counted exactly; at most HOT_SHARE of them, so they may be broadcast."""
-    least = max(hot_rows, -(-rows // HOT_SHARE))
-    return keyed.groupBy("key").count().where(F.col("count") >= least).select("key")
+def hot_keys(keyed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(key, salts) of keys with at least hot_rows rows, counted exactly; marked for broadcast under a checked bound."""
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= hot_rows)
+    hot = cut(counts.select("key", F.ceil(F.col("n") / hot_rows).alias("salts")))
+    return F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot
 
 
-def representatives(keyed: DataFrame, rows: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _hot_first(keyed: DataFrame, hot: DataFrame) -> DataFrame:
+    salted = keyed.join(hot, "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
+    partial = salted.groupBy("key", "salt").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+    return partial.groupBy("key").agg(F.min("first_id").alias("first_id"), F.sum("copies").alias("copies"))
+
+
+def representatives(keyed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(key, first_id, copies): hot keys by a salted two-level aggregation, the rest by one shuffle."""
-    hot = F.broadcast(hot_keys(keyed, rows, hot_rows))
-    salted = (
-        keyed.join(hot, "key", "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-        .groupBy("key", "salt").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
-        .groupBy("key").agg(F.min("first_id").alias("first_id"), F.sum("copies").alias("copies"))
-    )
+    hot = hot_keys(keyed, hot_rows)
     rest = keyed.join(hot, "key", "left_anti").groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
-    return salted.unionByName(rest)
+    return _hot_first(keyed, hot).unionByName(rest)
 
 
-def copy_pairs(keyed: DataFrame, rows: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def copy_pairs(keyed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(first_id, copy_id): every row of a group but the smallest, with the smallest.
 
-    Rows of hot keys meet their representative in a broadcast of the hot keys only; no other key has more rows than the
-    bound, so the rest is one shuffle with a window over small groups.
+    Rows of hot keys meet their representative, never each other; no other key has hot_rows rows, so the rest is one
+    shuffle with a window over small groups.
     """
-    hot = F.broadcast(hot_keys(keyed, rows, hot_rows))
-    of_hot = keyed.join(hot, "key", "left_semi")
-    first = (
-        of_hot.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).groupBy("key", "salt").agg(F.min("id").alias("first_id")).groupBy("key").agg(F.min("first_id").alias("first_id"))
-    )
-    hot_pairs = of_hot.join(F.broadcast(first), "key").select("first_id", F.col("id").alias("copy_id"))
+    hot = hot_keys(keyed, hot_rows)
+    first = _hot_first(keyed, hot).select("key", "first_id")
+    hot_pairs = keyed.join(hot, "key", "left_semi").join(first, "key").select("first_id", F.col("id").alias("copy_id"))
     rest = keyed.join(hot, "key", "left_anti").select(F.min("id").over(Window.partitionBy("key")).alias("first_id"), F.col("id").alias("copy_id"))
     return hot_pairs.unionByName(rest).where("first_id < copy_id")
-
-
-def prepared(keyed: DataFrame) -> tuple[DataFrame, int]:
-    """The keyed rows written once (24 bytes a row) and their number, so that counting and grouping read no text again."""
-    written = cut(keyed)
-    return written, written.count()

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from shroudline.llm import catalogue, conversations, copies, lookalikes, mojibake, packing, personal, residue, tokens, truncation
 
@@ -119,8 +120,6 @@ def test_whole_conversations_in_order(spark):
 
 
 def test_conversations_are_whole_under_every_plan(spark, data):
-    from pyspark.sql import functions as F
-
     steps = spark.read.parquet(f"{data}/step_messages.parquet")
     many = steps.join(spark.range(12).withColumnRenamed("id", "copy")).withColumn("task_id", F.concat(F.trim("task_id"), F.lit("-"), "copy")).withColumn("msg_id", F.col("msg_id") * 12 + F.col("copy"))
     once = rows(conversations.conversations(steps))
@@ -156,15 +155,24 @@ def test_copies_up_to_formatting(spark):
     items = spark.createDataFrame([(i, j, "clash") for i, j in enumerate(same + other, 1)], "item_id bigint, item_json string, key string")
     for hot in (20_000, 2):
         keyed = copies.keyed_items(items)
-        assert rows(copies.copy_pairs(keyed, 11, hot)) == [(1, 2), (1, 3)]
-        assert sorted(r.copies for r in copies.representatives(keyed, 11, hot).collect()) == [1, 1, 3]
-    assert copies.copy_pairs(copies.keyed_items(items.limit(0)), 0).count() == 0
+        assert rows(copies.copy_pairs(keyed, hot)) == [(1, 2), (1, 3)]
+        assert sorted(r.copies for r in copies.representatives(keyed, hot).collect()) == [1, 1, 3]
+    assert copies.copy_pairs(copies.keyed_items(items.limit(0))).count() == 0
+
+
+def test_hot_keys_give_the_same_pairs_however_they_are_joined(spark, monkeypatch):
+    keyed = spark.range(3_000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 700).cast("string")).cast("binary").alias("key"))
+    want = rows(copies.copy_pairs(keyed, 1_000_000))
+    assert rows(copies.copy_pairs(keyed, 100)) == want and len(want) > 2_000
+    assert rows(copies.representatives(keyed, 100)) == rows(copies.representatives(keyed, 1_000_000))
+    monkeypatch.setattr(copies, "MOST_BROADCAST", 0)
+    assert rows(copies.copy_pairs(keyed, 100)) == want
 
 
 def test_copies_of_nodes(spark):
     data = [(3, "https://A.b/x/", "Hi, you"), (1, "https://a.b/x", "hi YOU"), (2, None, "hi you"), (5, "https://a.b/x", None), (4, "https://a.b/x", " "), (None, "https://a.b/x", "hi you")]
     df = spark.createDataFrame(data, "node_pk bigint, href string, text string")
-    assert rows(copies.copy_pairs(copies.keyed_nodes(df), 6)) == [(1, 3), (4, 5)]
+    assert rows(copies.copy_pairs(copies.keyed_nodes(df))) == [(1, 3), (4, 5)]
 
 
 # 4 look-alikes
@@ -177,6 +185,9 @@ def test_same_looking_texts_meet(spark):
     want = [(a, b) for a in same for b in same if a < b and texts[a - 1] != texts[b - 1]]
     assert got == sorted(want)
     assert lookalikes.same_looking(df.limit(0), {}).count() == 0
+    twice = df.union(df.withColumn("node_pk", F.col("node_pk") + 100))  # copies of one spelling are no pair
+    again = [(min(a + x, b + y), max(a + x, b + y)) for a, b in want for x in (0, 100) for y in (0, 100)]
+    assert rows(lookalikes.same_looking(twice, counts)) == sorted(again, key=repr)
     assert lookalikes.same_looking(df, {}).count() == len(want)
 
 

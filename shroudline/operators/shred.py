@@ -169,17 +169,16 @@ def child_records(bodies: DataFrame) -> DataFrame:
 
     No scalar column is asked for, so none is shredded, and the join with them falls away.
     """
-    adjacent = adjacency(bodies, with_scalars=False)
-    return entity_rows(adjacent, {}).select("entry_id", "json_path").unionByName(text_table(adjacent).select("entry_id", "json_path"))
+    return entity_rows(adjacency(bodies, with_scalars=False), {}).select("entry_id", "json_path")
 
 
 def entity_rows(adjacent: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """Object nodes joined with their scalar children, labels pivoted to columns: (entry_id, entity, ordinal, json_path, parent_path, columns).
+    """Record nodes joined with their scalar children, labels pivoted to columns: (entry_id, entity, ordinal, json_path, parent_path, columns).
 
-    ``fields`` maps a label (compared without case and underscores) to the output column.  Both sides are spread by
+    Records that are plain texts have no children.  ``fields`` maps a label (compared without case and underscores) to the output column.  Both sides are spread by
     (entry, node), so an entry of any size is spread as well.
     """
-    objects = adjacent.where((F.col("kind") == "object") & F.col("json_path").isNotNull() & (F.col("entity") != "entry")).select(
+    objects = adjacent.where(F.col("json_path").isNotNull() & (F.col("entity") != "entry")).select(
         "entry_id", "node", "entity", "ordinal", "json_path", "parent_path"
     )
     wanted = {norm(label): column for label, column in fields.items()}

@@ -1,12 +1,15 @@
 """Template residue, filler and error pages instead of content.
 
-One automaton (Aho-Corasick) holds all phrases; a second set of its patterns are the openers of template placeholders,
-verified by their closing part.  A text is residue when the matched phrases, with technical remains around them (codes,
-paths, reference numbers), cover most of its letters and digits; when its words are filler; or when it holds an
-unfilled placeholder and does not speak about templates.
+One automaton (Aho-Corasick) holds all that is looked for: phrases of error pages and script notices in several
+languages, the words of filler texts, words of keys struck at random, values that were never filled in, and the openers
+of template placeholders.  Every match is verified where it stands: phrases and words by their edges, an opener by the
+placeholder it opens, filler words by the run they form.  A phrase covers itself; a placeholder or a run of filler covers
+its sentence, as nothing of that sentence was meant to be read; technical remains (codes, paths, reference numbers) are
+covered beside a phrase.  A text is residue when what is covered is at least COVERED (or SENTENCES) of its letters and digits.
 
 Defined results: null and blank texts are content (nothing was matched); letter case does not matter for phrases; a
-``[TYPE_n]`` token is never a placeholder; repeated rows are judged one by one.
+``[TYPE_n]`` token is never a placeholder; placeholders in texts that speak about templates cover nothing; repeated rows
+are judged one by one.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Share of a text's letters and digits that matched phrases must cover.
-COVERED = 0.6
+#: Share of a text's letters and digits that matches must cover; less is enough where whole sentences are residue, as a
+#: heading above filler text is made up as well.
+COVERED, SENTENCES = 0.6, 0.3
 
 #: What error pages, script notices and filler say, by language.
 PHRASES = """
@@ -57,7 +61,7 @@ FILLER = set(
     "ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
 _RARE = {w for w in FILLER if len(w) > 2} - {"est", "non", "sed", "duis", "sunt", "anim", "qui", "sint", "aute"}
-#: Openers of placeholders and the pattern of the whole placeholder.
+#: Openers of placeholders and the pattern of the whole placeholder they open.
 PLACEHOLDERS = {
     "{{": r"\{\{\s*[\w.\[\]'\"]+(?:\s*\|[^{}]*)?\s*\}\}",
     "{%": r"\{%-?\s*[^{}%]+?\s*-?%\}",
@@ -75,29 +79,40 @@ PLACEHOLDERS = {
 #: Words of texts that speak about templates instead of being one.
 TALK = re.compile(r"\b(?:templates?|format string|braces|brackets|placeholders?|syntax|interpolat\w+|to print a value|escape sequence|Vorlagen?|gabarits?|plantillas?)\b", re.I)
 _TECH = re.compile(r"(?:/[\w.-]+)+|\$\w+|[\w-]+\.(?:js|php|py|ts|jsx|html?|aspx?)\b|#?\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\b\d+(?::\d+)*\b|\b[A-Z]\w*(?:Exception|Error)\b", re.I)
-_VALUE = re.compile(r"^\W*(?:undefined|NaN|null|\[object Object\])\W+\w+(?:\W+\w+){0,4}\W*$")
+#: What a script prints for a value it does not have, as it is spelled; with a few words after it, that is the text.
+UNFILLED = ("undefined", "NaN", "null", "[object Object]")
+_VALUE = re.compile(r"\W*(?:undefined|NaN|null|\[object Object\])\W+\w+(?:\W+\w+){0,4}\W*")
+#: Keys struck at random and the like, and the pattern of such a word.
+STRUCK = ("asdf", "qwerty", "xx", "test", "bla", "foo", "bar", "aaa", "abc", "123")
+_STRUCK = re.compile(r"(?:asdf|qwerty|xx+|test|bla|foo|bar|aaa+|abc|123)+")
 _WORD = re.compile(r"\w")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_ASDF = re.compile(r"^\W*(?:(?:asdf|qwerty|xx+|test|bla|foo|bar|aaa+|abc|123)\W*)+$", re.I)
+_SENTENCE = re.compile(r"[.!?\u3002\uff01\uff1f\u0964][\"'\u201d\u00bb)\]]*\s+|\n+")
 
 
 @lru_cache(maxsize=1)
 def automaton():
     import ahocorasick
 
-    found = ahocorasick.Automaton()
+    kinds: dict[str, list[tuple[str, str]]] = {}
+    for word in FILLER:
+        kinds.setdefault(word, []).append(("filler", word))
+    for word in STRUCK:
+        kinds.setdefault(word, []).append(("struck", word))
+    for word in UNFILLED:
+        kinds.setdefault(word.lower(), []).append(("value", word))
+    for opener in PLACEHOLDERS:
+        kinds.setdefault(opener, []).append(("opener", opener))
     for phrase in PHRASES:
-        found.add_word(phrase, ("phrase", phrase))
+        kinds.setdefault(phrase, []).append(("phrase", phrase))
+    found = ahocorasick.Automaton()
+    for key, uses in kinds.items():
+        found.add_word(key, (key, uses))
     found.make_automaton()
     return found
 
 
-_OPENERS = tuple(PLACEHOLDERS)
-_PLACEHOLDER = re.compile("|".join(PLACEHOLDERS.values()))
-
-
-def placeholder(text: str) -> bool:
-    return any(o in text for o in _OPENERS) and _PLACEHOLDER.search(text) is not None
+_PLACEHOLDER = {opener: re.compile(pattern) for opener, pattern in PLACEHOLDERS.items()}
 
 
 def _edge(text: str, start: int, end: int) -> bool:
@@ -107,46 +122,101 @@ def _edge(text: str, start: int, end: int) -> bool:
     return before and after
 
 
-def _filler(low: str) -> bool:
-    """A run of four filler words, three of them no everyday words of a living language."""
-    if not any(w in low for w in _RARE):
-        return False
-    run = rare = 0
-    for word in _LETTERS.findall(low):
-        run, rare = (run + 1, rare + (word in _RARE)) if word in FILLER else (0, 0)
-        if run >= 4 and rare >= 3:
-            return True
-    return False
+def _runs(low: str, places: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of four filler words one after the other, three of them no everyday words of a living language."""
+    run: list[tuple[int, int]] = []
+    for a, b in [*places, (len(low) + 2, len(low) + 2)]:
+        if run and (a > len(low) or _LETTERS.search(low, run[-1][1], a)):
+            if len(run) >= 4 and sum(low[x:y] in _RARE for x, y in run) >= 3:
+                yield run[0][0], run[-1][1]
+            run = []
+        run.append((a, b))
 
 
-def residue(text: str | None) -> bool:
-    """True if the text is template residue, filler, an error page or a script notice."""
-    if not text or text.isspace():
-        return False
-    if placeholder(text):
-        return not TALK.search(text)
+def _sentence(text: str, start: int, end: int) -> tuple[int, int]:
+    first = 0
+    for m in _SENTENCE.finditer(text, 0, start):
+        first = m.end()
+    m = _SENTENCE.search(text, end)
+    return first, m.start() + 1 if m else len(text)
+
+
+def _whole_word(low: str, start: int, end: int) -> tuple[int, int]:
+    while start and low[start - 1].isalnum():
+        start -= 1
+    while end < len(low) and low[end].isalnum():
+        end += 1
+    return start, end
+
+
+def coverage(text: str) -> tuple[float, bool]:
+    """(the share of the text's letters and digits that verified matches cover, whether whole sentences are)."""
     low = text.lower()
     if len(low) != len(text):  # a letter whose lower case is longer: positions would shift
         text = low
     covered = bytearray(len(low))
     strong = False
-    for last, (_, phrase) in automaton().iter(low):
-        start = last - len(phrase) + 1
-        if _edge(low, start, last + 1):
-            strong |= phrase not in WEAK
-            covered[start : last + 1] = b"\1" * len(phrase)
-    if _VALUE.match(text) or _ASDF.match(low) or _filler(low):
-        return True
+    filler: list[tuple[int, int]] = []
+    struck: list[tuple[int, int]] = []
+    talks, sentences = None, False
+
+    def cover(a: int, b: int) -> None:
+        covered[a:b] = b"\1" * (b - a)
+
+    for last, (key, uses) in automaton().iter(low):
+        start, end = last - len(key) + 1, last + 1
+        for kind, what in uses:
+            if kind == "opener":
+                m = _PLACEHOLDER[what].match(text, start)
+                if m is not None:
+                    if talks is None:
+                        talks = TALK.search(text) is not None
+                    if not talks:
+                        strong = sentences = True
+                        cover(*_sentence(text, start, m.end()))
+            elif kind == "struck":
+                if _STRUCK.fullmatch(low, *(word := _whole_word(low, start, end))):
+                    struck.append(word)
+            elif not _edge(low, start, end):
+                continue
+            elif kind == "phrase":
+                strong |= what not in WEAK
+                cover(start, end)
+            elif kind == "filler":
+                filler.append((start, end))
+            elif not _WORD.search(text, 0, start) and _VALUE.fullmatch(text):
+                strong = True
+                cover(0, len(text))
+    if talks:  # a text about templates may quote what it speaks of
+        return 0.0, False
+    for a, b in _runs(low, filler):
+        strong = sentences = True
+        cover(_sentence(text, a, a)[0], _sentence(text, b, b)[1])
+    if struck and sum(b - a for a, b in set(struck)) == sum(map(len, _LETTERS_DIGITS.findall(low))):
+        strong = True
+        for a, b in struck:
+            cover(a, b)
     if not any(covered) or not strong and low.strip(" .!:\n\t\xa0") not in ALONE:
-        return False
+        return 0.0, False
     for m in _TECH.finditer(text):
-        covered[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+        cover(*m.span())
     total = matched = 0
     for i, ch in enumerate(low):
         if ch.isalnum() or not ch.isascii() and _WORD.match(ch):
             total += 1
             matched += covered[i]
-    return total > 0 and matched >= COVERED * total
+    return matched / total if total else float(any(covered)), sentences
+
+
+_LETTERS_DIGITS = re.compile(r"[^\W_]+")
+
+
+def residue(text: str | None) -> bool:
+    """True if the text is template residue, filler, an error page or a script notice."""
+    if not text or text.isspace():
+        return False
+    share, sentences = coverage(text)
+    return share >= (SENTENCES if sentences else COVERED)
 
 
 def flags(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -200,12 +200,12 @@ def test_forms_keep_their_script(spark):
 
 
 # 7 residue
-@pytest.mark.parametrize("text", ["404 Not Found", "{{ title | default }}", "Welcome back, %(name)s!", "Lorem ipsum dolor sit amet elit.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "[object Object]", "NaN items in your basket", "Posted by <%= author %> on {0}.", "502 BAD GATEWAY", "TITLE GOES HERE", "asdf asdf asdf"])
+@pytest.mark.parametrize("text", ["404 Not Found", "{{ title | default }}", "Welcome back, %(name)s!", "Lorem ipsum dolor sit amet elit.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "[object Object]", "NaN items in your basket", "Posted by <%= author %> on {0}.", "502 BAD GATEWAY", "TITLE GOES HERE", "asdf asdf asdf", "Quiet Garden Opens Again. Lorem ipsum magna elit lorem nostrud.", "undefined was saved", "{{ items }}"])
 def test_residue(text):
     assert residue.residue(text)
 
 
-@pytest.mark.parametrize("text", [None, "", " ", "Dear [NAME_1], your lamp is ready.", "We fixed the bug that sent readers to error 404, and 8 tested it.", "Write double braces such as {{ name }} in your template to print a value.", "This course on JavaScript starts on Friday.", "The printer filled the page with lorem ipsum, so it was reprinted.", "The undefined border was surveyed in 2012.", "Payment could not be completed. Try another card.", "ordinary words again " * 5_000])
+@pytest.mark.parametrize("text", [None, "", " ", "Dear [NAME_1], your lamp is ready.", "We fixed the bug that sent readers to error 404, and 8 tested it.", "Write double braces such as {{ name }} in your template to print a value.", "This course on JavaScript starts on Friday.", "The printer filled the page with lorem ipsum, so it was reprinted.", "The undefined border was surveyed in 2012.", "Payment could not be completed. Try another card.", "One sentence of this long report still holds {{ name }}. " + "The others were written by hand and say what they mean. " * 5, "ordinary words again " * 5_000])
 def test_content(text):
     assert not residue.residue(text)
 

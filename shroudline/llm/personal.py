@@ -1,12 +1,13 @@
 """Personal information in free text, found by bootstrapped contextual extraction and replaced by typed placeholders.
 
-1. Seeds: mail addresses, telephone and document numbers and postal addresses are known by their shape; the parts of
-   mail addresses and words after a title seed the names.
+1. Seeds: mail addresses, telephone numbers and postal addresses are known by their shape, document numbers only where
+   they are named as such (passport no., national ID, social security number); the parts of mail addresses and words
+   after a title seed the names.
 2. Every task counts edges between lexical patterns (the words around a candidate) and instances (a name's family part,
    a number's shape), each under its 64-bit digest.
-3. Spark scores the graph in rounds: a pattern is as sure as the share of its instances that are known, an instance as
-   sure as the patterns that hold it (noisy or).  High-confidence patterns bring in family names and number shapes that
-   no seed had.
+3. Spark scores the graphs in rounds: a pattern is as sure as the share of its instances that are known, an instance as
+   sure as the patterns that hold it.  High-confidence patterns bring in family names and the shapes of document numbers
+   that no seed had: numbers that stand where named ones stand.
 4. Spans are taken in order of kind (EMAIL, ADDRESS, ID, PHONE, NAME) and never overlap.
 
 Defined results: null and blank texts hold nothing; placeholders such as ``[EMAIL_1]`` and handles are left alone; equal
@@ -54,11 +55,11 @@ ADDRESS = re.compile(
     rf"|(?<![\w.,/-])\d{{1,4}}(?:{_S}?(?:bis|ter))?,?{_S}+(?i:rue|allée|avenue|boulevard|place|chemin|impasse|quai|route|cours){_S}+[\w'’ -]{{2,40}}?,{_S}*\d{{5}}{_S}+{_CITY}"
     rf"|(?i:Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Rua|Ulica|ul\.){_S}+[\w'’ -]{{2,40}}?{_S}+\d+\w?,?{_S}*\d{{2}}-?\d{{3}}{_S}+{_CITY}",
 )
+#: Document numbers that are named as such: the seeds of all others.
 ID = re.compile(
-    r"(?i:passport(?:\s+(?:no\.?|number|nr\.?))?\s*[:#]?\s*)[A-Za-z]{1,2}\d{6,8}\b|(?<![\w#-])[A-Z]\d{7}(?![\w-])"
-    r"|(?i:national\s+ID\s*[:#]?\s*)?(?<![\w-])\d{6}-\d{4}-[A-Za-z]\b"
-    r"|(?i:social\s+security\s+(?:number|no\.?)\s*[:#]?\s*|\bSSN\s*[:#]?\s*)\d{3}[\s -]?\d{2}[\s -]?\d{4}\b|(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])|(?<![\w.-])\d{3} \d{2} \d{4}(?![\w-])"
-    r"|(?<!\w)[A-Za-z]{5}\d{4}[A-Za-z](?!\w)|(?<![\w.+-])\d{4}([\s -])\d{4}\1\d{4}(?![\w-])"
+    r"(?i:passport(?:\s+(?:no\.?|number|nr\.?))?\s*[:#]?\s*)(?P<p>[A-Za-z]{1,2}\d{6,8})\b"
+    r"|(?i:national\s+ID\s*[:#]?\s*)(?P<n>\d{6}-\d{4}-[A-Za-z])\b"
+    r"|(?i:social\s+security\s+(?:number|no\.?)\s*[:#]?\s*|\bSSN\s*[:#]?\s*)(?P<s>\d{3}[\s\u00a0-]?\d{2}[\s\u00a0-]?\d{4})\b"
 )
 PHONE = re.compile(
     r"(?<![\w.+/-])(?:\+|00)\d{1,3}(?:[\s .-]{0,2}\(?\d{1,5}\)?){2,6}(?:\s*(?:ext\.?|x)\s*\d{1,5})?(?!\w)"
@@ -72,7 +73,7 @@ TITLES = frozenset("mr mrs ms miss dr prof shri smt sir herr frau señor señora
 _HINDI = re.compile(r"(?:श्रीमती|श्री|सुश्री|डॉ\.?)\s+[ऀ-ॿ]+(?:\s+(?!(?:से|को|ने|का|की|के|है|हैं|और|पर|द्वारा)(?![ऀ-ॿ]))[ऀ-ॿ]+)?")
 _TOKEN = re.compile(r"[^\W\d_](?:[\w'’-]*[^\W_])?\.?")
 _HELD = re.compile(r"\[[A-Z]+_\d+\]")
-_NUMBER = re.compile(r"(?<![\w.,+/-])[A-Za-z]{0,5}\d[\dA-Za-z]*(?:[ /-]?\d[\dA-Za-z]*){0,4}(?![\w-])")
+_NUMBER = re.compile(r"(?<![\w.,+/#@-])[A-Za-z]{0,5}\d[\dA-Za-z]*(?:[ \u00a0/-]?\d[\dA-Za-z]*){0,4}(?:[/-][A-Za-z])?(?![\w-])(?!\.\d)")
 
 
 def fold(word: str) -> str:
@@ -95,15 +96,27 @@ def _pattern(text: str, start: int, end: int) -> str:
 
 
 def _shape(value: str) -> str:
-    return re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", value))
+    return re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", re.sub(r"\s", " ", value)))
+
+
+def _numbers(text: str) -> Iterator[tuple[int, int]]:
+    """Places of numbers that may be a document's: four digits and eight letters or digits at least, not of goods or orders."""
+    for m in _NUMBER.finditer(text):
+        value = m.group(0)
+        if sum(map(str.isalnum, value)) >= 8 and _digits(value) >= 4:
+            yield m.span()
+
+
+def _of_goods(text: str, start: int) -> bool:
+    return _GOODS.search(text[max(0, start - 20) : start]) is not None
 
 
 class Lexicon:
-    """What the rounds have learned: digests of the known family names, given names and trusted patterns."""
+    """What the rounds have learned: digests of the known family names, given names, shapes of document numbers, and trusted patterns."""
 
-    def __init__(self, family: frozenset[int], given: frozenset[int], name_patterns: frozenset[int], id_patterns: frozenset[int]) -> None:
-        self.family, self.given, self.name_patterns, self.id_patterns = family, given, name_patterns, id_patterns
-        self.some_names, self.some_ids = bool(name_patterns), bool(id_patterns)
+    def __init__(self, family: frozenset[int], given: frozenset[int], name_patterns: frozenset[int], id_patterns: frozenset[int], id_shapes: frozenset[int] = frozenset()) -> None:
+        self.family, self.given, self.name_patterns, self.id_patterns, self.id_shapes = family, given, name_patterns, id_patterns, id_shapes
+        self.some_names, self.some_ids = bool(name_patterns), bool(id_shapes or id_patterns)
         self.memo: dict[str, int] = {}
         self.held: dict[str, bool] = {}
 
@@ -205,9 +218,6 @@ def _names(text: str, known: Lexicon) -> list[tuple[int, int]]:
 _PLACES = ("nagar", "colony", "layout", "puram", "vihar", "marg", "lane", " ln", "street", " st", "road", " rd", " ave", "close", "cresc", "drive", " dr", " row", " way", "court", " ct", "place", " pl",
            "square", " sq", "terrace", "boulev", "blvd", "garden", "grove", " walk", "mews", "parade", "highway", "hwy", "straße", "strasse", "weg ", "gasse", "platz", "allee", "ring ", "damm", "ufer",
            "am ", "an der", "im ", "zum ", "zur ", "rue ", "allée", "chemin", "impasse", "quai", "route", "cours", "calle", "avenida", "avda", "plaza", "paseo", "camino", "rua ", "ulica", "ul.")
-_MIXED = re.compile(r"[A-Za-z]\d{4}[A-Za-z]")
-
-
 _WHITE = re.compile(r"[^\S ]")
 
 
@@ -224,7 +234,7 @@ def _may_mail(low: str) -> bool:
 
 
 def _may_id(text: str, digits: int) -> bool:
-    return digits >= 6 or digits >= 4 and _MIXED.search(text) is not None
+    return digits >= 4
 
 
 def _digits(s: str) -> int:
@@ -257,11 +267,11 @@ def spans(text: str | None, known: Lexicon = EMPTY) -> list[tuple[int, int, str]
             view = masked.title() if text.islower() or text.swapcase().istitle() or text.isupper() else masked
             take("ADDRESS", [m.span() for m in ADDRESS.finditer(view if len(view) == len(masked) else masked)])
         if _may_id(text, digits):
-            take("ID", [m.span() for m in ID.finditer(masked) if not _GOODS.search(masked[max(0, m.start() - 20) : m.start()])])
+            take("ID", [m.span() for m in ID.finditer(masked) if not _of_goods(masked, m.start())])
+            if known.some_ids:
+                take("ID", [(a, b) for a, b in _numbers(masked) if (_h(_shape(masked[a:b])) in known.id_shapes or _h(_pattern(masked, a, b)) in known.id_patterns) and not _of_goods(masked, a)])
         if digits >= 8:
             take("PHONE", [m.span() for m in PHONE.finditer(masked) if 8 <= _digits(re.split(r"(?i)\s*(?:ext|x)", m.group(0))[0]) <= 15 and not _GOODS.search(masked[max(0, m.start() - 20) : m.start()])])
-        if digits >= 6 and known.some_ids:
-            take("ID", [m.span() for m in _NUMBER.finditer(masked) if _digits(m.group(0)) >= 6 and _h(_pattern(masked, *m.span())) in known.id_patterns and not _GOODS.search(masked[max(0, m.start() - 20) : m.start()])])
     if "श्री" in text or "डॉ" in text or "सुश्री" in text:
         take("NAME", [m.span() for m in _HINDI.finditer(masked)])
     if known.named(masked) or known.some_names and _PAIR.search(masked):
@@ -301,7 +311,7 @@ def _candidates(text: str) -> Iterator[tuple[str, str, int, int]]:
             yield second, first, m.start(), m.end()
 
 
-#: What an edge row says: seeds of family and given names, name edges, and how often a pattern holds a document number or another.
+#: What an edge row says: seeds of family and given names, name edges, named document numbers, other numbers, and numbers that are something else.
 _EDGES = "what string, pattern bigint, instance bigint, n bigint"
 
 
@@ -334,12 +344,15 @@ def edges(texts: DataFrame) -> DataFrame:
                         if given:
                             total["first", p, _h(fold(given))] += 1
                 if _may_id(t, _digits(t)):
-                    known = [m.span() for m in ID.finditer(t)]
-                    for a, b in known:
-                        total["id", _h(_pattern(t, a, b)), _h(_shape(t[a:b]))] += 1
-                    for m in _NUMBER.finditer(t):
-                        if _digits(m.group(0)) >= 6 and not any(a < m.end() and m.start() < b for a, b in known):
-                            total["number", _h(_pattern(t, *m.span())), 0] += 1
+                    named = [(m.span(), m.group(m.lastgroup)) for m in ID.finditer(t)]
+                    for (a, b), number in named:
+                        total["id", _h(_pattern(t, a, b)), _h(_shape(number))] += 1
+                    phones = None
+                    for a, b in _numbers(t):
+                        if not any(x < b and a < y for (x, y), _ in named):
+                            phones = [m.span() for m in PHONE.finditer(t)] if phones is None else phones
+                            other = _of_goods(t, a) or any(x < b and a < y for x, y in phones)
+                            total["other" if other else "number", _h(_pattern(t, a, b)), _h(_shape(t[a:b]))] += 1
             if len(total) > 200_000:
                 yield rows()
                 total.clear()
@@ -389,10 +402,37 @@ def bootstrap(spark: SparkSession, texts: DataFrame, rounds: int = ROUNDS) -> Le
     sure = patterns.select("pattern")
     first = all_edges.where("what = 'first'").join(sure, "pattern", "left_semi").groupBy("instance").agg(F.sum("n").alias("n")).where("n >= 3").select("instance")
     given = seeds.where("g > f and g >= 2").select("instance").union(first).distinct()
-    numbers = all_edges.where("what in ('id', 'number')").groupBy("pattern").agg(F.sum(F.when(F.col("what") == "id", F.col("n")).otherwise(0)).alias("i"), F.sum("n").alias("n"), F.count(F.when(F.col("what") == "id", 1)).alias("shapes"))
     family = scores.where(F.col("score") >= INSTANCE_SCORE).select("instance")
-    ids = numbers.where("i >= 0.9 * n and i >= 20 and shapes >= 3").select("pattern")
-    return Lexicon(_keys(family), _keys(given), _keys(sure), _keys(ids))
+    ids, shapes = _documents(all_edges, rounds)
+    return Lexicon(_keys(family), _keys(given), _keys(sure), _keys(ids), _keys(shapes))
+
+
+#: Least number of different shapes that make a number's pattern trusted, of trusted patterns that make a shape known, and of seeds of a shape.
+SHAPES, CONTEXTS, NAMED = 2, 3, 2
+
+
+def _documents(edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(trusted patterns of document numbers, their known shapes), by rounds over the graph of patterns and shapes.
+
+    A pattern is sure when nearly all its numbers that are judged (of a known shape, or of goods and telephones) are of a
+    known shape; numbers of unknown shape say nothing.  A shape is known when most of its numbers stand in trusted
+    patterns, and in several of them.
+    """
+    graph = cut(edges.where("what in ('id', 'number', 'other')").groupBy("pattern", "instance").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("what") == "id", F.col("n")).otherwise(0)).alias("named"), F.sum(F.when(F.col("what") == "other", F.col("n")).otherwise(0)).alias("other")))
+    known = graph.groupBy("instance").agg(F.sum("named").alias("named")).where(F.col("named") >= NAMED).select("instance")
+    sure = known.limit(0).withColumnRenamed("instance", "pattern")
+    for _ in range(rounds):
+        rated = graph.join(known.withColumn("is_known", F.lit(True)), "instance", "left")
+        good = F.when(F.col("is_known"), F.col("n") - F.col("other")).otherwise(0)
+        sure = (
+            rated.groupBy("pattern").agg(F.sum(good).alias("good"), F.sum("other").alias("bad"), F.count(F.when(F.col("is_known") & (F.col("n") > F.col("other")), 1)).alias("shapes"))
+            .where((F.col("good") >= PATTERN_SHARE * (F.col("good") + F.col("bad"))) & (F.col("shapes") >= SHAPES)).select("pattern")
+        )
+        within = graph.join(sure.withColumn("is_sure", F.lit(True)), "pattern", "left").groupBy("instance").agg(
+            (F.sum(F.when(F.col("is_sure"), F.col("n") - F.col("other")).otherwise(0)) / F.sum("n")).alias("within"), F.count(F.when(F.col("is_sure"), 1)).alias("contexts"), F.sum("named").alias("named"))
+        known = cut(within.where((F.col("named") >= NAMED) | (F.col("within") >= INSTANCE_SCORE) & (F.col("contexts") >= CONTEXTS)).select("instance"))
+    return sure, known
 
 
 def item_texts(items: DataFrame) -> DataFrame:
@@ -412,7 +452,7 @@ _known: dict[str, Lexicon] = {}
 
 
 def _share(spark: SparkSession, known: Lexicon):
-    shared = spark.sparkContext.broadcast((known.family, known.given, known.name_patterns, known.id_patterns))
+    shared = spark.sparkContext.broadcast((known.family, known.given, known.name_patterns, known.id_patterns, known.id_shapes))
     token = uuid.uuid4().hex
 
     def get() -> Lexicon:

@@ -218,8 +218,12 @@ def test_residue_of_page_meta(spark):
 
 
 # 6 personal information
+LEARNED = frozenset(map(personal._h, ("AAAAA9999A", "999-99-9999", "A9999999")))
+
+
 def test_spans_of_shapes():
-    kinds = lambda t: [k for _, _, k in personal.spans(t)]
+    known = personal.Lexicon(*[frozenset()] * 4, LEARNED)
+    kinds = lambda t: [k for _, _, k in personal.spans(t, known)]
     assert kinds("write to a.b@c.example or d dot e at f dot example") == ["EMAIL", "EMAIL"]
     assert kinds("call +44 7700 900496 or (208) 555-0179 or 06 39 98 65 98") == ["PHONE"] * 3
     assert kinds("order 9876543210, ISBN 978-0-00-345424-7, batch 2081-82-619") == []
@@ -230,7 +234,7 @@ def test_spans_of_shapes():
 
 
 def test_gates_hold_for_every_text_their_patterns_match(monkeypatch):
-    known = personal.Lexicon(personal.EMPTY.family, personal.EMPTY.given, personal.EMPTY.name_patterns, personal.EMPTY.id_patterns)
+    known = personal.Lexicon(*[frozenset()] * 4, LEARNED)
     odd = {
         "passport no. AB123456": ["ID"], "Passport A١٢٣٤٥٦": ["ID"], "+49 30 １２３４５６７": ["PHONE"], "+４９ ３０ １２３４５６７": ["PHONE"], "PAN ABCPK１２３４F": ["ID"],
         "a.b{at}c.example": ["EMAIL"], "a.b <AT> c.example": ["EMAIL"], "a.b＠c.example": ["EMAIL"], "d\u00a0at\u00a0f\u00a0dot\u00a0example": ["EMAIL"], "d at f\tdot\nexample": ["EMAIL"],
@@ -266,6 +270,23 @@ def test_bootstrapping_finds_names_no_seed_had(spark):
     assert personal.occurrences(texts.limit(0), empty).count() == 0
 
 
+def test_bootstrapping_finds_document_numbers_no_seed_had(spark):
+    random.seed(6)
+    digits = lambda n: "".join(random.choice("0123456789") for _ in range(n))
+    frames = ["The tenant gave {} as proof.", "We could not verify {}, please wait.", "It was filed under {}.", "Document: {}. Home: far."]
+    named = [f.format(n()) for f in frames for n in (lambda: f"passport no. B{digits(7)}", lambda: f"SSN {digits(3)} {digits(2)} {digits(4)}") for _ in range(3)]
+    bare = [f.format(n()) for f in frames for n in (lambda: f"7{digits(3)} {digits(4)} {digits(4)}", lambda: f"QRNPF{digits(4)}M") for _ in range(3)]
+    other = [f"order {digits(4)}-{digits(3)}-{digits(3)} left" for _ in range(9)] + [f"Call +44 7700 {digits(6)} now" for _ in range(9)] + [f"It weighs {digits(9)} grams" for _ in range(9)]
+    alone = ["Mine is 1234 5678 9012, I think", "the lot 1234-567-890 came"]
+    texts = spark.createDataFrame([("node_text", i, t) for i, t in enumerate(named + bare + other + alone)], "src_field string, rec_id bigint, text string")
+    known = personal.bootstrap(spark, texts)
+    kinds = lambda t, k: [kind for *_, kind in personal.spans(t, k)]
+    assert all(kinds(t, known) == ["ID"] for t in named + bare + alone[:1])
+    assert not any("ID" in kinds(t, known) for t in other + alone[1:])
+    assert not any(kinds(t, personal.EMPTY) for t in bare + alone)
+    assert {personal._h("9999 9999 9999"), personal._h("AAAAA9999A")} <= known.id_shapes
+
+
 def test_patterns_and_names_never_share_a_key(spark, monkeypatch):
     words = [f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in range(20_000)]
     assert len({personal._h(w) for w in words}) == len(words)

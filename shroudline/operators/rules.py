@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -98,14 +99,18 @@ class Rule:
     hindi: bool = False
 
 
-def _r(type_: str, pattern: str, group: int = 0, valid=None, not_after: str | None = None, weak: bool = False, ignore_case: bool = False) -> Rule:
+def _r(type_: str, pattern: str, group: int = 0, valid=None, not_after: str | None = None, weak: bool = False, ignore_case: bool = False, hindi: bool = False) -> Rule:
     flags = re.ASCII | (re.IGNORECASE if ignore_case else 0)
-    return Rule(type_, re.compile(pattern, flags), group, valid, re.compile(not_after, re.ASCII | re.IGNORECASE) if not_after else None, weak, pattern.startswith(("(?:ओ", "(?:स", "(?:ज", "(?:प", "(?:ख", _HI_TITLE, _HI_HOUSE, _HI_CITY)))
+    return Rule(type_, re.compile(pattern, flags), group, valid, re.compile(not_after, re.ASCII | re.IGNORECASE) if not_after else None, weak, hindi)
+
+
+#: Fixed value: a change of the kind of character; changes do not overlap.
+SWITCH = r"[a-z][A-Z]|[A-Z][a-z]|[A-Za-z]\d|\d[A-Za-z]"
+_SWITCH = re.compile(SWITCH, re.ASCII)
 
 
 def _switches(v: str) -> bool:
-    pairs = sum((a.islower() and b.isupper()) or (a.isupper() and b.islower()) or (a.isalpha() != b.isalpha() and a != "_" and b != "_") for a, b in zip(v, v[1:]))
-    return pairs >= 6 and not re.fullmatch(r"[A-Z][a-z]+(?:[A-Z][a-z]+)+\d*", v)
+    return len(_SWITCH.findall(v)) >= 6 and not re.fullmatch(r"[A-Z][a-z]+(?:[A-Z][a-z]+)+\d*", v, re.ASCII)
 
 
 def _few_digits(least: int):
@@ -162,29 +167,29 @@ RULES = (
     _r("PHONE", r"(?<![\w])\+?\d[\d\s().-]{7,}\d(?!\d)", valid=_landline, not_after=_REFERENCE_LATIN),
     _r("ADDRESS", rf"\b{_HOUSE},?\s+(?:[A-Z0-9][\w.'-]*,?\s+){{0,5}}?{_STREET}\b(?:\s+\d{{1,3}}[A-Z]?\b)?\.?(?:,\s*[A-Z0-9][\w'-]*(?:\s+[A-Z][\w'-]*){{0,2}}){{0,5}}(?:,?\s*(?:-\s*)?[1-9]\d{{2}}\s?\d{{3}}\b)?", valid=_address),
     _r("PINCODE", r"\b(?:PIN|Pincode|Postal|ZIP)(?:\s*code)?\s*[:\-]?\s*([1-9]\d{2}\s?\d{3})\b", 1, ignore_case=True),
-    _r("OTP", r"(?:ओटीपी|वन[- ]टाइम\s*(?:पासवर्ड|कोड)|सत्यापन\s*कोड)[^0-9\n]{0,24}(\d{4,8})", 1),
-    _r("CVV", r"(?:सीवीवी|सुरक्षा\s*कोड)[^0-9\n]{0,20}(\d{3,4})", 1),
-    _r("DOB", r"(?:जन्म\s*तिथि|जन्मतिथि|डीओबी)\s*[:\-]?\s*(\d{1,2}[/\-. ]\d{1,2}[/\-. ]\d{2,4})", 1),
-    _r("PINCODE", r"(?:पिन\s*कोड|डाक\s*कोड|पिनकोड)\s*[:\-]?\s*([1-9]\d{2}\s?\d{3})", 1),
-    _r("BANK_ACCOUNT", r"(?:खाता\s*(?:संख्या|नंबर|क्रमांक)|अकाउंट\s*नंबर)\s*[:\-]?\s*(\d[\d\s-]{5,20}\d)", 1, _few_digits(6)),
-    _r("NAME", rf"{_HI_TITLE}\s+({_HI}(?:\s+(?!{_HI_STOP}(?:\s|$|[।॥,.])|{_HI_CITY}){_HI}){{0,1}})", 1),
-    _r("ADDRESS", rf"{_HI_HOUSE}[,\s]+(?:{_HI}[,\s]+){{0,6}}?{_HI_STREET}(?:[,\s]+{_HI}){{0,3}}(?:[,\s]+[1-9]\d{{2}}\s?\d{{3}})?", valid=_address),
-    _r("LOCATION", _HI_CITY),
+    _r("OTP", r"(?:ओटीपी|वन[- ]टाइम\s*(?:पासवर्ड|कोड)|सत्यापन\s*कोड)[^0-9\n]{0,24}(\d{4,8})", 1, hindi=True),
+    _r("CVV", r"(?:सीवीवी|सुरक्षा\s*कोड)[^0-9\n]{0,20}(\d{3,4})", 1, hindi=True),
+    _r("DOB", r"(?:जन्म\s*तिथि|जन्मतिथि|डीओबी)\s*[:\-]?\s*(\d{1,2}[/\-. ]\d{1,2}[/\-. ]\d{2,4})", 1, hindi=True),
+    _r("PINCODE", r"(?:पिन\s*कोड|डाक\s*कोड|पिनकोड)\s*[:\-]?\s*([1-9]\d{2}\s?\d{3})", 1, hindi=True),
+    _r("BANK_ACCOUNT", r"(?:खाता\s*(?:संख्या|नंबर|क्रमांक)|अकाउंट\s*नंबर)\s*[:\-]?\s*(\d[\d\s-]{5,20}\d)", 1, _few_digits(6), hindi=True),
+    _r("NAME", rf"{_HI_TITLE}\s+({_HI}(?:\s+(?!{_HI_STOP}(?:\s|$|[।॥,.])|{_HI_CITY}){_HI}){{0,1}})", 1, hindi=True),
+    _r("ADDRESS", rf"{_HI_HOUSE}[,\s]+(?:{_HI}[,\s]+){{0,6}}?{_HI_STREET}(?:[,\s]+{_HI}){{0,3}}(?:[,\s]+[1-9]\d{{2}}\s?\d{{3}})?", valid=_address, hindi=True),
+    _r("LOCATION", _HI_CITY, hindi=True),
 )
 _TRAILING = re.compile(r"[\s,.;:-]+$")
 
 Span = tuple[int, int, str, str, str, bool]
 
 
-def rule_spans(text: str | None) -> list[Span]:
-    """Spans of all rules, overlaps resolved."""
+def matches(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[Span]:
+    """All valid matches of the rules in their order, overlaps included."""
     if not text:
         return []
     flat, places = scan_form(text)
     digits, low = sum(map(flat.count, "0123456789")), flat.lower()
     hindi = not flat.isascii() and _DEVANAGARI.search(flat) is not None
     found: list[Span] = []
-    for rule in RULES:
+    for rule in rules:
         # what every match of the rule must hold, tested before its pattern is searched
         if digits < _LEAST_DIGITS.get(rule.type, 0) or rule.type in _MARKS and not any([m in low for m in _MARKS[rule.type]]) or rule.hindi and not hindi:
             continue
@@ -205,24 +210,38 @@ def rule_spans(text: str | None) -> list[Span]:
                 held = places[start : start + len(value)]
                 a, b = min(held), max(held) + 1
             found.append((a, b, rule.type, value, "rule", rule.weak))
-    return resolve(found)
+    return found
+
+
+def rule_spans(text: str | None) -> list[Span]:
+    """Spans of all rules, overlaps resolved."""
+    return resolve(matches(text))
 
 
 _DEVANAGARI = re.compile("[\u0900-\u097f]")
 #: Digits (or, for IPv6, colons) and words without which no rule of a type can match.
 _LEAST_DIGITS = {"OTP": 4, "CVV": 3, "GSTIN": 6, "PAN": 4, "DRIVING_LICENSE": 13, "PASSPORT": 6, "VOTER_ID": 7, "SSN": 9, "CC": 13, "AADHAAR": 4, "BANK_ACCOUNT": 6, "DOB": 3, "PHONE": 9, "ADDRESS": 1, "PINCODE": 6}
-_MARKS = {"EMAIL": ("@",), "UPI": ("@",), "PASSWORD": ("password", "passwd", "pwd", "passcode", "pin"), "IP": (".", ":"), "VOTER_ID": ("voter", "epic"), "NAME": ("\u0936\u094d\u0930\u0940", "\u0938\u0941\u0936\u094d\u0930\u0940", "\u0915\u0941\u092e\u093e\u0930\u0940", "\u0921\u0949")}
+_MARKS = {
+    "EMAIL": ("@",), "UPI": ("@",), "PASSWORD": ("password", "passwd", "pwd", "passcode", "pin"), "IP": (".", ":"), "VOTER_ID": ("voter", "epic"),
+    "NAME": tuple(title.replace("\\.?", "") for title in _HI_TITLE[3:-1].split("|")),
+}
 
 
 def resolve(spans: list[Span]) -> list[Span]:
-    """Greedy choice without overlaps: sure rules first, then the longer, then the earlier in the list; in order of place."""
+    """Greedy choice without overlaps: sure rules first, then the longer, then the earlier in the list; in order of place.
+
+    The kept spans are held in order of place, so each candidate is tested against its two neighbours only.
+    """
+    if len(spans) < 2:
+        return list(spans)
     ranked = sorted(range(len(spans)), key=lambda i: (spans[i][4] != "rule" or spans[i][5], spans[i][0] - spans[i][1], i))
     kept: list[Span] = []
     for i in ranked:
         s = spans[i]
-        if all(s[1] <= k[0] or k[1] <= s[0] for k in kept):
-            kept.append(s)
-    return sorted(kept)
+        at = bisect_left(kept, s[0], key=lambda k: k[0])
+        if (at == len(kept) or s[1] <= kept[at][0]) and (at == 0 or kept[at - 1][1] <= s[0]):
+            kept.insert(at, s)
+    return kept
 
 
 _LETTER = re.compile(r"[^\W_]")
@@ -274,8 +293,17 @@ def encoded_spans(text: str) -> list[Span]:
     return out
 
 
+#: What a tagger's labels become; others are left out.
+NER_LABELS = {"PER": "NAME", "PERSON": "NAME", "NAME": "NAME", "LOC": "LOCATION", "LOCATION": "LOCATION"}
+
+
+def tagged_spans(text: str, tags: list[tuple[int, int, str]]) -> list[Span]:
+    """Spans of a tagger's (start, end, label), by the labels that name a person or a place."""
+    return [(a, b, NER_LABELS[label.upper()], text[a:b], "ner", False) for a, b, label in tags if (label or "").upper() in NER_LABELS and 0 <= a < b <= len(text)]
+
+
 def all_spans(text: str | None, known=(), terms=(), ner: Callable[[str], list[Span]] | None = None) -> list[Span]:
-    """Union of all producers; known values and terms rank with the rules."""
+    """Union of all producers; known values and terms rank with the rules, a tagger's spans after them."""
     if not text:
         return []
     spans = rule_spans(text)
@@ -288,14 +316,30 @@ def all_spans(text: str | None, known=(), terms=(), ner: Callable[[str], list[Sp
     return [(*s[:4], sources.get(s[:4], s[4]), s[5]) for s in resolve(spans + ranked + tagged)]
 
 
-def detect(c: Column, known: list[tuple[str, str]] = (), terms: list[tuple[str, str, bool]] = ()) -> Column:
-    """array of spans of a text column."""
+def detect(c: Column, known: list[tuple[str, str]] = (), terms: list[tuple[str, str, bool]] = (), ner: Column | None = None) -> Column:
+    """array of spans of a text column; ``ner`` is a column of a tagger's array<struct<start,end,label>>."""
+    fields = ("start", "end", "type", "value", "source", "weak")
 
     @F.pandas_udf(f"array<{SPAN}>")
     def run(texts: pd.Series) -> pd.Series:
-        fields = ("start", "end", "type", "value", "source", "weak")
         return texts.map(lambda t: [dict(zip(fields, s)) for s in all_spans(t, known, terms)])
 
+    @F.pandas_udf(f"array<{SPAN}>")
+    def with_tags(texts: pd.Series, tags: pd.Series) -> pd.Series:
+        read = lambda held: [(t["start"], t["end"], t["label"]) for t in held] if held is not None else []
+        return pd.Series([[dict(zip(fields, s)) for s in all_spans(t, known, terms, lambda text, g=g: tagged_spans(text, read(g)))] for t, g in zip(texts, tags)])
+
+    return run(c) if ner is None else with_tags(c, ner)
+
+
+def matched(c: Column, which: tuple[int, ...]) -> Column:
+    """array<string>: the values of all valid matches of some rules (numbers in RULES), overlaps included."""
+    rules = tuple(RULES[i] for i in which)
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [s[3] for s in matches(t, rules)])
+
     return run(c)
 
 
@@ -306,10 +350,10 @@ def exploded(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = (), **o
 
 
 def apply_tokens(text: Column, spans: Column, token: Callable[[Column], Column]) -> Column:
-    """The text with each span replaced, right to left, as one native fold."""
-    return F.aggregate(
-        F.reverse(spans), text, lambda acc, s: F.concat(F.substr(acc, F.lit(1), s["start"]), token(s), F.substr(acc, s["end"] + 1, F.length(acc)))
-    )
+    """The text with each span replaced: what lies between the spans is sliced once and joined with the tokens."""
+    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    piece = lambda s, end: F.concat(F.substr(text, end + 1, F.coalesce(s["start"] - end, F.length(text))), F.when(s.isNotNull(), token(s)).otherwise(""))
+    return F.when(F.size(spans) > 0, F.array_join(F.zip_with(spans, ends, piece), "")).otherwise(text)
 
 
 def coarse_token(s: Column) -> Column:

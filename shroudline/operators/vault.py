@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shroudline.operators.groups import sorted_groups
+from shroudline.operators.rules import apply_tokens
 
 
 #: Types whose values are compared by their digits only.
@@ -71,10 +72,10 @@ def tokenise(spans: DataFrame, vault: DataFrame) -> DataFrame:
 
 
 def redact(texts: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, redacted): each text with the tokens of its spans (key, start, end, token) in place, right to left."""
-    pieces = spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "token")), asc=False).alias("pieces"))
+    """(key, redacted): each text with the tokens of its spans (key, start, end, token) in place."""
+    pieces = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "token"))).alias("pieces"))
     joined = texts.select(key, F.col(text).alias("body")).join(pieces, key, "left")
-    spliced = F.aggregate("pieces", F.col("body"), lambda acc, s: F.concat(F.substr(acc, F.lit(1), s["start"]), s["token"], F.substr(acc, s["end"] + 1, F.length(acc))))
+    spliced = apply_tokens(F.col("body"), F.col("pieces"), lambda s: s["token"])
     return joined.select(key, F.coalesce(spliced, F.col("body")).alias("redacted"))
 
 

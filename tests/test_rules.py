@@ -47,6 +47,25 @@ def test_encoded_known_and_custom():
     assert kinds("ab@cd.example", ner=ner) == ["EMAIL"]
 
 
+def test_tags_of_a_column_become_spans(spark):
+    df = spark.createDataFrame([(1, "Rohan met ab@cd.example in Pune", [(0, 5, "PER"), (10, 23, "person"), (27, 31, "loc"), (6, 9, "MISC"), (5, 99, "PER")]), (2, "x", None), (3, None, None)], "id int, t string, tags array<struct<start:int,`end`:int,label:string>>")
+    got = {r.id: [(s.type, s.value, s.source) for s in r.s or []] for r in df.select("id", rules.detect(F.col("t"), ner=F.col("tags")).alias("s")).collect()}
+    assert got == {1: [("NAME", "Rohan", "ner"), ("EMAIL", "ab@cd.example", "rule"), ("LOCATION", "Pune", "ner")], 2: [], 3: []}
+
+
+@pytest.mark.parametrize("text", ["Ab1Cd2Ef3", "userId2Name9", "x9Yz8Wv7Ut6", "MyVar1Name2"])
+def test_changes_of_kind_do_not_overlap(text):
+    assert "SECRET" not in kinds(text)
+    assert kinds("aB3dE6gH9jK2") == ["SECRET"]
+
+
+def test_tokens_are_put_in_by_slices(spark):
+    df = spark.createDataFrame([("a x@y.example b x@z.example",), ("none",), ("",), ("x@y.example",)], "t string")
+    spans = rules.detect(F.col("t"))
+    got = [r.r for r in df.select(rules.apply_tokens(F.col("t"), spans, rules.coarse_token).alias("r")).collect()]
+    assert got == ["a [REDACTED_EMAIL] b [REDACTED_EMAIL]", "none", "", "[REDACTED_EMAIL]"]
+
+
 def test_checks_agree_with_columns(spark):
     from shroudline.functions import checks
 

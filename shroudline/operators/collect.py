@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shroudline.functions.text import normalize_url
+from shroudline.session import cut
 
 #: Actions a repeat, a reload or a retry is counted for.
 LOOP_ACTIONS = ("open_tab", "navigate", "click", "back")
@@ -84,16 +85,40 @@ def field_text(label: Column, value: Column, sensitive: Column, required: Column
     return F.concat_ws(" | ", label, shown, F.when(required, "REQUIRED"), F.when(error.isNotNull(), F.concat(F.lit("VALIDATION ERROR: "), error)))
 
 
-def stitched_frames(frames: DataFrame, depth: int = 64) -> DataFrame:
-    """Frames with their offset in the top page: a recursive query over (frame_id, parent_id, dx, dy)."""
-    spark = frames.sparkSession
-    frames.createOrReplaceTempView("shroudline_frames")
-    return spark.sql(f"""
-        WITH RECURSIVE tree(frame_id, x, y, depth) MAX RECURSION LEVEL {depth + 1} AS (
-          SELECT frame_id, dx, dy, 0 FROM shroudline_frames WHERE parent_id IS NULL
-          UNION ALL
-          SELECT f.frame_id, t.x + f.dx, t.y + f.dy, t.depth + 1 FROM shroudline_frames f JOIN tree t ON f.parent_id = t.frame_id WHERE t.depth < {depth})
-        SELECT frame_id, x, y, depth FROM tree""")
+def stitched_frames(frames: DataFrame) -> DataFrame:
+    """(frame_id, x, y, depth): frames of any depth with their offset in the top page, from (frame_id, parent_id, dx, dy).
+
+    Each round joins every frame with the chain of the ancestor it has reached, so chains double: the rounds are the
+    logarithm of the depth.  Frames without a way to the top (a lost parent, a circle) are left out.
+    """
+    here = frames.select("frame_id", F.col("parent_id").alias("up"), F.col("dx").alias("x"), F.col("dy").alias("y"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"))
+    most = here.count()
+    here, span = cut(here), 1
+    while span <= most and here.where("up is not null").limit(1).count():
+        above = here.select(F.col("frame_id").alias("a_id"), F.col("up").alias("a_up"), F.col("x").alias("a_x"), F.col("y").alias("a_y"), F.col("depth").alias("a_depth"))
+        met = here.join(above, F.col("up") == F.col("a_id"), "left").where("up is null or a_id is not null")
+        here = cut(met.select("frame_id", F.col("a_up").alias("up"), (F.col("x") + F.coalesce("a_x", F.lit(0))).alias("x"), (F.col("y") + F.coalesce("a_y", F.lit(0))).alias("y"), (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth")))
+        span *= 2
+    return here.where("up is null").drop("up")
+
+
+def frame_nodes(nodes: DataFrame, frame: str, node_id: str) -> DataFrame:
+    """The nodes of all frames as one page: ids of other frames than the top one carry their frame, so they are unique."""
+    return nodes.withColumn(node_id, F.when(F.col(frame) == 0, F.col(node_id)).otherwise(F.concat(F.lit("f"), F.col(frame).cast("string"), F.lit(":"), F.col(node_id))))
+
+
+def scroll_rounds(rounds: DataFrame, task: str, order: str, fresh: str, target: int, attempts: int = 15, stagnant: int = 3) -> DataFrame:
+    """(task, order, items, stop): the rounds of a scroll collection up to the one that ends it, with the reason.
+
+    It ends when ``target`` items are there, after ``attempts`` rounds, or after ``stagnant`` rounds without a new item.
+    """
+    w = Window.partitionBy(task).orderBy(order)
+    sums = rounds.select(task, order, F.sum(fresh).over(w).alias("items"), F.row_number().over(w).alias("round"), *[F.lag(fresh, i).over(w).alias(f"f{i}") for i in range(1, stagnant)], F.col(fresh).alias("f0"))
+    still = (F.col("round") >= stagnant) & (sum([F.coalesce(F.col(f"f{i}"), F.lit(0)) for i in range(stagnant)], F.lit(0)) == 0)
+    why = F.when(F.col("items") >= target, "target").when(still, "stagnant").when(F.col("round") >= attempts, "attempts")
+    marked = sums.select(task, order, "items", why.alias("stop"))
+    ended = F.coalesce(F.sum(F.when(F.col("stop").isNotNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.withColumn("ended", ended).where("ended = 0").drop("ended")
 
 
 def sanitize_items(items: Column, count: int = 200, length: int = 500, fields: int = 20, name: int = 80) -> Column:

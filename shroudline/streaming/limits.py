@@ -51,7 +51,8 @@ def rate_limited(requests: DataFrame, client: str, time: str, tie: str, limit: i
 
     slim = requests.where(F.col(client).isNotNull() & F.col(time).isNotNull()).select(F.col(client).alias("c"), F.col(tie).alias("k"), F.col(time).cast("timestamp").cast("double").alias("at"))
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    return slim.repartition("c").sortWithinPartitions("c", "at", "k").mapInPandas(run, f"{client} {kinds['c']}, {tie} {kinds['k']}, admitted boolean")
+    placed = slim.withColumn("place", F.xxhash64("c"))  # a column no earlier shuffle has, so the repartition is never dropped
+    return placed.repartition("place").sortWithinPartitions("place", "c", "at", "k").mapInPandas(run, f"{client} {kinds['c']}, {tie} {kinds['k']}, admitted boolean")
 
 
 class _Limiter(StatefulProcessor):
@@ -94,6 +95,17 @@ def event_stream(spark: SparkSession, directory: str, name: str = "events") -> D
     return spark.readStream.schema(schema).parquet(f"{directory}/{name}.parque[t]")
 
 
+#: The parts of a request a stream of JSON lines is read for.
+REQUEST = "taskId string, prompt string, iteration int, maxIterations int, siteConfigId string, currentUrl string, sendScreenshot boolean, _receivedAt double, sanitizedDom array<struct<id:string,role:string,text:string>>"
+
+
+def request_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests as JSON lines in a folder, as a stream of its files; lines that are no JSON are left out."""
+    lines = spark.readStream.text(folder)
+    parsed = lines.select(F.from_json("value", REQUEST).alias("r"), F.try_parse_json("value").alias("v"))
+    return parsed.where("v is not null and r is not null").select("r.*")
+
+
 def windowed(events: DataFrame, late: str = "10 minutes", size: str = "1 day") -> DataFrame:
     """Counts and sums in event-time windows; late rows beyond the watermark are dropped by the engine."""
     return (

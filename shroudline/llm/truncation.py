@@ -2,10 +2,11 @@
 
 Two kinds of evidence are combined.
 
-Length: for every source (host) a log-normal length distribution, right-censored at a candidate limit, is fitted by
-maximum likelihood; the candidate limits are the lengths at which the source's texts pile up far above their
-neighbourhood.  A text at such a limit has the censoring posterior S(limit) / (S(limit) + p(limit)).  Only histograms
-(host, length, count) are grouped by source, so a source with a third of all rows is as small as any other.
+Length: for every source (a host's field) a log-normal length distribution, a share q of it right-censored at a candidate
+limit, is fitted by maximum likelihood; the candidate limits are the lengths at which the source's texts pile up far
+above their neighbourhood.  A text at such a limit has the censoring posterior q S(limit) / (q S(limit) + p(limit)), a
+text at no limit that of a broken transfer.  Only histograms (source, length, count) are grouped by source, so a source
+with a third of all rows is as small as any other.
 
 Ending: what follows the cut (ellipsis, broken character, half an entity or tag) is set aside, and a logistic model on
 hashed features of the ending and of the last sentence's frame tells whether such an ending is complete.  How often all
@@ -27,12 +28,14 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shroudline.functions.text import scan_form
 from shroudline.llm.lookalikes import plain, skeleton
 from shroudline.llm.residue import residue
 from shroudline.operators.groups import sorted_groups
@@ -44,8 +47,8 @@ BITS = 18
 #: Shorter texts are labels; no cut copies are made of them.
 SHORTEST = 24
 THRESHOLD = 0.3
-#: The censoring posterior moves the log-odds by this much at most.
-MOST_CENSOR = 2.5
+#: Log-odds that a text at no limit of its source was cut, by a break of its transfer, beside what its ending tells.
+BREAK = -0.4
 #: Log-odds of an ending that its mark completes.
 COMPLETE = -99.0
 _SUFFIX = re.compile(r"(?:\s*(?:…|\.{3,}|\[\s*(?:…|\.\.\.)\s*\]|\(\s*(?:…|\.\.\.)\s*\)|�|\s[>»]|&[a-z#]\w{0,6}|</?\w{0,10}(?:\s[^<>]*)?|\\u?[0-9a-fA-F]{0,3}|%[0-9A-Fa-f]?))+\s*$")
@@ -73,15 +76,18 @@ def _hash(s: str) -> int:
 
 
 _WORDS = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]|\d+|(?:(?![\d_\u3040-\u30ff\u4e00-\u9fff])[\w\u0900-\u0903\u093a-\u094f\u0300-\u036f])+")
+#: The same for texts of ASCII.
+_ASCII = re.compile(r"[a-z]+|[0-9]+")
 _INNER = re.compile(r"[.!?。।！？][\"”“»’')\]]*\s+(?=[^a-z\s])|[。।](?=.)")
 
 
+@lru_cache(maxsize=8)
 def words_of(text: str) -> list[str]:
     """Words in one spelling: plain forms, look-alikes merged, lower case, numbers as 0, ideographs one by one."""
     flat = plain(text)
-    if not flat.isascii():
-        flat = skeleton(flat)
-    return ["0" if w.isdigit() else w for w in _WORDS.findall(flat.lower())]
+    if flat.isascii():
+        return [w if w >= "a" else "0" for w in _ASCII.findall(flat.lower())]
+    return ["0" if w.isdigit() else w for w in _WORDS.findall(skeleton(flat).lower())]
 
 
 #: A text that occurs so often as a whole is taught as complete, whatever a model of other texts says.
@@ -271,20 +277,27 @@ def corpus_counts(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((before, word, n), (text, n)) over all rows: words (before is empty) and neighbours, and short texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        singles: Counter = Counter()
+        beside: Counter = Counter()
 
         def rows() -> pa.RecordBatch:
-            keys = list(total)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64())], names=["before", "word", "n"])
+            before = [""] * len(singles) + [a for a, _ in beside]
+            return pa.RecordBatch.from_arrays([pa.array(before, pa.string()), pa.array([*singles, *[w for _, w in beside]], pa.string()), pa.array([*singles.values(), *beside.values()], pa.int64())], names=["before", "word", "n"])
 
         for batch in batches:
+            held, pairs = [], []
             for t in batch.column(0).to_pylist():
-                words, pairs = taught(t)
-                total.update([("", w) for w in words])
-                total.update(pairs)
-            if len(total) > 200_000:
+                found = words_of(t)
+                if found:
+                    last = len(found) if _CLOSED.search(t) else len(found) - 1
+                    held += found[:last]
+                    pairs += zip(found[:-2], found[1:-1])
+            singles.update(held)
+            beside.update(pairs)
+            if len(singles) + len(beside) > 200_000:
                 yield rows()
-                total.clear()
+                singles.clear()
+                beside.clear()
         yield rows()
 
     texts = nodes.where("text is not null").select("text")
@@ -304,8 +317,12 @@ def known_of(texts: list[tuple[str, str | None]], counts: tuple[DataFrame, DataF
     spark = words.sparkSession
     group = texts[1::2] + cut_copies(texts[1::2])
     keys = {got[1][:2] for t, role in group if (got := ending(t, role)) is not None}
-    wanted = F.broadcast(spark.createDataFrame(sorted(keys | {("", w) for _, w in keys}), "before string, word string"))
-    for r in lookup(words).join(wanted, ["before", "word"], "left_semi").collect():
+    asked = sorted(keys | {("", w) for _, w in keys})
+    wanted = F.broadcast(spark.createDataFrame(asked, "before string, word string"))
+    begun = F.broadcast(spark.createDataFrame(sorted({(b, w[:1]) for b, w in asked}), "b string, head string"))
+    # words that begin with no asked letter beside their neighbour need not be spelled out
+    near = words.join(begun, (F.col("before") == F.col("b")) & (F.left("word", F.lit(1)) == F.col("head")), "left_semi")
+    for r in lookup(near).join(wanted, ["before", "word"], "left_semi").collect():
         at = (r.before, r.word) if r.before else r.word
         (known.pairs if r.before else known.words)[at], (known.pair_prefixes if r.before else known.prefixes)[at] = r.exact, r.longer
     labels = spark.createDataFrame(sorted({(t,) for t, _ in group if len(t) <= LABEL}), "text string")
@@ -317,57 +334,75 @@ def _survival(log_n: float, mu: float, sigma: float) -> float:
     return 0.5 * math.erfc((log_n - mu) / (sigma * math.sqrt(2)))
 
 
-def fit_censored(lengths: np.ndarray, counts: np.ndarray, limit: int) -> tuple[float, float]:
-    """(mu, sigma) of a log-normal length right-censored at ``limit``, by expectation-maximisation of the likelihood."""
+def fit_censored(lengths: np.ndarray, counts: np.ndarray, limit: int) -> tuple[float, float, float]:
+    """(mu, sigma, share) of a log-normal length, a share of which is right-censored at ``limit``, by expectation-maximisation of the likelihood.
+
+    Texts above the limit were not under it; how many at the limit were longer is what each step expects.
+    """
     logs = np.log(np.maximum(lengths, 1))
-    seen, censored = lengths < limit, lengths >= limit
-    n_seen, n_cens = counts[seen].sum(), counts[censored].sum()
-    total = n_seen + n_cens
-    s1, s2 = (logs[seen] * counts[seen]).sum(), (logs[seen] ** 2 * counts[seen]).sum()
-    mu = s1 / n_seen if n_seen else math.log(limit)
-    sigma = max(0.2, math.sqrt(max(s2 / n_seen - mu * mu, 0.0))) if n_seen else 1.0
+    at, above = lengths == limit, lengths > limit
+    free = counts * ~at
+    n_free, n_at, n_above, total = free.sum(), counts[at].sum(), counts[above].sum(), counts.sum()
+    s1, s2 = (logs * free).sum(), (logs**2 * free).sum()
     c = math.log(limit)
+    mu = s1 / n_free if n_free else c
+    sigma = max(0.2, math.sqrt(max(s2 / n_free - mu * mu, 0.0))) if n_free else 1.0
+    share = 0.5 if n_above else 1.0
     for _ in range(60):
         a = (c - mu) / sigma
         tail = max(0.5 * math.erfc(a / math.sqrt(2)), 1e-12)
         mills = math.exp(-a * a / 2) / math.sqrt(2 * math.pi) / tail
+        longer = _censored(limit, mu, sigma, share) * n_at
         first = mu + sigma * mills
         second = mu * mu + sigma * sigma + sigma * (c + mu) * mills
-        new_mu = (s1 + n_cens * first) / total
-        new_sigma = math.sqrt(max((s2 + n_cens * second) / total - new_mu * new_mu, 1e-3))
+        here = n_at - longer
+        new_mu = (s1 + here * c + longer * first) / total
+        new_sigma = math.sqrt(max((s2 + here * c * c + longer * second) / total - new_mu * new_mu, 1e-3))
+        share = longer / (longer + n_above) if longer + n_above else 1.0
         done = abs(new_mu - mu) < 1e-6
         mu, sigma = new_mu, new_sigma
         if done:
             break
-    return mu, sigma
+    return mu, sigma, share
+
+
+def _censored(limit: int, mu: float, sigma: float, share: float) -> float:
+    """The chance that a text at the limit was longer."""
+    inside = max(_survival(math.log(limit - 0.5), mu, sigma) - _survival(math.log(limit + 0.5), mu, sigma), 1e-9)
+    beyond = share * _survival(math.log(limit + 0.5), mu, sigma)
+    return beyond / (beyond + inside)
 
 
 def source_limits(rows: list[tuple]) -> list[tuple]:
-    """(src, at, posterior) from one source's histogram (src, length, texts): the lengths at which texts pile up, with the chance that a text there was cut."""
+    """(src, at, posterior) from one source's histogram (src, length, texts): the lengths at which texts pile up, with the chance that a text there was cut.
+
+    The neighbourhood of every length comes from running sums, the likelihood is fitted at the piles only.
+    """
     lengths, counts = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    total, out = counts.sum(), []
-    for n, c in zip(lengths, counts):
-        if n < SHORTEST or c < 4:
-            continue
-        near = counts[(np.abs(lengths - n) <= 6) & (lengths != n)].sum() / 12
-        if c < 4 * near + 3:
-            continue
-        mu, sigma = fit_censored(lengths[lengths <= n], counts[lengths <= n], int(n))
-        inside = max(_survival(math.log(n - 0.5), mu, sigma) - _survival(math.log(n + 0.5), mu, sigma), 1e-9)
-        beyond = _survival(math.log(n + 0.5), mu, sigma)
-        if c > 2 * total * inside + 2:
-            out.append((rows[0][0], int(n), beyond / (beyond + inside)))
+    sums, out = np.concatenate([[0], counts.cumsum()]), []
+    low, high = np.searchsorted(lengths, lengths - NEAR), np.searchsorted(lengths, lengths + NEAR, side="right")
+    near = (sums[high] - sums[low] - counts) / (2 * NEAR)
+    for i in np.flatnonzero((lengths >= SHORTEST) & (counts >= 4) & (counts >= 3 * near + 3)):
+        n, c = int(lengths[i]), counts[i]
+        longer = min(_censored(n, *fit_censored(lengths, counts, n)), 1 - near[i] / c, 1 - 1 / (c + 2))  # never surer than the pile above its neighbours
+        if longer > 0.5:
+            out.append((rows[0][0], n, float(longer)))
     return out
 
 
+#: Lengths on either side that are a length's neighbourhood.
+NEAR = 6
+
+
 def _source() -> Column:
     """A field limit belongs to a field of a site: the host and the node's role."""
     return F.concat_ws("|", F.coalesce(F.col("host"), F.lit("")), F.coalesce(F.col("node_role"), F.lit("")))
 
 
 def limits(nodes: DataFrame) -> DataFrame:
-    """(src, at, posterior) of every source that has a limit; copies of one text count once."""
-    distinct = nodes.where("text is not null").select(_source().alias("src"), F.length("text").alias("n"), F.xxhash64("text").alias("h")).where(F.col("n") >= 8).groupBy("src", "n", "h").agg(F.lit(1).alias("one"))
+    """(src, at, posterior) of every source that has a limit; copies of one text, in whatever letters and case, count once."""
+    same = F.lower(scan_form(F.col("text")))
+    distinct = nodes.where("text is not null").select(_source().alias("src"), F.length("text").alias("n"), F.xxhash64(same).alias("h")).where(F.col("n") >= 8).groupBy("src", "n", "h").agg(F.lit(1).alias("one"))
     histogram = distinct.groupBy("src", "n").agg(F.count("*").alias("c"))
     return sorted_groups(histogram, ["src"], ["n"], source_limits, "src string, at int, posterior double")
 
@@ -443,16 +478,23 @@ def scored_by_corpus(nodes: DataFrame, model: Model, counts: tuple[DataFrame, Da
         weights, _ = shared.value
         memo: dict[tuple, float] = {}
         for batch in batches:
-            scores = []
-            for base, *rest in zip(*[c.to_pylist() for c in batch.columns[5:]]):
-                key = (*rest[:4], *[1 << n.bit_length() >> 1 for n in [max(0, (c or 0) - o) for c, o in zip(rest[5:], rest[4])]])
-                part = memo.get(key)
+            texts = [batch.column(i).dictionary_encode() for i in (6, 7, 9)]  # role, more, kind
+            held = np.stack([batch.column(i).fill_null(0).to_numpy() for i in range(11, 16)], axis=1) - batch.column(10).flatten().to_numpy().reshape(-1, 5)
+            bits = np.where(held > 0, np.floor(np.log2(np.maximum(held, 1))) + 1, 0).astype(np.int64)
+            key = np.column_stack([*[t.indices.to_numpy() for t in texts], batch.column(8).to_numpy(), bits])
+            packed = key @ np.array([1 << 45, 1 << 43, 1 << 40, 1 << 36, *[1 << 7 * i for i in range(5)]], dtype=np.int64)
+            _, first, where = np.unique(packed, return_index=True, return_inverse=True)
+            role, more, kind = (t.dictionary.to_pylist() for t in texts)
+            parts = np.zeros(len(first))
+            for j, row in enumerate(key[first].tolist()):
+                at = (role[row[0]], more[row[1]], row[3], kind[row[2]], *[1 << n >> 1 for n in row[4:]])
+                part = memo.get(at)
                 if part is None:
                     if len(memo) > 200_000:
                         memo.clear()
-                    part = memo[key] = float(weights[[_hash(s) for s in counted(*key[:4], key[4:])]].sum())
-                scores.append(base + part)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(scores, pa.float64())], names=["node_pk", "host", "site_config_id", "src", "n", "ending"])
+                    part = memo[at] = float(weights[[_hash(s) for s in counted(*at[:4], at[4:])]].sum())
+                parts[j] = part
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(batch.column(5).to_numpy() + parts[where])], names=["node_pk", "host", "site_config_id", "src", "n", "ending"])
 
     words, labels = counts
     table = lookup(words)
@@ -468,7 +510,7 @@ def judged(nodes: DataFrame, model: Model, threshold: float = THRESHOLD, counts:
     ends = scored(nodes, model) if counts is None else scored_by_corpus(nodes, model, counts)
     bounds = limits(nodes).select(F.col("src").alias("l_src"), "at", "posterior")
     joined = ends.join(bounds, (F.col("src") == F.col("l_src")) & (F.col("n") == F.col("at")), "left")
-    censor = F.when(F.col("posterior").isNull(), F.lit(0.0)).otherwise(F.least(F.lit(MOST_CENSOR), F.log(F.col("posterior") / F.greatest(F.lit(1e-6), 1 - F.col("posterior")))))
+    censor = F.coalesce(F.log(F.col("posterior") / (1 - F.col("posterior"))), F.lit(BREAK))
     return joined.select("node_pk", "host", "site_config_id", "ending", censor.alias("censor"), (F.col("ending") + censor > threshold).alias("cut"))
 
 

@@ -424,10 +424,28 @@ def test_censored_fit_recovers_the_distribution():
 
     rng = np.random.default_rng(1)
     n = np.exp(rng.normal(4.5, 0.6, 20_000)).astype(int)
-    cut = np.minimum(n, 100)
-    lengths, counts = np.unique(cut, return_counts=True)
-    mu, sigma = truncation.fit_censored(lengths, counts, 100)
-    assert abs(mu - 4.5) < 0.05 and abs(sigma - 0.6) < 0.05
+    for part in (1.0, 0.5):  # all or half of the texts stand under the limit
+        under = rng.random(len(n)) < part
+        lengths, counts = np.unique(np.where(under, np.minimum(n, 100), n), return_counts=True)
+        mu, sigma, share = truncation.fit_censored(lengths, counts, 100)
+        assert abs(mu - 4.5) < 0.05 and abs(sigma - 0.6) < 0.05 and abs(share - part) < 0.05
+        ((_, at, posterior),) = truncation.source_limits([("s", int(a), int(c)) for a, c in zip(lengths, counts)])
+        assert at == 100 and posterior > 0.95
+    assert truncation.source_limits([("s", a, 10) for a in range(24, 200)]) == []
+
+
+def test_the_posterior_decides_where_the_ending_does_not(spark):
+    random.seed(8)
+    frames = ["A {} lamp and a {} chair for the {}", "The {} near the {} of the {} town"]
+    words = "lantern orchard harbour market window bicycle blanket teapot notebook tractor village canal curtain basket printer".split()
+    texts = [random.choice(frames).format(*random.sample(words, 3)) + " " + " ".join(random.sample(words, random.randint(0, 6))) for _ in range(900)]
+    texts = sorted({t[:60].strip() if len(t) > 60 else t.strip() for t in texts})
+    df = nodes(spark, texts)
+    limit = {r.at: r.posterior for r in truncation.limits(df).collect()}
+    assert limit.get(60, 0) > 0.8
+    model = truncation.fit([(t, "paragraph") for t in texts])
+    got = {r.node_pk: (r.ending, r.censor) for r in truncation.judged(df, model).collect()}
+    assert all((got[i][1] > 1) == (len(t) in limit) for i, t in enumerate(texts, 1))
 
 
 # whole tables

@@ -57,7 +57,7 @@ def paths(moves: DataFrame, key: str, width: Column | None = None) -> DataFrame:
     far = F.sqrt(dx * dx + dy * dy)
     steps = F.when(far < 4, 1).otherwise(F.greatest(F.lit(8), F.least(F.lit(65), F.round(fitts_ms(far, width if width is not None else F.lit(30.0)) / 16).cast("int"))))
     bend = F.when(uniform(k, "side") < 0.5, 1).otherwise(-1) * (0.12 + uniform(k, "bend") * 0.18) * far
-    px, py = -dy / far, dx / far
+    px, py = F.try_divide(-dy, far), F.try_divide(dx, far)
     d1, j1, d2, j2 = 0.25 + uniform(k, "d1") * 0.15, (uniform(k, "j1") - 0.5) * 6, 0.70 + uniform(k, "d2") * 0.15, (uniform(k, "j2") - 0.5) * 4
     control = {"ax": F.col("x0") + dx * d1 + px * bend * 0.85 + j1, "ay": F.col("y0") + dy * d1 + py * bend * 0.85 + j1, "bx": F.col("x0") + dx * d2 + px * bend * 0.35 + j2, "by": F.col("y0") + dy * d2 + py * bend * 0.35 + j2}
     rows = moves.withColumns({"steps": steps, **control}).withColumn("step", F.explode(F.sequence(F.lit(1), "steps")))

@@ -90,6 +90,43 @@ def fuse(probabilities: DataFrame, priors: DataFrame, key: str) -> DataFrame:
     return shifted.select(key, "class", (F.col("e") / F.sum("e").over(of)).alias("p"))
 
 
+#: Structural counts of a page from its nodes.  t is a node's text and f the words of its field, in lower case;
+#: {m}(x, {q}'pattern') is a pattern match, {w} the number of words of t.  Areas are shares of a screen of 1280 by 720.
+_FIELD = "node_role IN ('textbox', 'combobox', 'checkbox', 'searchbox', 'password', 'file')"
+_N = "count(CASE WHEN {} THEN 1 END)"
+_HAS = "max(CASE WHEN {} THEN 1 ELSE 0 END)"
+FEATURES = {
+    "fields": _N.format(_FIELD), "pw": _N.format(_FIELD + " AND {m}(f, {q}'password|passwd|pwd')"), "other_fields": _N.format(_FIELD + " AND NOT {m}(f, {q}'password|passwd|pwd')"),
+    "email_fields": _N.format(_FIELD + " AND {m}(f, {q}'e-?mail')"), "card_fields": _N.format(_FIELD + " AND {m}(f, {q}'cc-|card|cvv|cvc|expir')"), "file_inputs": _N.format("node_role = 'file'"),
+    "search_value": _HAS.format("(node_role = 'searchbox' OR " + _FIELD + " AND {m}(f, {q}'search|query|^q$')) AND coalesce(field_value, '') <> ''"), "url_query": _HAS.format("{m}(coalesce(href, ''), {q}'(?i)[?&](?:q|query|search|keyword|k|_nkw|text)=')"),
+    "links": _N.format("node_role = 'link'"), "images": _N.format("node_role = 'img' AND rect.w >= 60"), "round_images": _N.format("node_role = 'img' AND rect.w = rect.h AND {m}(coalesce(src, ''), {q}'(?i)avatar|profile')"),
+    "video_area": "round(coalesce(max(CASE WHEN node_role = 'video' THEN cast(rect.w AS double) * rect.h END), 0) / 921600, 2)", "canvas_area": "round(coalesce(max(CASE WHEN node_role = 'canvas' THEN cast(rect.w AS double) * rect.h END), 0) / 921600, 2)",
+    "map_hint": _HAS.format("{m}(coalesce(src, ''), {q}'(?i)leaflet|mapbox|maplibre|/maps/|openstreetmap')"), "pdf_hint": _HAS.format("{m}(coalesce(href, ''), {q}'(?i)\\.pdf(?:$|[?])')"),
+    "table_rows": _N.format("node_role IN ('row', 'cell')"), "code_lines": "coalesce(sum(CASE WHEN node_role = 'code' THEN 1 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) END), 0)",
+    "articles": _N.format("node_role = 'article'"), "paragraphs": _N.format("node_role = 'paragraph' AND length(text) > 80"), "words": "sum({w})",
+    "prices": _N.format("{m}(t, {q}'(?:₹|rs[.]?|[$]|€|£|inr|usd)\\s?\\d')"), "captcha": _HAS.format("{m}(t, {q}'verify you are human|not a robot|verification required|performing security|captcha')"),
+    "error_title": _HAS.format("node_role = 'heading' AND {m}(t, {q}'\\b(?:404|403|500|not found|access denied|no such|unavailable|error)\\b')"),
+    "kyc_hint": _HAS.format("{m}(t, {q}'\\b(?:kyc|aadhaa?r|pan card|passport|identity (?:proof|verification))\\b')"), "bank_hint": _HAS.format("{m}(t, {q}'\\b(?:account balance|available balance|a/c no|ifsc|net ?banking|statement|transactions?|beneficiar)')"),
+    "inbox_hint": _HAS.format("{m}(t, {q}'\\b(?:inbox|compose|drafts|sent mail|spam)\\b')") + " * " + _HAS.format("{m}(t, {q}'\\b(?:from|subject|unread)\\b')"),
+    "chat_hint": _HAS.format("{m}(t, {q}'\\b(?:type a message|send message|chat|channel|dm|direct message)\\b')") + " * " + _HAS.format("node_role = 'textbox'"),
+    "profile_hint": _HAS.format("{m}(t, {q}'\\b(?:followers|following|joined|repositories|posts|connections|about me)\\b')") + " * " + _HAS.format("node_role = 'img' AND rect.w >= 120"),
+    "repo_hint": _HAS.format("{m}(t, {q}'\\b(?:commits?|branch(?:es)?|pull requests?|readme|fork|star|issues)\\b')") + " * " + _HAS.format("{m}(t, {q}'\\b(?:code|files?)\\b')"),
+    "feed_hint": _HAS.format("{m}(t, {q}'\\b(?:\\d+[hm] ago|\\d+[hmd]\\b|likes?|reposts?|retweets?|comments?|replies|points by|upvotes?)\\b')"),
+}
+
+
+def feature_sql(name: str, match: str, quote: str, words: str) -> str:
+    """A feature as SQL of an engine: the name of its pattern match, what marks a literal without escapes, and its count of words."""
+    out = FEATURES[name].replace("{m}", match).replace("{q}", quote).replace("{w}", words)
+    return f"CAST({out} AS {'DOUBLE' if name.endswith('_area') else 'BIGINT'}) AS {name}"
+
+
+def page_features(nodes: DataFrame, page: str) -> DataFrame:
+    """The structural counts of each page, one aggregation with partial counts."""
+    rows = nodes.withColumn("t", F.lower(F.coalesce("text", F.lit("")))).withColumn("f", F.lower(F.concat_ws(" ", "label", "placeholder")))
+    return rows.groupBy(page).agg(*[F.expr(feature_sql(name, "regexp_like", "r", r"regexp_count(t, r'\S+')")) for name in FEATURES])
+
+
 def screen_priors(features: DataFrame, key: str) -> DataFrame:
     """(key, class, w): summed evidence of the cues that hold."""
     cues = F.array(*[F.when(F.expr(condition), F.struct(F.lit(c).alias("class"), F.lit(w).alias("w"))) for c, w, condition in PRIORS])

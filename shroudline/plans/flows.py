@@ -26,7 +26,8 @@ def rate_limit_seq(spark: SparkSession, d: str) -> DataFrame:
 
 
 def window_stream(spark: SparkSession, d: str) -> DataFrame:
-    return limits.run_to_end(limits.windowed(limits.event_stream(spark, d)), _folder(spark), "windows")
+    done = limits.run_to_end(limits.windowed(limits.event_stream(spark, d)), _folder(spark), "windows")
+    return done.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def dedupe_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -71,6 +72,11 @@ QUERIES = {f.__name__: f for f in (rate_limit_seq, window_stream, dedupe_stream,
 ORACLE = {
     "session_windows": """SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
         (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""",
+    "rate_limit_seq": """WITH l AS (SELECT user_id, list_prepend([[]::DOUBLE[], []::DOUBLE[]], list([[epoch(ts)::DOUBLE], [event_id::DOUBLE]] ORDER BY ts, event_id)) AS l FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1)
+        SELECT CAST(unnest(list_reduce(l, lambda a, y: CASE WHEN len(list_filter(a[1], lambda t: y[1][1] - t <= 36000)) >= 3 THEN [list_filter(a[1], lambda t: y[1][1] - t <= 36000), list_concat(a[2], y[2])] ELSE [list_concat(list_filter(a[1], lambda t: y[1][1] - t <= 36000), y[1]), a[2]] END)[2]) AS BIGINT) AS event_id FROM l""",
+    "window_stream": "SELECT start, event_type, n, total FROM (SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",
+    "audit_tail": """SELECT entry_id, taskId, iteration, _receivedAt FROM (SELECT entry_id, json_extract_string(body, '$.taskId') AS taskId, TRY_CAST(json_extract_string(body, '$.iteration') AS INTEGER) AS iteration, TRY_CAST(json_extract_string(body, '$._receivedAt') AS DOUBLE) AS _receivedAt FROM (SELECT entry_id, CASE WHEN json_valid(body) THEN body END AS body FROM audit_entries) WHERE json_type(body) = 'OBJECT')
+        WHERE _receivedAt IS NOT NULL ORDER BY _receivedAt DESC, taskId, iteration LIMIT 50""",
     "dedupe_stream": "SELECT event_id, min(user_id) AS user_id FROM events GROUP BY event_id",
     "link_counts": "SELECT coalesce(href, '#') AS href, count(*) AS n FROM nodes WHERE text IS NOT NULL GROUP BY 1",
     "retention": "SELECT host, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY received_at DESC, entry_id) AS age FROM audit_entries) WHERE age <= 3",

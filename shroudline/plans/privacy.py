@@ -262,6 +262,9 @@ ORACLE = {
     "field_category": f"SELECT node_pk, {_CATEGORY} AS category FROM (SELECT node_pk, concat_ws(' ', label, placeholder) AS l FROM nodes WHERE label IS NOT NULL OR placeholder IS NOT NULL)",
     "origin_policy": f"SELECT node_pk, coalesce({_HOST} <> '' AND (({_HOST} = 'eastwiki.example' OR ends_with({_HOST}, '.eastwiki.example')) OR lower(regexp_extract(href, '(?i)^(https?://[^/?#]+)', 1)) = 'https://my.fernport.test' OR lower(regexp_extract(href, '(?i)^(https?://[^/?#]+)', 1)) = 'https://' || host), false) AS allowed FROM nodes WHERE href IS NOT NULL",
     "screenshot_gate": f"SELECT msg_id, CASE WHEN regexp_matches(coalesce(prompt, ''), '{_sql(policy.IMAGE_TASK)}') THEN 'visual_task' WHEN coalesce(screen_state_confidence, 1.0) < 0.35 THEN 'low_confidence' END AS reason FROM step_messages",
+    "overlap_resolve": """WITH l AS (SELECT l_orderkey, list([{a: CAST(l_partkey % 40 AS INTEGER), b: CAST(l_partkey % 40 + CAST(floor(l_quantity) AS INTEGER) % 12 + 1 AS INTEGER)}] ORDER BY l_returnflag = 'R', -(CAST(floor(l_quantity) AS INTEGER) % 12), l_linenumber, l_partkey % 40) AS s FROM lineitem GROUP BY 1),
+        k AS (SELECT l_orderkey, list_reduce(s, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: x[1].a < y.b AND y.a < x[1].b)) > 0 THEN acc ELSE list_concat(acc, x) END) AS k FROM l)
+        SELECT l_orderkey, len(k) AS kept, CAST(list_sum(list_transform(k, lambda y: y.b - y.a)) AS BIGINT) AS covered FROM k""",
     "risky_action": f"SELECT node_pk, regexp_matches(text, '{_sql(policy._words(policy.HARD_RISK))}') OR (node_role IN ('button', 'link') AND length(text) <= 24 AND regexp_matches(text, '{_sql(policy._words(policy.SOFT_RISK))}')) AS risky FROM nodes WHERE text IS NOT NULL AND interactive",
     "device_tier": "SELECT p_partkey, CASE WHEN c <= 2 OR coalesce(m <= 2, false) THEN 'eco' WHEN c >= 8 AND (m IS NULL OR m >= 8) THEN 'max' ELSE 'balanced' END AS tier FROM (SELECT p_partkey, p_size % 12 AS c, CASE WHEN p_partkey % 3 > 0 THEN p_size % 16 END AS m FROM part)",
 }

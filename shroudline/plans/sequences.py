@@ -200,21 +200,18 @@ def head_training(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    """Structural counts of each page from its nodes; counts the pages do not have are zero."""
-    n = lambda c: F.count(F.when(c, 1)).alias
-    role, text = F.col("node_role"), F.coalesce(F.col("text"), F.lit(""))
-    rows = table(spark, d, "nodes").groupBy("page_id").agg(
-        n(role.isin("textbox", "combobox", "checkbox"))("fields"), n(text.rlike("(?i)password"))("pw"), n(role == "textbox")("other_fields"), n(role == "link")("links"), n(role == "img")("images"), n(role == "article")("articles"),
-        n(role == "paragraph")("paragraphs"), n(role == "cell")("table_rows"), F.sum(F.regexp_count(text, F.lit(r"\S+"))).alias("words"), n(text.rlike(r"[$€£₹]\s?\d"))("prices"), n(text.rlike("(?i)search"))("search_value"), n(text.rlike("(?i)not found|access denied"))("error_title"),
-    )
-    zero = ("captcha", "url_query", "email_fields", "card_fields", "kyc_hint", "file_inputs", "bank_hint", "inbox_hint", "chat_hint", "profile_hint", "repo_hint", "code_lines", "canvas_area", "map_hint", "video_area", "pdf_hint", "feed_hint", "round_images")
-    return rows.withColumns({c: F.lit(0) for c in zero})
+    return vision.page_features(table(spark, d, "nodes"), "page_id")
 
 
 def screen_priors(spark: SparkSession, d: str) -> DataFrame:
     return vision.screen_priors(_features(spark, d), "page_id")
 
 
+def page_features(spark: SparkSession, d: str) -> DataFrame:
+    """Structural counts of each page."""
+    return _features(spark, d)
+
+
 def fuse_priors(spark: SparkSession, d: str) -> DataFrame:
     """Zero-shot classes of vectors fused with evidence of pages of the same number."""
     e = _embeddings(spark, d)
@@ -299,11 +296,13 @@ def rate_limit_window(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     dedupe_first, merge_cap, fact_upsert, template_upsert, newest_per_user, reading_order, roi_top, marks, field_texts, site_config_join, mock_collect, synth_concat, sanitize_items, repeat_streak, no_progress, url_visits, retry_guard, frame_tree,
-    floor_percentile, median_loop, stage_average, success_rate, engine_stats, image_rate, arms, l2_normalize, zero_shot, zero_shot_top, class_accuracy, confusion, head_training, screen_priors, fuse_priors, feature_vector, hamming_pairs, iou_pairs, mosaic_cells, nms_boxes, ctc,
+    floor_percentile, median_loop, stage_average, success_rate, engine_stats, image_rate, arms, l2_normalize, zero_shot, zero_shot_top, class_accuracy, confusion, head_training, page_features, screen_priors, fuse_priors, feature_vector, hamming_pairs, iou_pairs, mosaic_cells, nms_boxes, ctc,
     span_prf, face_match, pixel_prf, group_folds, rate_limit_window,
 )}
 
 _ISL = "SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, CASE WHEN sig IS NOT NULL AND sig IS NOT DISTINCT FROM lag(sig) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS fresh FROM ({}))"
+_ROWS = "SELECT *, lower(coalesce(text, '')) AS t, lower(concat_ws(' ', label, placeholder)) AS f FROM nodes"
+_PAGE = ", ".join(vision.feature_sql(name, "regexp_matches", "", r"len(regexp_extract_all(t, '[^\t\n\x0B\f\r ]+'))") for name in vision.FEATURES)
 _IOU = "CASE WHEN aw * ah + bw * bh - i > 0 THEN i / (aw * ah + bw * bh - i) ELSE 0 END"
 _PROTO = """WITH e AS (SELECT vec_id, label::VARCHAR AS class, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
  m AS (SELECT class, i, avg(x) AS m FROM e GROUP BY ALL), u AS (SELECT class, i, m / sqrt(sum(m * m) OVER (PARTITION BY class)) AS m FROM m),
@@ -357,7 +356,16 @@ ORACLE = {
     "confusion": _PROTO + " SELECT label::VARCHAR AS label, class, count(*) AS n FROM r JOIN embeddings USING (vec_id) WHERE rank = 1 AND label::VARCHAR <> class GROUP BY 1, 2",
     "fuse_priors": _PROTO + """, l AS (SELECT r.vec_id, class, ln(greatest(p, 1e-6)) + CASE class WHEN '1' THEN vec_id % 4 WHEN '2' THEN vec_id % 3 ELSE 0 END AS l FROM r WHERE rank <= 10),
         z AS (SELECT *, exp(l - max(l) OVER (PARTITION BY vec_id)) AS z FROM l) SELECT vec_id, class, round(z / sum(z) OVER (PARTITION BY vec_id), 4) AS p FROM z""",
-    "feature_vector": r"""SELECT page_id, round(ln(1 + f) / 4, 6) AS fields, round(ln(1 + l) / 4, 6) AS links, round(ln(1 + w) / 4, 6) AS words FROM (SELECT page_id, count(*) FILTER (node_role IN ('textbox', 'combobox', 'checkbox')) AS f,
+    "page_features": f"SELECT page_id, {_PAGE} FROM ({_ROWS}) GROUP BY page_id",
+    "screen_priors": f"WITH f AS (SELECT page_id, {_PAGE} FROM ({_ROWS}) GROUP BY page_id) SELECT page_id, class, sum(w) AS w FROM (" + " UNION ALL ".join(f"SELECT page_id, '{c}' AS class, {w}::DOUBLE AS w FROM f WHERE {condition}" for c, w, condition in vision.PRIORS) + ") GROUP BY ALL",
+    "nms_boxes": f"""WITH l AS (SELECT l_orderkey, list([{{p: l_extendedprice, ax: (l_partkey % 50)::DOUBLE, ay: (l_suppkey % 20)::DOUBLE, aw: (l_quantity + 5)::DOUBLE, ah: (l_linenumber + 10)::DOUBLE}}] ORDER BY l_extendedprice DESC, l_partkey % 50 DESC, l_suppkey % 20 DESC, l_quantity DESC, l_linenumber DESC) AS bs FROM lineitem GROUP BY 1)
+        SELECT l_orderkey, CAST(len(bs) AS INTEGER) AS boxes, CAST(len(list_reduce(bs, lambda acc, y: CASE WHEN len(list_filter(acc, lambda k: greatest(0, least(k.ax + k.aw, y[1].ax + y[1].aw) - greatest(k.ax, y[1].ax)) * greatest(0, least(k.ay + k.ah, y[1].ay + y[1].ah) - greatest(k.ay, y[1].ay)) > 0.3 * (k.aw * k.ah + y[1].aw * y[1].ah - greatest(0, least(k.ax + k.aw, y[1].ax + y[1].aw) - greatest(k.ax, y[1].ax)) * greatest(0, least(k.ay + k.ah, y[1].ay + y[1].ah) - greatest(k.ay, y[1].ay))))) > 0 THEN acc ELSE list_concat(acc, y) END)) AS INTEGER) AS kept FROM l""",
+    "ctc": "SELECT c_custkey, array_to_string(list_filter(l, lambda x, i: x <> '0' AND (i = 1 OR l[i - 1] <> x)), '') AS out FROM (SELECT c_custkey, string_split(c_custkey::VARCHAR, '') AS l FROM customer)",
+    "pixel_prf": """WITH g AS (SELECT page_id, unnest(range(rect.y, rect.y + rect.h)) AS r, rect.x AS a, rect.x + rect.w AS b FROM nodes WHERE rect.w > 0 AND rect.h > 0 AND node_pk % 4 > 0), p AS (SELECT page_id, unnest(range(rect.y + 3, rect.y + 3 + rect.h)) AS r, rect.x + 3 AS a, rect.x + 3 + rect.w AS b FROM nodes WHERE rect.w > 0 AND rect.h > 0 AND (node_pk + 3) % 4 > 0),
+        e AS (SELECT page_id, r, a AS x, 1 AS dg, 0 AS dp FROM g UNION ALL SELECT page_id, r, b, -1, 0 FROM g UNION ALL SELECT page_id, r, a, 0, 1 FROM p UNION ALL SELECT page_id, r, b, 0, -1 FROM p),
+        s AS (SELECT page_id, r, x, sum(dg) AS dg, sum(dp) AS dp FROM e GROUP BY ALL), w AS (SELECT page_id, lead(x) OVER o - x AS n, sum(dg) OVER o > 0 AS in_g, sum(dp) OVER o > 0 AS in_p FROM s WINDOW o AS (PARTITION BY page_id, r ORDER BY x))
+        SELECT page_id, coalesce(CAST(sum(n) FILTER (in_g) AS BIGINT), 0) AS gold_px, coalesce(CAST(sum(n) FILTER (in_p) AS BIGINT), 0) AS pred_px, coalesce(CAST(sum(n) FILTER (in_g AND in_p) AS BIGINT), 0) AS both_px FROM w GROUP BY page_id""",
+    "feature_vector": r"""SELECT page_id, round(ln(1 + f) / 4, 6) AS fields, round(ln(1 + l) / 4, 6) AS links, round(ln(1 + w) / 4, 6) AS words FROM (SELECT page_id, count(*) FILTER (node_role IN ('textbox', 'combobox', 'checkbox', 'searchbox', 'password', 'file')) AS f,
         count(*) FILTER (node_role = 'link') AS l, sum(len(regexp_extract_all(coalesce(text, ''), '[^\t\n\x0B\f\r ]+'))) AS w FROM nodes GROUP BY page_id)""",
     "hamming_pairs": "SELECT vec_id, CAST(list_sum(list_transform(range(len(a)), lambda i: CASE WHEN (a[i + 1] > 0) <> (b[i + 1] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance FROM (SELECT x.vec_id, x.embedding AS a, y.embedding AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1)",
     "iou_pairs": f"""SELECT node_pk, round({_IOU}, 6) AS iou FROM (SELECT *, greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0, least(ay + ah, by_ + bh) - greatest(ay, by_)) AS i FROM (SELECT node_pk, r.x::DOUBLE AS ax, r.y::DOUBLE AS ay, r.w::DOUBLE AS aw, r.h::DOUBLE AS ah,

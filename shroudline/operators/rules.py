@@ -260,6 +260,16 @@ def known_value_spans(text: str, known: list[tuple[str, str]]) -> list[Span]:
     return out
 
 
+def known_places(c: Column, known: list[tuple[str, str]]) -> Column:
+    """array<string>: the places of known values in a text, as they are spelled there."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [s[3] for s in known_value_spans(t, known)] if t else [])
+
+    return run(c)
+
+
 def custom_term_spans(text: str, terms: list[tuple[str, str, bool]]) -> list[Span]:
     """Places of (label, term, is a pattern); broken patterns are left out."""
     out = []

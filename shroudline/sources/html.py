@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -93,3 +94,123 @@ def html_nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
 
     schema = "key bigint, pos int, tag string, role string, text string, href string, value string, interactive boolean"
     return pages.select(F.col(key).cast("bigint").alias("key"), F.col(html)).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+# text by blocks -------------------------------------------------------------------------------------------------------
+#: Elements that stand on lines of their own, those whose text is never shown, and the longest block scanned
+#: for its place on the screen.
+BLOCKS = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+SHOWN_NEVER = frozenset("script style noscript template option head title".split())
+_CONTENT = re.compile(r"(?:([^{}]*?)::?(before|after)\s*\{[^{}]*?content\s*:\s*(\"[^\"]*\"|'[^']*')[^{}]*\})", re.I | re.S)
+
+
+class Blocks(HTMLParser):
+    """Visible text grouped by the nearest block around it, with the place of each piece; SVG texts are blocks of their own."""
+
+    def __init__(self, line: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.line = line
+        self.blocks: list[dict] = []
+        self.open: list[tuple[str, int, bool]] = []  # tag, number of its block, hidden
+        self.rules: list[tuple[str, str, str]] = []
+        self.classes: list[tuple[str, set[str]]] = []
+        self.style = False
+
+    def _new(self) -> int:
+        self.blocks.append({"text": "", "parts": [], "broken": False})
+        return len(self.blocks) - 1
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        a = {k: v or "" for k, v in attrs}
+        while self.open and self.open[-1][0] in _ENDS.get(tag, ()):
+            self.open.pop()
+        off = bool(self.open and self.open[-1][2]) or tag in SHOWN_NEVER or hidden(a.get("style", ""), a)
+        if tag == "style":
+            self.style = True
+        if not off:
+            self.classes.append((tag, set(a.get("class", "").split())))
+        if tag == "br" and self.open:
+            block = self.blocks[self.open[-1][1]]
+            block["broken"] = bool(block["text"])
+        if tag not in _VOID:
+            own = tag in BLOCKS or tag == "text" or not self.open
+            self.open.append((tag, self._new() if own else self.open[-1][1], off))
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "style":
+            self.style = False
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                return
+
+    def handle_data(self, data: str) -> None:
+        if self.style:
+            self.rules += [(m[0].strip().split()[-1] if m[0].strip() else "*", m[1].lower(), m[2][1:-1]) for m in _CONTENT.findall(data)]
+        if not data.strip() or self.open and self.open[-1][2]:
+            return
+        if not self.open:
+            self.open.append(("", self._new(), False))
+        block = self.blocks[self.open[-1][1]]
+        if block["broken"]:
+            block["text"] += self.line
+            block["broken"] = False
+        block["parts"].append(len(block["text"]))
+        block["text"] += data
+
+    def shown(self) -> list[tuple[str, str]]:
+        """(text, before or after) of literal content that style rules put beside elements of the page."""
+        out = []
+        for selector, side, content in self.rules:
+            tag, _, name = selector.partition(".")
+            if content.strip() and any((tag in ("", "*", t)) and (not name or name in classes) for t, classes in self.classes):
+                out.append((content, side))
+        return out
+
+
+def _blocks(html: str | None, line: str) -> Blocks | None:
+    if not html:
+        return None
+    parser = Blocks(line)
+    parser.feed(html)
+    parser.close()
+    return parser
+
+
+def text_blocks(html: str | None) -> list[str]:
+    """Own text of every block in order of the page, line breaks as a visible mark; shorter than two characters is no text."""
+    parser = _blocks(html, " \u00b7 ")
+    found = [" ".join(b["text"].split()) for b in parser.blocks] if parser else []
+    return [t for t in found if len(t) >= 2]
+
+
+def screen_blocks(html: str | None) -> list[dict]:
+    """(text, parts, kind) of every block as it is, with the place of each text node in it, and of literal content put beside elements."""
+    parser = _blocks(html, "\n")
+    if parser is None:
+        return []
+    blocks = [{"text": b["text"], "parts": b["parts"], "kind": "text"} for b in parser.blocks if b["text"].strip()]
+    return blocks + [{"text": t, "parts": [0], "kind": side} for t, side in parser.shown()]
+
+
+_TEXTS = pa.schema([("key", pa.int64()), ("pos", pa.int32()), ("text", pa.string())])
+_SCREEN = pa.schema([("key", pa.int64()), ("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("parts", pa.list_(pa.int32()))])
+
+
+def _scanned(pages: DataFrame, key: str, html: str, rows, arrow: pa.Schema, schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [{"key": k, "pos": i, **r} for k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, r in enumerate(rows(h))]
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return pages.select(F.col(key).cast("bigint").alias("key"), F.col(html)).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def block_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, pos, text): the text blocks of every page."""
+    return _scanned(pages, key, html, lambda h: [{"text": t} for t in text_blocks(h)], _TEXTS, "key bigint, pos int, text string")
+
+
+def screen_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, pos, kind, text, parts): blocks as they stand on the screen, and content of pseudo-elements."""
+    return _scanned(pages, key, html, screen_blocks, _SCREEN, "key bigint, pos int, kind string, text string, parts array<int>")

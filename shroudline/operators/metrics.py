@@ -80,3 +80,57 @@ def folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """Fold of each group for leave-groups-out: by a digest of its name, so no global order is needed and new groups move none."""
     digest = F.conv(F.left(F.md5(F.col(group)), F.lit(8)), 16, 10).cast("bigint")
     return df.select(group).distinct().withColumn("fold", (digest % k).cast("int"))
+
+
+def corpus_scores(judged: DataFrame, by: str, gold: str = "gold", found: str = "found") -> DataFrame:
+    """(by, gold, hit, predicted, right, recall, precision, f1, negatives, false_alarms) of sentences with gold and found spans.
+
+    A gold span is hit when found spans cover half of its characters or more; a found span is right when it touches gold;
+    a sentence without gold is a hard negative, and alarmed when anything is found in it.
+    """
+    touches = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    covered = lambda g: F.aggregate(F.filter(found, lambda p: touches(g, p)), F.lit(0), lambda n, p: n + F.least(p["end"], g["end"]) - F.greatest(p["start"], g["start"]))
+    row = judged.select(
+        by, F.size(gold).alias("g"), F.size(F.filter(gold, lambda g: covered(g) * 2 >= g["end"] - g["start"])).alias("h"), F.size(found).alias("p"), F.size(F.filter(found, lambda p: F.exists(gold, lambda g: touches(g, p)))).alias("r")
+    )
+    sums = row.groupBy(by).agg(F.sum("g").alias("gold"), F.sum("h").alias("hit"), F.sum("p").alias("predicted"), F.sum("r").alias("right"), F.count(F.when(F.col("g") == 0, 1)).alias("negatives"), F.count(F.when((F.col("g") == 0) & (F.col("p") > 0), 1)).alias("false_alarms"))
+    recall, precision = F.round(F.try_divide("hit", "gold"), 3), F.round(F.try_divide("right", "predicted"), 3)
+    return sums.withColumns({"recall": recall, "precision": precision, "f1": F.round(F.try_divide(2 * recall * precision, recall + precision), 3)})
+
+
+def size_recall(gold: DataFrame, matches: DataFrame, key: str, size: str, edges: tuple[int, ...] = (24, 48, 96)) -> DataFrame:
+    """(bucket, gold, hit, recall): gold boxes by size, those below the first edge or marked invalid are ignored."""
+    bucket = F.when(F.col(size) >= edges[-1], f"{edges[-1]}+")
+    for low, high in zip(edges[-2::-1], edges[:0:-1]):
+        bucket = bucket.when(F.col(size) >= low, f"{low}-{high}")
+    hit = matches.select(F.col(key).alias("m_key")).distinct()
+    rows = gold.where(~F.coalesce("invalid", F.lit(False))).select(key, bucket.alias("bucket")).where("bucket is not null").join(hit, F.col(key) == F.col("m_key"), "left")
+    return rows.groupBy("bucket").agg(F.count("*").alias("gold"), F.count("m_key").alias("hit")).withColumn("recall", F.round(F.col("hit") / F.col("gold"), 3))
+
+
+def object_recall(gold: DataFrame, predicted: DataFrame, page: str, key: str, least: float = 0.9) -> DataFrame:
+    """(page, objects, covered): gold boxes of which the union of the predicted boxes covers ``least`` or more."""
+    lines = predicted.where("w > 0 and h > 0").select(F.col(page).alias("p_page"), F.explode(F.sequence("y", F.col("y") + F.col("h") - 1)).alias("p_row"), F.col("x").alias("a"), (F.col("x") + F.col("w")).alias("b"))
+    w = Window.partitionBy("p_page", "p_row").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    merged = lines.withColumn("a2", F.greatest("a", F.coalesce(F.max("b").over(w), "a"))).where("b > a2").select("p_page", "p_row", F.col("a2").alias("a"), "b")
+    boxes = gold.where("w > 0 and h > 0").select(page, key, "x", "w", "h", F.explode(F.sequence("y", F.col("y") + F.col("h") - 1)).alias("row"))
+    met = boxes.join(merged, (F.col(page) == F.col("p_page")) & (F.col("row") == F.col("p_row")) & (F.col("a") < F.col("x") + F.col("w")) & (F.col("b") > F.col("x")), "left")
+    px = F.coalesce(F.sum(F.least("b", F.col("x") + F.col("w")) - F.greatest("a", "x")), F.lit(0))
+    each = met.groupBy(page, key, "w", "h").agg(px.alias("px"))
+    return each.groupBy(page).agg(F.count("*").alias("objects"), F.count(F.when(F.col("px") >= least * F.col("w") * F.col("h"), 1)).alias("covered"))
+
+
+def leaked(received: DataFrame, secrets: DataFrame, key: str, text: str, most: int = 10_000) -> DataFrame:
+    """(key, secret): received texts that hold a secret as it is or without its spaces; secrets are a list checked in size."""
+    few = secrets.select("secret").where("secret != ''").limit(most + 1)
+    if few.count() > most:
+        raise ValueError(f"more than {most} secrets")
+    raw = F.col(text).contains(F.col("secret")) | F.col(text).contains(F.regexp_replace("secret", r"\s", ""))
+    return received.select(key, text).join(F.broadcast(few), raw).select(key, "secret")
+
+
+def type_recall(images: DataFrame, key: str, gold: str, found: str) -> DataFrame:
+    """(key, missed, recall): types an image holds that no box shows."""
+    wanted = F.array_distinct(gold)
+    missed = F.array_sort(F.array_except(wanted, found))
+    return images.select(key, F.array_join(missed, ",").alias("missed"), F.round(F.try_divide(F.size(wanted) - F.size(missed), F.size(wanted)), 3).alias("recall"))

@@ -130,4 +130,17 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }
-ORACLE: dict[str, str] = {}
+_ROLES = "CASE said " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in conversations.ROLES.items()) + " ELSE said END"
+_VOID = r"coalesce(regexp_replace({}, '[\s\x0B\x{{A0}}]+', '', 'g') IN ('', 'null', '{{}}'), true)"
+_DID = "{{type: CASE WHEN json_valid({0}) THEN json_extract_string({0}, '$.type') END, target: CASE WHEN json_valid({0}) THEN json_extract_string({0}, '$.targetId') END}}"
+#: The rules of whole conversations said over again as SQL; every other operator here learns, searches or packs, which SQL cannot say.
+ORACLE: dict[str, str] = {
+    "p3_found": rf"""WITH m AS (SELECT lower(regexp_replace(task_id, '^[\s\x0B\x{{A0}}]+|[\s\x0B\x{{A0}}]+$', '', 'g')) AS task, iteration AS it, lower(trim(msg_role)) AS said, msg_id, prompt, action_json AS a, last_action_result AS r FROM step_messages WHERE iteration IS NOT NULL),
+        t AS (SELECT task, it, CASE WHEN coalesce(said, '') = '' THEN CASE WHEN {_VOID.format('a')} THEN 'user' ELSE 'assistant' END ELSE {_ROLES} END AS role, prompt, a, r, min(msg_id) AS id FROM m WHERE task <> '' GROUP BY ALL),
+        i AS (SELECT task, it, count(*) AS n, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS s, count(*) FILTER (role = 'system') AS y, bool_or(CASE WHEN role = 'assistant' THEN {_VOID.format('a')} ELSE {_VOID.format('prompt')} END) AS void,
+            count(*) FILTER (NOT {_VOID.format('r')}) AS results, max({_DID.format('a')}) FILTER (role = 'assistant') AS did, max({_DID.format('r')}) FILTER (NOT {_VOID.format('r')}) AS answers FROM t GROUP BY task, it),
+        j AS (SELECT i.*, CASE WHEN i.it = 0 THEN i.n = 1 AND i.y = 1 AND NOT i.void ELSE i.it > 0 AND i.n = 2 AND i.u = 1 AND i.s = 1 AND NOT i.void END AS sound, CASE WHEN i.it <= 1 THEN i.results = 0 ELSE coalesce(b.s = 1, false) AND i.results >= 1 AND i.answers.type IS NOT DISTINCT FROM b.did.type AND i.answers.target IS NOT DISTINCT FROM b.did.target END AS linked
+            FROM i LEFT JOIN i b ON b.task = i.task AND b.it = i.it - 1),
+        k AS (SELECT task FROM j GROUP BY task HAVING bool_and(sound AND linked) AND count(*) FILTER (it >= 1) >= 1 AND count(*) FILTER (it >= 1) = max(it) AND min(it) >= 0)
+        SELECT task AS task_id, row_number() OVER (PARTITION BY task ORDER BY it, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END) AS turn, role AS msg_role, id AS msg_id FROM t JOIN k USING (task)""",
+}

@@ -133,8 +133,32 @@ QUERIES = {
 _ROLES = "CASE said " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in conversations.ROLES.items()) + " ELSE said END"
 _VOID = r"coalesce(regexp_replace({}, '[\s\x0B\x{{A0}}]+', '', 'g') IN ('', 'null', '{{}}'), true)"
 _DID = "{{type: CASE WHEN json_valid({0}) THEN json_extract_string({0}, '$.type') END, target: CASE WHEN json_valid({0}) THEN json_extract_string({0}, '$.targetId') END}}"
+
+
+def _folded(e: str) -> str:
+    return r"translate(regexp_replace(replace(lower(upper(" + e + r")), 'ß', 'ss'), '[\p{P}\p{Z}\p{C}\s\x0B]+', '', 'g'), 'ςſ', 'σs')"
+
+
+def _leaf(e: str) -> str:
+    return f"CASE json_type({e}) WHEN 'VARCHAR' THEN 's' || {_folded(f"({e} ->> '$')")} ELSE CAST({e} AS VARCHAR) END"
+
+
+def _part(e: str, name: str) -> str:
+    return f"json_extract({e}, '$.\"' || {name} || '\"')"
+
+
+def _fields_of(e: str, name: str, value: str) -> str:
+    return f"array_to_string(list_sort(list_transform(json_keys({e}), lambda {name}: {_folded(name)} || chr(2) || {value})), chr(3))"
+
+
+_DEEP = _part(_part("j", "k"), "q")
+_OBJECT = _fields_of("j", "k", f"CASE json_type({_part('j', 'k')}) WHEN 'OBJECT' THEN chr(4) || {_fields_of(_part('j', 'k'), 'q', _leaf(_DEEP))} || chr(5) ELSE {_leaf(_part('j', 'k'))} END")
 #: The rules of whole conversations said over again as SQL; every other operator here learns, searches or packs, which SQL cannot say.
+_P5_KEYED = f"""WITH k AS (SELECT 'nodes' AS table_name, node_pk AS id, {_folded('href')} || chr(1) || coalesce({_folded('text')}, '') AS key FROM nodes WHERE href IS NOT NULL AND node_pk IS NOT NULL
+    UNION ALL SELECT 'collected_items', item_id, {_OBJECT} FROM (SELECT item_id, CASE WHEN json_valid(item_json) THEN CAST(item_json AS JSON) END AS j FROM collected_items WHERE item_id IS NOT NULL) WHERE json_type(j) = 'OBJECT')"""
 ORACLE: dict[str, str] = {
+    "p5_found": _P5_KEYED + " SELECT table_name, first_id, id AS copy_id FROM (SELECT *, min(id) OVER (PARTITION BY table_name, key) AS first_id FROM k) WHERE first_id < id",
+    "p5_representatives": _P5_KEYED + " SELECT table_name, min(id) AS first_id, count(*) AS copies FROM k GROUP BY table_name, key",
     "p3_found": rf"""WITH m AS (SELECT lower(regexp_replace(task_id, '^[\s\x0B\x{{A0}}]+|[\s\x0B\x{{A0}}]+$', '', 'g')) AS task, iteration AS it, lower(trim(msg_role)) AS said, msg_id, prompt, action_json AS a, last_action_result AS r FROM step_messages WHERE iteration IS NOT NULL),
         t AS (SELECT task, it, CASE WHEN coalesce(said, '') = '' THEN CASE WHEN {_VOID.format('a')} THEN 'user' ELSE 'assistant' END ELSE {_ROLES} END AS role, prompt, a, r, min(msg_id) AS id FROM m WHERE task <> '' GROUP BY ALL),
         i AS (SELECT task, it, count(*) AS n, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS s, count(*) FILTER (role = 'system') AS y, bool_or(CASE WHEN role = 'assistant' THEN {_VOID.format('a')} ELSE {_VOID.format('prompt')} END) AS void,

@@ -46,10 +46,10 @@ def redact_fields(records: DataFrame, key: str, scope: str, fields: tuple[str, .
     texts = field_rows(records.withColumn("scope", F.col(scope)), key, fields, ("scope",))
     tokens = vault.tokenise(spans, vault.build(spans, [key, "at", "ord"], origin, vault.reserved(texts, "body")))
     pieces = tokens.groupBy(key, "field").agg(F.array_sort(F.collect_list(F.struct("start", "end", "token"))).alias("pieces"))
-    by_record = pieces.groupBy(F.col(key).alias("r_key")).agg(F.map_from_entries(F.collect_list(F.struct("field", "pieces"))).alias("found"))
-    joined = records.join(by_record, F.col(key) == F.col("r_key"), "left")
-    spliced = {f: F.coalesce(rules.apply_tokens(F.col(f), F.col("found")[f], lambda s: s["token"]), F.col(f)) for f in fields}
-    return joined.withColumns(spliced).drop("r_key", "found"), tokens.select(key, "field", "type", "token")
+    by_record = pieces.groupBy(F.col(key).alias("__key")).agg(F.map_from_entries(F.collect_list(F.struct("field", "pieces"))).alias("__tokens"))
+    joined = records.join(by_record, F.col(key) == F.col("__key"), "left")
+    spliced = {f: F.coalesce(rules.apply_tokens(F.col(f), F.col("__tokens")[f], lambda s: s["token"]), F.col(f)) for f in fields}
+    return joined.withColumns(spliced).drop("__key", "__tokens"), tokens.select(key, "field", "type", "token")
 
 
 def split_spans(left: Column, right: Column) -> Column:

@@ -202,7 +202,7 @@ def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
 def dhash(image: np.ndarray) -> int:
     """64 bits: whether brightness falls from each pixel of a 9x8 copy to its right neighbour, as a signed bigint."""
     luma = image[..., :3] @ np.array([0.299, 0.587, 0.114]) if image.ndim == 3 else image.astype(float)
-    small = resize(luma, 9, 8)
+    small = np.round(resize(luma, 9, 8), 6)  # equal brightness stays equal
     value = 0
     for bit in (small[:, :-1] > small[:, 1:]).ravel():
         value = value << 1 | int(bit)

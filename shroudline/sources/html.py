@@ -122,8 +122,8 @@ class Blocks(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs) -> None:
         a = {k: v or "" for k, v in attrs}
-        while self.open and self.open[-1][0] in _ENDS.get(tag, ()):
-            self.open.pop()
+        while self.open and (self.open[-1][0] in _ENDS.get(tag, ()) or self.open[-1][0] == "p" and tag in BLOCKS):
+            self.open.pop()  # a block ends an open paragraph
         off = bool(self.open and self.open[-1][2]) or tag in SHOWN_NEVER or hidden(a.get("style", ""), a)
         if tag == "style":
             self.style = True

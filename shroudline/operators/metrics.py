@@ -5,19 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shroudline.session import cut
 
-def floor_percentile(df: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
-    """The element at floor(share * n) of the sorted values (the last at most).
 
-    Values are counted first, so a group's rows never meet in one place: the element is found in the running count over
-    distinct values.
+def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: Column) -> DataFrame:
+    """(keys, n, rank, value): the values at some places (``ranks``: array of zero-based places, from the group's size n) of each group in order.
+
+    Equal values are counted first.  The counted values are spread by ranges of (keys, value), so a group of any size lies
+    in as many partitions as it needs; the partition that holds a place is found from the partitions' totals, and only
+    there values are put in order.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    whole = Window.partitionBy(*by)
-    placed = counted.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(whole))
-    rank = F.least(F.col("n") - 1, F.floor(F.lit(share) * F.col("n"))) + 1
-    return placed.where((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank)).select(*by, F.col(value).alias("percentile"))
+    counted = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c")))
+    placed = cut(counted.repartitionByRange(*keys, "v").withColumn("part", F.spark_partition_id()))
+    totals = placed.groupBy(*keys, "part").agg(F.sum("c").alias("in_part"))
+    w = Window.partitionBy(*keys).orderBy("part")
+    before = totals.withColumn("before", F.sum("in_part").over(w) - F.col("in_part")).withColumn("n", F.sum("in_part").over(Window.partitionBy(*keys)))
+    wanted = before.select(*keys, "part", "before", "in_part", "n", F.explode(F.array_distinct(ranks)).alias("rank")).where("rank >= before and rank < before + in_part")
+    named = wanted.select(*[F.col(k).alias(f"w_{k}") for k in keys], F.col("part").alias("w_part"), "before", "n", "rank")
+    same = [F.col(k).eqNullSafe(F.col(f"w_{k}")) for k in keys]
+    met = placed.join(named, [*same, F.col("part") == F.col("w_part")])
+    inside = Window.partitionBy(*keys, "part", "rank").orderBy("v")
+    upto = F.col("before") + F.sum("c").over(inside)
+    here = met.withColumn("upto", upto).where("rank < upto and rank >= upto - c")
+    return here.select(*keys, "n", "rank", F.col("v").alias("value"))
+
+
+def floor_percentile(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
+    """(keys, percentile): the value at place floor(q n) of a group in order, the last at most."""
+    place = F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n")))
+    return ranked_values(df, keys, value, F.array(place)).select(*keys, F.col("value").alias("percentile"))
+
+
+def median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median): the middle value of a group, or the mean of the two."""
+    middle = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
+    return ranked_values(df, keys, value, middle).groupBy(*keys).agg(F.avg("value").alias("median"))
 
 
 def span_scores(gold: DataFrame, predicted: DataFrame, doc: str, cover: float = 0.5) -> DataFrame:

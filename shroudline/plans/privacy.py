@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shroudline.operators import policy, rules, scrub, vault
@@ -15,13 +15,18 @@ _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 
 
+def _scope() -> Column:
+    """The task, or where there is none the page: rows without a task share no vault, and so no window."""
+    return F.coalesce("task_id", F.concat(F.lit("page "), F.col("page_id").cast("string")), F.lit(""))
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nodes").where("text is not null")
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    """(node_pk, scope, host, ord, start, end, type, value, source, weak) of all node texts; a node without a task has scope ''."""
-    texts = _texts(spark, d).select("node_pk", "text", "host", F.coalesce("task_id", F.lit("")).alias("scope"))
+    """(node_pk, scope, host, ord, start, end, type, value, source, weak) of all node texts; a node without a task has its page's."""
+    texts = _texts(spark, d).select("node_pk", "text", "host", _scope().alias("scope"))
     return rules.exploded(texts, "node_pk", "text", ("scope", "host"))
 
 
@@ -60,7 +65,7 @@ def redact_coarse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _held(spark: SparkSession, d: str) -> DataFrame:
-    return vault.reserved(_texts(spark, d).select(F.coalesce("task_id", F.lit("")).alias("scope"), "text"), "text")
+    return vault.reserved(_texts(spark, d).select(_scope().alias("scope"), "text"), "text")
 
 
 def _vault(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +86,7 @@ def resolve_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """All texts after redaction and resolution, over all spans of all nodes in their tasks' vaults: as they were."""
     spans = cut(_spans(spark, d))  # numbered, joined back and resolved: the search runs once
     vaulted = cut(vault.build(spans, ["node_pk", "ord"], "host", _held(spark, d)))
-    held = _texts(spark, d).select("node_pk", "text", F.coalesce("task_id", F.lit("")).alias("scope"))
+    held = _texts(spark, d).select("node_pk", "text", _scope().alias("scope"))
     redacted = vault.redact(held, vault.tokenise(spans, vaulted), "node_pk", "text").join(held.select("node_pk", "scope"), "node_pk")
     return vault.resolve(redacted, vaulted, "node_pk", "redacted").select("node_pk", "resolved")
 
@@ -104,7 +109,7 @@ def known_values(spark: SparkSession, d: str) -> DataFrame:
 
 def vault_emails(spark: SparkSession, d: str) -> DataFrame:
     """Numbering of mail addresses in first-seen order within a task, all native."""
-    each = _texts(spark, d).select(F.coalesce("task_id", F.lit("")).alias("scope"), "host", "node_pk", F.posexplode(F.regexp_extract_all("text", F.lit(_B + "(" + _EMAIL + ")" + _E), F.lit(1))).alias("ord", "value"))
+    each = _texts(spark, d).select(_scope().alias("scope"), "host", "node_pk", F.posexplode(F.regexp_extract_all("text", F.lit(_B + "(" + _EMAIL + ")" + _E), F.lit(1))).alias("ord", "value"))
     built = vault.build(each.withColumn("type", F.lit("EMAIL")), ["node_pk", "ord"], "host")
     return built.select("scope", "norm_key", "n", "token", "value", "origin")
 
@@ -270,7 +275,7 @@ ORACLE = {
     "field_names": f"SELECT c_custkey, {_ALIAS.format('data_type')} AS category FROM (SELECT c_custkey, {_FIELD_ROW['data_type']} AS data_type FROM customer)",
     "visibility_gate": "SELECT c_custkey, c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND (c_custkey % 11) / 10 > 0.05 AND c_custkey % 13 >= 2 AND NOT (c_custkey % 3 = c_custkey % 4 AND (c_custkey % 10) / 9 > 0.5) AS visible FROM customer",
     "known_values": r"SELECT word, count(*) AS places, count(DISTINCT node_pk) AS nodes FROM (SELECT node_pk, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM nodes WHERE text IS NOT NULL) WHERE word IN (" + ", ".join(f"'{w}'" for w in KNOWN) + ") GROUP BY word",
-    "vault_emails": f"""WITH m AS (SELECT coalesce(task_id, '') AS scope, host, node_pk, generate_subscripts(regexp_extract_all(text, '\\b{_EMAIL}\\b'), 1) AS ord, unnest(regexp_extract_all(text, '\\b{_EMAIL}\\b')) AS value FROM nodes WHERE text IS NOT NULL),
+    "vault_emails": f"""WITH m AS (SELECT coalesce(task_id, 'page ' || page_id, '') AS scope, host, node_pk, generate_subscripts(regexp_extract_all(text, '\\b{_EMAIL}\\b'), 1) AS ord, unnest(regexp_extract_all(text, '\\b{_EMAIL}\\b')) AS value FROM nodes WHERE text IS NOT NULL),
         f AS (SELECT scope, lower(value) AS norm_key, min(node_pk * 1000 + ord) AS seen, arg_min(value, node_pk * 1000 + ord) AS value, arg_min(host, node_pk * 1000 + ord) AS origin FROM m GROUP BY ALL)
         SELECT scope, norm_key, n, '[EMAIL_' || n || ']' AS token, value, origin FROM (SELECT *, CAST(row_number() OVER (PARTITION BY scope ORDER BY seen) AS INTEGER) AS n FROM f)""",
     "encoded_values": "SELECT c_custkey, 'EMAIL' AS type, 'encoded' AS source, lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) || '@mail.example' AS value FROM customer WHERE c_custkey % 2 = 1 OR length(lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) || '@mail.example') >= 12",

@@ -130,7 +130,8 @@ def floor_percentile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def median_loop(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), F.round(F.avg("value"), 6).alias("mean"))
+    means = _events(spark, d).groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return metrics.median(_events(spark, d), ["event_type"], "value").join(means, "event_type").select("event_type", F.round("median", 6).alias("median"), "mean")
 
 
 def stage_average(spark: SparkSession, d: str) -> DataFrame:

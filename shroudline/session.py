@@ -23,11 +23,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir; only a session without one (tests) gets a local folder."""
+    """Use the shared folder the cluster names in spark.checkpoint.dir; only a session on one machine (tests) gets a local folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="shroudline-ckpt-"))
 
 

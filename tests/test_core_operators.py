@@ -64,9 +64,15 @@ def test_origins(spark):
 
 
 def test_field_classes(spark):
-    from shroudline.plans.privacy import field_allowed
-
-    got = {r.id: (r.classes, r.allowed, r.kind) for r in field_allowed(spark, "").collect()}
+    fields = (
+        (1, "tel", "", "contact", "Your contact", "PHONE"), (2, "text", "email", "mail", "E-mail address", "EMAIL"), (3, "text", "", "msg", "Message body", "EMAIL"), (4, "password", "", "pwd", "Password notes", "PASSWORD"), (5, "text", "cc-number", "card", "Card number", "CC"),
+        (6, "text", "", "uid", "Aadhaar number", "AADHAAR"), (7, "text", "bday", "b", "Birthday", "DOB"), (8, "text", "", "search", "Search name", "NAME"), (9, "text", "given-name", "fn", "Feedback", "NAME"), (10, "text", "", "zip", "Postal code", "PINCODE"),
+    )
+    df = spark.createDataFrame(list(fields), "id int, type string, autocomplete string, name string, label_text string, data_type string")
+    classes = policy.field_classes({k: F.col(k) for k in ("type", "autocomplete", "name", "label_text")})
+    kind = policy.field_kind(F.col("type"), F.col("autocomplete"), F.concat_ws(" ", "name", "label_text"))
+    done = df.withColumn("c", classes).select("id", F.array_join(F.array_sort("c"), ",").alias("classes"), policy.data_allowed(F.array("data_type"), F.col("c")).alias("allowed"), kind.alias("kind"))
+    got = {r.id: (r.classes, r.allowed, r.kind) for r in done.collect()}
     assert got[1] == ("PHONE", True, "PERSONAL_FIELD") and got[3][1] is False and got[4][:2] == ("PASSWORD", True) and got[5] == ("CARD", True, "CARD") and got[8][1] is False and got[9][:2] == ("NAME", True) and got[10][0] == "PINCODE"
 
 
@@ -206,12 +212,13 @@ def test_log_round_trip(spark, tmp_path):
 
 def test_round_trip_lists_every_node_that_differs(spark, monkeypatch):
     texts = ["Write to a.b@c.example or x.y@c.example now.", "Write to [EMAIL_1] now.", "Again A.B@C.example and a.b@c.example.", "plain", None]
-    rows = [(i, "t", "h", t) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "node_pk bigint, task_id string, host string, text string")
+    rows = [(i, "t", 1, "h", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "node_pk bigint, task_id string, page_id bigint, host string, text string")
     monkeypatch.setattr(privacy, "table", lambda *_: df)
     redacted = {r.node_pk: r.redacted for r in privacy.redact_vault(spark, "").collect()}
     assert redacted[0] == "Write to [EMAIL_2] or [EMAIL_3] now." and redacted[1] == texts[1]
-    assert [r.node_pk for r in privacy.resolve_roundtrip(spark, "").collect()] == [2]  # one token, two spellings
+    back = {r.node_pk: r.resolved for r in privacy.resolve_roundtrip(spark, "").collect()}
+    assert [i for i in range(4) if back[i] != texts[i]] == [2]  # one token, two spellings
 
 
 def test_terms_and_elements_are_whole():

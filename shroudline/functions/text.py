@@ -119,15 +119,40 @@ def truncate(c: Column, limit: int) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(limit)), F.lit("…"))).otherwise(c)
 
 
-def markdown_inline(c: Column) -> Column:
-    """Inline markdown after escaping: code, http(s) links, bold, italic."""
-    safe = escape_html(c)
+def _inline(safe: Column) -> Column:
     code = F.regexp_replace(safe, r"`([^`]+)`", "<code>$1</code>")
-    link = F.regexp_replace(code, r"\[([^\]]+)\]\((https?://[^)\s]+)\)", '<a href="$2">$1</a>')
+    link = F.regexp_replace(code, r"\[([^\]]*)\]\((https?://[^\s)]+)\)", '<a href="$2" target="_blank" rel="noopener noreferrer">$1</a>')
     bold = F.regexp_replace(link, r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
     return F.regexp_replace(bold, r"\*([^*]+)\*", "<em>$1</em>")
 
 
+def markdown_inline(c: Column) -> Column:
+    """Inline markdown after escaping: code, http(s) links, bold, italic."""
+    return _inline(escape_html(c))
+
+
+def markdown(c: Column) -> Column:
+    """Markdown with lists and paragraphs: lines of one kind in a row are one block, an empty line ends it."""
+    lines = F.transform(F.split(escape_html(F.coalesce(c, F.lit(""))), "\\r?\\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    kinds = F.transform(lines, lambda x: F.when(x == "", "").when(x.rlike(r"^[-*]\s+"), "ul").when(x.rlike(r"^\d+\.\s+"), "ol").otherwise("p"))
+    closed = lambda k: F.when(F.coalesce(k, F.lit("")) == "", "").otherwise(F.concat(F.lit("</"), k, F.lit(">")))
+
+    def piece(line: Column, i: Column) -> Column:
+        kind, before = F.get(kinds, i), F.coalesce(F.get(kinds, i - 1), F.lit(""))
+        item = F.concat(F.lit("<li>"), _inline(F.regexp_replace(line, r"^(?:[-*]|\d+\.)\s+", "")), F.lit("</li>"))
+        body = F.when(kind == "", "").when(kind == "p", _inline(line)).otherwise(item)
+        start = F.when(kind == before, F.when(kind == "p", "<br>").otherwise("")).otherwise(F.concat(closed(before), F.when(kind == "", "").otherwise(F.concat(F.lit("<"), kind, F.lit(">")))))
+        return F.concat(start, body)
+
+    return F.concat(F.array_join(F.transform(lines, piece), ""), closed(F.element_at(kinds, -1)))
+
+
+def frame_target(c: Column) -> Column:
+    """struct(frame_id, local_id) of an element's id: f3_n0001 lies in frame 3, others in the top page."""
+    pattern = r"^f(\d+)_(.+)$"
+    return F.struct(F.when(c.rlike(pattern), F.regexp_extract(c, pattern, 1).cast("int")).otherwise(0).alias("frame_id"), F.when(c.rlike(pattern), F.regexp_extract(c, pattern, 2)).otherwise(c).alias("local_id"))
+
+
 def target_count(prompt: Column) -> Column:
     """How many items a prompt asks to collect: at most 50, 0 if it asks for none."""
     top = F.regexp_extract(prompt, r"(?i)\btop\s+(\d{1,3})\b", 1)
@@ -147,6 +172,21 @@ def word_chunks(c: Column, words: int = 100) -> Column:
     return F.ceil(n / words).cast("int")
 
 
+def chunk_texts(c: Column, words: int = 100) -> Column:
+    """array<struct<start,text>>: the text in chunks of at most that many words, each with its place; all between its words belongs to a chunk."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(\s*\S+)"), F.lit(1))
+    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p).cast("int"))))
+    count = F.ceil(F.size(pieces) / words).cast("int")
+    one = lambda k: (F.array_join(F.slice(pieces, k * words + 1, F.lit(words)), ""), F.get(ends, k * words))
+
+    def chunk(k: Column) -> Column:
+        text, at = one(k)
+        lead = F.length(text) - F.length(F.regexp_replace(text, r"^\s+", ""))
+        return F.struct((at + lead).cast("int").alias("start"), F.regexp_replace(text, r"^\s+", "").alias("text"))
+
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), chunk)).otherwise(F.array().cast("array<struct<start:int,text:string>>"))
+
+
 def rgb(c: Column) -> Column:
     """Red, green and blue of a CSS colour; null if it is none."""
     pattern = r"rgba?\(\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)"

@@ -104,7 +104,7 @@ def stitched_frames(frames: DataFrame) -> DataFrame:
 
 def frame_nodes(nodes: DataFrame, frame: str, node_id: str) -> DataFrame:
     """The nodes of all frames as one page: ids of other frames than the top one carry their frame, so they are unique."""
-    return nodes.withColumn(node_id, F.when(F.col(frame) == 0, F.col(node_id)).otherwise(F.concat(F.lit("f"), F.col(frame).cast("string"), F.lit(":"), F.col(node_id))))
+    return nodes.withColumn(node_id, F.when(F.col(frame) == 0, F.col(node_id)).otherwise(F.concat(F.lit("f"), F.col(frame).cast("string"), F.lit("_"), F.col(node_id))))
 
 
 def scroll_rounds(rounds: DataFrame, task: str, order: str, fresh: str, target: int, attempts: int = 15, stagnant: int = 3) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shroudline.functions import json_text
@@ -76,10 +76,12 @@ def sse_frames(streams: DataFrame, key: str, text: str) -> DataFrame:
     frames = streams.select(key, F.posexplode(F.split(text, "\r?\n\r?\n")).alias("pos", "frame"))
     data = F.regexp_extract("frame", r"(?m)^data: ?(.*)$", 1)
     event = F.coalesce(F.nullif(F.regexp_extract("frame", r"(?m)^event: ?(.*)$", 1), F.lit("")), F.lit("message"))
-    return frames.select(key, "pos", event.alias("event"), data.alias("data")).where(F.try_parse_json("data").isNotNull())
+    return frames.select(key, "pos", event.alias("event"), data.alias("data")).where(F.try_parse_json("data").isNotNull() | (F.trim("data") == "[DONE]"))
 
 
 def joined_deltas(frames: DataFrame, key: str, delta: Column) -> DataFrame:
     """(key, text): the deltas of each stream in order, up to the end mark."""
-    parts = frames.where("event = 'delta'").select(key, "pos", delta.alias("d"))
+    end = F.min(F.when(F.trim("data").isin("[DONE]", '"[DONE]"'), F.col("pos"))).over(Window.partitionBy(key))
+    open_ = frames.withColumn("end", end).where("end is null or pos < end")
+    parts = open_.where("event = 'delta'").select(key, "pos", delta.alias("d"))
     return parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "d"))), lambda s: s["d"]), "").alias("text"))

@@ -81,6 +81,21 @@ def word_counts(c: Column) -> Column:
     return run(c)
 
 
+#: Single words of pages and calendars that are no people and no places.
+STOP = frozenset(
+    "aadhaar aadhar adhaar pan upi ifsc gstin otp kyc email e-mail mobile phone name address dob account accounts customer login logout signin signup register profile home dashboard settings submit cancel search menu help support payments "
+    "india bharat usa uk china japan europe asia africa america earth moon mars isro nasa pslv gslv chandrayaan gaganyaan monday tuesday wednesday thursday friday saturday sunday january february march april may june july august "
+    "september october november december today yesterday tomorrow inbox sent drafts spam trash".split()
+)
+
+
+def decode_subwords(tokens: DataFrame, doc: str, least: float = 0.6) -> DataFrame:
+    """Entities from sub-word labels (doc, pos, sub, word, label, score): a word has the label of its first sub-word; single stop words are none."""
+    first = tokens.where("label is not null").groupBy(doc, "pos").agg(F.min_by("word", "sub").alias("word"), F.min_by("label", "sub").alias("label"), F.min_by("score", "sub").alias("score"))
+    bare = F.regexp_replace(F.lower("value"), r"[^\p{L}-]", "")
+    return decode_labels(first, doc, least).where(F.col("value").contains(" ") | ~bare.isin(*sorted(STOP)))
+
+
 def decode_labels(tokens: DataFrame, doc: str, least: float = 0.6) -> DataFrame:
     """Entities from word labels (doc, pos, word, label, score): B-/I- runs merged (gaps and islands), mean score at least ``least``, two letters together."""
     w = Window.partitionBy(doc).orderBy("pos")

@@ -170,3 +170,25 @@ def transient_error(message: Column) -> Column:
 def visible(display: Column, visibility: Column, opacity: Column, font: Column, fg: Column, bg: Column, bg_alpha: Column) -> Column:
     """Rendered, opaque enough, large enough, and not in the colour of its ground."""
     return (display != "none") & (visibility != "hidden") & (opacity > 0.05) & (font >= 2) & ~((fg == bg) & (bg_alpha > 0.5))
+
+
+#: Roles of input types and of elements, and the elements and roles a person can act on.
+INPUT_ROLES = {"submit": "button", "button": "button", "image": "button", "reset": "button", "checkbox": "checkbox", "radio": "radio", "file": "file", "range": "slider", "color": "button"}
+TAG_ROLES = {"a": "link", "button": "button", "textarea": "textbox", "select": "combobox", "article": "article", "h1": "heading", "h2": "heading", "h3": "heading", "li": "listitem", "p": "paragraph", "img": "image", "nav": "navigation", "dialog": "dialog"}
+ACTIVE_TAGS = ("a", "button", "input", "textarea", "select")
+ACTIVE_ROLES = ("button", "link", "menuitem", "tab", "checkbox", "textbox")
+
+
+def element_role(tag: Column, type_: Column, role: Column, editable: Column, classes: Column) -> Column:
+    """The role of an element: its own, else by its input type, by being editable, by an alert's classes, by its tag."""
+    name = F.lower(tag)
+    of = lambda values, key: F.create_map(*[F.lit(x) for p in values.items() for x in p])[key]
+    alert = F.coalesce(classes.rlike("(?i)toast|alert|error|invalid|destructive"), F.lit(False))
+    return (
+        F.when(F.coalesce(role, F.lit("")) != "", role).when(name == "input", F.coalesce(of(INPUT_ROLES, F.lower(F.coalesce(type_, F.lit("text")))), F.lit("textbox"))).when(F.coalesce(editable, F.lit(False)), "textbox").when(alert, "alert").otherwise(F.coalesce(of(TAG_ROLES, name), name))
+    )
+
+
+def interactive(tag: Column, role: Column, editable: Column, handler: Column, tab_index: Column) -> Column:
+    """Whether a person can act on an element."""
+    return F.lower(tag).isin(*ACTIVE_TAGS) | F.coalesce(role.isin(*ACTIVE_ROLES), F.lit(False)) | F.coalesce(editable, F.lit(False)) | F.coalesce(handler, F.lit(False)) | F.coalesce(tab_index >= 0, F.lit(False))

@@ -16,8 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shroudline.operators import rules
 from shroudline.operators.groups import sorted_groups
 from shroudline.operators.rules import apply_tokens
+from shroudline.session import cut
 
 
 #: Types whose values are compared by their digits only.
@@ -59,6 +61,30 @@ def build(found: DataFrame, order: list[str], origin: str | None = None, held: D
     return numbered.select("scope", "type", "norm_key", "n", token.alias("token"), F.concat_ws("_", "type", F.col("n").cast("string")).alias("label"), "value", "origin")
 
 
+def labels_only(shown: DataFrame, vault: DataFrame, order: list[str]) -> DataFrame:
+    """(scope, type, norm_key, label) of values that are only ever painted over: numbered after the vault's own of their type, never resolvable.
+
+    Values the vault holds keep its label.
+    """
+    keyed = shown.where("type is not null and value is not null").withColumn("norm_key", norm_key(F.col("type"), F.col("value"))).withColumn("at", F.struct(*order))
+    first = keyed.groupBy("scope", "type", "norm_key").agg(F.min("at").alias("at"))
+    v = vault.select(F.col("scope").alias("v_scope"), F.col("type").alias("v_type"), F.col("norm_key").alias("v_key"), F.col("label").alias("v_label"))
+    known = first.join(v, F.col("scope").eqNullSafe(F.col("v_scope")) & (F.col("type") == F.col("v_type")) & (F.col("norm_key") == F.col("v_key")), "left").drop("v_scope", "v_type", "v_key")
+    top = vault.groupBy(F.col("scope").alias("t_scope"), F.col("type").alias("t_type")).agg(F.max("n").alias("top"))
+    fresh = known.where("v_label is null").withColumn("k", F.row_number().over(Window.partitionBy("scope", "type").orderBy("at")))
+    numbered = fresh.join(top, F.col("scope").eqNullSafe(F.col("t_scope")) & (F.col("type") == F.col("t_type")), "left")
+    label = F.concat_ws("_", "type", (F.coalesce("top", F.lit(0)) + F.col("k")).cast("string"))
+    return numbered.select("scope", "type", "norm_key", label.alias("label")).unionByName(known.where("v_label is not null").select("scope", "type", "norm_key", F.col("v_label").alias("label")))
+
+
+def tokenize_outgoing(texts: DataFrame, key: str, scope: str, text: str) -> DataFrame:
+    """(key, text) of prompts and the like with tokens for their values; their vault's origin is the user's prompt, which gives way to a page's."""
+    rows = texts.select(key, F.col(scope).alias("scope"), F.col(text).alias("body"), F.lit("user_prompt").alias("origin"))
+    found = cut(rules.exploded(rows, key, "body", ("scope", "origin")))
+    vault = build(found, [key, "ord"], "origin", reserved(rows, "body"))
+    return redact(rows, tokenise(found, vault), key, "body").withColumnRenamed("redacted", text)
+
+
 def catalog(vault: DataFrame) -> DataFrame:
     """What may be shown: no value."""
     return vault.select("scope", "type", "n", "token", "label", "origin")

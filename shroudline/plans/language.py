@@ -79,7 +79,10 @@ _NEED = " ".join(f"WHEN t IN ({', '.join(repr(k) for k in kinds)}) AND coalesce(
 _SITE_OF = " ".join(f"WHEN '{a}' THEN '{u}'" for a, u in language.KNOWN_SITES.items())
 _SITE_ON = " ".join(f"WHEN regexp_matches(low, '\\b(?:on|from|in|at|search|using)\\s+(?:the\\s+)?{a.replace('.', '[.]')}\\b') THEN '{u}'" for a, u in language.KNOWN_SITES.items())
 _SITE_TO = r"trim(regexp_extract(low, '\b(?:go to|open|visit|navigate to)\s+([a-z][a-z0-9.\s]{1,20}?)(?:\s+(?:and|,|to|then)\b|[.,!?]|$)', 1))"
+_ALONE = r"\p{P}$+<=>^`|~\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}"
+_WHITE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
 ORACLE = {
+    "word_counts": f"SELECT node_pk, CAST(len(regexp_extract_all(text, '[{_ALONE}]|[^{_ALONE}{_WHITE}]+')) AS INTEGER) AS words FROM nodes WHERE text IS NOT NULL",
     "known_site": f"SELECT msg_id, CASE WHEN regexp_matches(low, 'https?://') THEN NULL WHEN CASE {_SITE_TO} {_SITE_OF} END IS NOT NULL THEN CASE {_SITE_TO} {_SITE_OF} END {_SITE_ON} END AS url FROM (SELECT msg_id, lower(CASE msg_id % 3 WHEN 0 THEN 'open GitHub and ' || prompt WHEN 1 THEN prompt || ' on Wikipedia' ELSE prompt END) AS low FROM step_messages WHERE prompt IS NOT NULL)",
     "lookup": "SELECT host, CASE default_lang WHEN 'de' THEN 'Deutsch' WHEN 'fr' THEN 'Français' WHEN 'en' THEN 'English' ELSE default_lang END AS name FROM site_hosts",
     "action_problems": f"SELECT msg_id, CASE WHEN NOT coalesce(json_valid(a), false) OR a = '' THEN 'not_an_object' WHEN t IS NULL OR t NOT IN ({', '.join(repr(k) for k in language.ACTIONS)}) THEN 'bad_type' {_NEED} END AS problem FROM (SELECT msg_id, action_json AS a, CASE WHEN json_valid(action_json) THEN json_extract_string(action_json, '$.type') END AS t FROM step_messages WHERE action_json IS NOT NULL)",

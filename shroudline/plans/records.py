@@ -266,5 +266,5 @@ ORACLE = {
     "scroll_rounds": """WITH r AS (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN 0 ELSE event_id % 4 END AS fresh FROM events), s AS (SELECT *, CAST(sum(fresh) OVER w AS BIGINT) AS items, row_number() OVER w AS k, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id ROWS 2 PRECEDING) AS last3 FROM r WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
         m AS (SELECT *, CASE WHEN items >= 40 THEN 'target' WHEN k >= 3 AND last3 = 0 THEN 'stagnant' WHEN k >= 15 THEN 'attempts' END AS stop FROM s), f AS (SELECT user_id, min(k) AS k_end FROM m WHERE stop IS NOT NULL GROUP BY 1)
         SELECT user_id, event_id, items, stop FROM m LEFT JOIN f USING (user_id) WHERE k <= coalesce(k_end, k)""",
-    "frame_nodes": "SELECT node_pk, CASE WHEN frame_id = 0 THEN id ELSE 'f' || frame_id || ':' || id END AS id FROM nodes WHERE id IS NOT NULL",
+    "frame_nodes": "SELECT node_pk, CASE WHEN frame_id = 0 THEN id ELSE 'f' || frame_id || '_' || id END AS id FROM nodes WHERE id IS NOT NULL",
 }

@@ -122,7 +122,7 @@ _LUHN = (
     "ELSE (2 * CAST(n[length(n) - i] AS INTEGER)) % 10 + (2 * CAST(n[length(n) - i] AS INTEGER)) // 10 END)) % 10 = 0"
 )
 ORACLE |= {
-    "n18_markdown": "SELECT p_partkey, '<strong>' || p_name || '</strong> <em>' || p_brand || '</em> <code>' || p_type || '</code> <a href=\"https://parts.example/' || p_partkey || '\">x</a>' AS html FROM part",
+    "n18_markdown": "SELECT p_partkey, '<strong>' || p_name || '</strong> <em>' || p_brand || '</em> <code>' || p_type || '</code> <a href=\"https://parts.example/' || p_partkey || '\" target=\"_blank\" rel=\"noopener noreferrer\">x</a>' AS html FROM part",
     "n19_target_count": r"""SELECT msg_id, CAST(coalesce(least(50, TRY_CAST(coalesce(nullif(regexp_extract(prompt, '(?i)\btop\s+(\d{1,3})\b', 1), ''),
         nullif(regexp_extract(prompt, '(?i)\b(\d{1,3})\s+(?:posts|items|results|articles|tweets|links|stories)\b', 1), '')) AS INTEGER)), 0) AS INTEGER) AS target
         FROM step_messages WHERE prompt IS NOT NULL""",
@@ -136,3 +136,29 @@ ORACLE |= {
         ((instr('{checks.MOD36}', n[i + 1]) - 1) * (1 + i % 2)) // 36 + ((instr('{checks.MOD36}', n[i + 1]) - 1) * (1 + i % 2)) % 36)) AS s
         FROM (SELECT c_custkey, lpad((c_custkey % 37 + 1)::VARCHAR, 2, '0') || 'ABCPK' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || 'F1Z' || substr('{checks.MOD36}', CAST(c_custkey % 36 + 1 AS INTEGER), 1) AS n FROM customer))""",
 }
+
+
+def n18_markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Lists and paragraphs made of parts' names."""
+    body = F.concat(F.col("p_name"), F.lit("\nsecond *line*\n- a **b**\n* c\n1. one\n  12. two <x>\r\n\n\nend `"), F.col("p_brand"), F.lit("`\n- last"))
+    return table(spark, d, "part").select("p_partkey", text.markdown(body).alias("html"))
+
+
+def n22_frame_target(spark: SparkSession, d: str) -> DataFrame:
+    """Where an element lies by its id, with every third node in a frame."""
+    name = F.when(F.col("node_pk") % 3 == 0, F.concat(F.lit("f"), F.col("frame_id") + 1, F.lit("_"), F.col("id"))).otherwise(F.col("id"))
+    return table(spark, d, "nodes").where("id is not null").select("node_pk", text.frame_target(name).alias("t")).select("node_pk", "t.*")
+
+
+def n24_chunk_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of seven words of made-up texts, with their places."""
+    said = F.concat(F.repeat(F.lit("ab "), (F.col("c_custkey") % 20).cast("int")), F.lit("  end"))
+    return table(spark, d, "customer").select("c_custkey", F.explode(text.chunk_texts(said, 7)).alias("c")).select("c_custkey", "c.start", F.length("c.text").alias("n"))
+
+
+QUERIES |= {f.__name__: f for f in (n18_markdown_blocks, n22_frame_target, n24_chunk_texts)}
+ORACLE |= {
+    "n18_markdown_blocks": "SELECT p_partkey, '<p>' || p_name || '<br>second <em>line</em></p><ul><li>a <strong>b</strong></li><li>c</li></ul><ol><li>one</li><li>two &lt;x&gt;</li></ol><p>end <code>' || p_brand || '</code></p><ul><li>last</li></ul>' AS html FROM part",
+    "n22_frame_target": r"SELECT node_pk, CASE WHEN node_pk % 3 = 0 THEN frame_id + 1 ELSE coalesce(TRY_CAST(regexp_extract(id, '^f(\d+)_.', 1) AS INTEGER), 0) END AS frame_id, CASE WHEN node_pk % 3 = 0 THEN id ELSE regexp_replace(id, '^f\d+_(.)', '\1') END AS local_id FROM nodes WHERE id IS NOT NULL",
+    "n24_chunk_texts": "WITH w AS (SELECT c_custkey, c_custkey % 20 AS k FROM customer), c AS (SELECT *, unnest(range(0, (k + 7) // 7)) AS i FROM w) SELECT c_custkey, CAST(CASE WHEN i * 7 = k THEN k * 3 + 2 ELSE i * 21 END AS INTEGER) AS start, CAST(CASE WHEN i * 7 = k THEN 3 WHEN i * 7 + 7 > k THEN (k - i * 7) * 3 + 2 + 3 ELSE 20 END AS INTEGER) AS n FROM c",
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shroudline.functions.text import csv_cell
@@ -40,3 +40,28 @@ def csv_lines(items: DataFrame, columns: list[str]) -> DataFrame:
 def write_report(items: DataFrame, columns: list[str], folder: str) -> None:
     """The report as CSV files with a header."""
     items.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
+
+
+def recent(log: DataFrame, time: str, tie: str, n: int = 20) -> DataFrame:
+    """The newest entries by arrival: a ring of n, 100 at most."""
+    return log.orderBy(F.desc(time), F.desc(tie)).limit(max(1, min(100, n)))
+
+
+def markdown_lines(items: DataFrame, by: str, title: Column, notes: Column, images: Column, count: Column) -> DataFrame:
+    """(by, report): a report of notes array<struct<label,text>>, saved images array<struct<filename,caption>> and a count of items."""
+    note = F.transform(F.coalesce(notes, F.array().cast("array<struct<label:string,text:string>>")), lambda n: F.concat(F.lit("- "), F.when(F.coalesce(n["label"], F.lit("")) != "", F.concat(F.lit("**"), n["label"], F.lit(":** "))).otherwise(""), n["text"]))
+    image = F.transform(F.coalesce(images, F.array().cast("array<struct<filename:string,caption:string>>")), lambda i: F.concat(F.lit("- `"), i["filename"], F.lit("`"), F.when(F.coalesce(i["caption"], F.lit("")) != "", F.concat(F.lit(" — "), i["caption"])).otherwise("")))
+    part = lambda head, lines: F.when(F.size(lines) > 0, F.concat(F.array(F.lit(head), F.lit("")), lines, F.array(F.lit("")))).otherwise(F.array().cast("array<string>"))
+    closing = F.when(count > 0, F.array(F.concat(F.lit("## Collected items ("), count.cast("string"), F.lit(") — see report.csv for full data")), F.lit(""))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(F.array(F.concat(F.lit("# "), F.coalesce(title, F.lit("Task report"))), F.lit("")), part("## Notes", note), part("## Saved images", image), closing)
+    return items.select(by, F.array_join(lines, "\n").alias("report"))
+
+
+def bundle(facts: DataFrame, columns: list[str], by: str) -> DataFrame:
+    """(by, bundle): the rows of each group as one JSON text, in order of their columns; a group's facts are a bounded list."""
+    return facts.groupBy(by).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*columns))), {"ignoreNullFields": "false"}).alias("bundle"))
+
+
+def unbundled(bundles: DataFrame, by: str, schema: str) -> DataFrame:
+    """The rows of bundles read back; a bundle that cannot be read gives none."""
+    return bundles.select(by, F.explode(F.from_json("bundle", f"array<struct<{schema}>>")).alias("r")).select(by, "r.*")

@@ -176,3 +176,37 @@ def test_tails_start_over_after_a_cut(spark, size, start, truncated):
     df = spark.createDataFrame([("f", i, s) for i, s in enumerate(size)], "file string, k int, size int")
     got = requests.tail_reads(df, "file", ["k"], "size").orderBy("k").collect()
     assert [r.start for r in got] == start and [r.truncated for r in got] == truncated
+
+
+def test_texts_of_every_kind(spark):
+    from shroudline.functions import text
+
+    df = spark.createDataFrame([(1, "a\n\n\n- x\n-y\n1. <b>\nz"), (2, ""), (3, None), (4, "   "), (5, "[l](javascript:x) `*a*`")], "id int, t string")
+    got = {r.id: r.m for r in df.select("id", text.markdown(F.col("t")).alias("m")).collect()}
+    assert got[1] == "<p>a</p><ul><li>x</li></ul><p>-y</p><ol><li>&lt;b&gt;</li></ol><p>z</p>" and got[2] == got[3] == got[4] == "" and "<a" not in got[5]
+    frames = {r.id: (r.f.frame_id, r.f.local_id) for r in spark.createDataFrame([(1, "f12_n_1"), (2, "n1"), (3, None), (4, "f_1")], "id int, t string").select("id", text.frame_target(F.col("t")).alias("f")).collect()}
+    assert frames == {1: (12, "n_1"), 2: (0, "n1"), 3: (0, None), 4: (0, "f_1")}
+    chunks = {r.id: [(c.start, c.text) for c in r.c or []] for r in spark.createDataFrame([(1, "  a b  c d e"), (2, ""), (3, None), (4, " ")], "id int, t string").select("id", text.chunk_texts(F.col("t"), 2).alias("c")).collect()}
+    assert chunks == {1: [(2, "a b"), (7, "c d"), (11, "e")], 2: [], 3: [], 4: []}
+
+
+def test_entities_of_first_subwords(spark):
+    from shroudline.operators import language
+
+    data = [("d", 0, 0, "Rohan", "B-PER", 0.9), ("d", 0, 1, "Rohan", "O", 0.99), ("d", 1, 0, "Mehta", "I-PER", 0.8), ("d", 2, 0, "said", "O", 0.9), ("d", 3, 0, "Monday", "B-LOC", 0.9), ("d", 4, 0, "Pune", "B-LOC", 0.5), ("d", 5, 0, "Kochi", None, 0.9)]
+    df = spark.createDataFrame(data, "doc string, pos int, sub int, word string, label string, score double")
+    assert [(r.kind, r.value) for r in language.decode_subwords(df, "doc").collect()] == [("PER", "Rohan Mehta")]
+    assert language.decode_subwords(df.limit(0), "doc").count() == 0
+
+
+def test_bundles_reports_and_roles(spark):
+    from shroudline.operators import policy
+    from shroudline.sources import logs
+
+    broken = spark.createDataFrame([("t", "{oops"), ("u", None), ("v", '[{"k":1},{"k":null}]')], "task string, bundle string")
+    assert rows(logs.unbundled(broken, "task", "k:int")) == [("v", 1), ("v", None)]
+    empty = spark.createDataFrame([(1, None, None, None)], "k int, title string, notes array<struct<label:string,text:string>>, images array<struct<filename:string,caption:string>>")
+    assert logs.markdown_lines(empty, "k", F.col("title"), F.col("notes"), F.col("images"), F.lit(0)).first().report == "# Task report\n"
+    e = spark.createDataFrame([(None, None, None, None, None, None, None), ("INPUT", None, None, None, None, None, None)], "tag string, type string, role string, editable boolean, classes string, handler boolean, tab int")
+    got = e.select(policy.element_role(*[F.col(c) for c in ("tag", "type", "role", "editable", "classes")]).alias("r"), policy.interactive(*[F.col(c) for c in ("tag", "role", "editable", "handler", "tab")]).alias("i")).collect()
+    assert got[1].r == "textbox" and got[1].i is True and got[0].r is None

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shroudline.functions.text import normalize_url
+from shroudline.functions.text import frame_url, normalize_url
+from shroudline.operators.groups import sorted_groups
 from shroudline.session import cut
 
 #: Actions a repeat, a reload or a retry is counted for.
@@ -102,6 +103,27 @@ def stitched_frames(frames: DataFrame) -> DataFrame:
     return here.where("up is null").drop("up")
 
 
+def placed_frames(frames: DataFrame, reported: DataFrame) -> DataFrame:
+    """(parent_id, frame_id, x, y, w, h): where each frame (parent_id, frame_id, ord, url) lies by what its parent reports (parent_id, ord, src, x, y, w, h).
+
+    A frame takes the first report of its address, without query and fragment, that is not taken, else the first that is
+    not; one that finds none has no place, and its page is scanned whole.  A page has few frames.
+    """
+    f = frames.select("parent_id", F.lit(0).alias("side"), "ord", "frame_id", frame_url(F.col("url")).alias("at"), *[F.lit(None).cast("int").alias(c) for c in "xywh"])
+    r = reported.select("parent_id", F.lit(1).alias("side"), "ord", F.lit(None).cast("int").alias("frame_id"), frame_url(F.col("src")).alias("at"), *[F.col(c).cast("int").alias(c) for c in "xywh"])
+
+    def place(rows: list[tuple]) -> list[tuple]:
+        free = [row for row in rows if row[1] == 1]
+        out = []
+        for parent, side, _, frame, at, *_ in rows:
+            if side == 0:
+                best = next((k for k, row in enumerate(free) if at and row[4] == at), 0 if free else None)
+                out.append((parent, frame, *(free.pop(best)[5:] if best is not None else (None,) * 4)))
+        return out
+
+    return sorted_groups(f.unionByName(r), ["parent_id"], ["side", "ord"], place, "parent_id int, frame_id int, x int, y int, w int, h int")
+
+
 def frame_nodes(nodes: DataFrame, frame: str, node_id: str) -> DataFrame:
     """The nodes of all frames as one page: ids of other frames than the top one carry their frame, so they are unique."""
     return nodes.withColumn(node_id, F.when(F.col(frame) == 0, F.col(node_id)).otherwise(F.concat(F.lit("f"), F.col(frame).cast("string"), F.lit("_"), F.col(node_id))))

@@ -71,6 +71,12 @@ def rehydrate(actions: DataFrame, vaulted: DataFrame, key: str, scope: str, text
     return whole.select(key, ok.alias("ok"), F.when(ok & F.col("pairs").isNotNull(), back).when(ok, F.col("body")).alias("text"))
 
 
+def sse_text(event: Column, data: Column) -> Column:
+    """A frame of a server-sent event stream: the event's name and its data, one line each, and the line that ends it."""
+    line = F.regexp_replace(data, r"[\r\n]+", " ")
+    return F.concat(F.lit("event: "), event, F.lit("\ndata: "), line, F.lit("\n\n"))
+
+
 def sse_frames(streams: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, event, data) of server-sent event streams: frames end at a blank line, frames whose data is no JSON are left out."""
     frames = streams.select(key, F.posexplode(F.split(text, "\r?\n\r?\n")).alias("pos", "frame"))

@@ -123,6 +123,26 @@ def action_problem(action: Column) -> Column:
     return out
 
 
+def _given(value: Column, path: str) -> Column:
+    return F.coalesce(F.try_variant_get(value, path, "string"), F.lit("")) != ""
+
+
+#: Fixed value: the most sub-tasks of a plan.
+SUBTASKS = 5
+
+
+def plan_problem(plan: Column) -> Column:
+    """Why a plan (a variant) cannot be used: one to five sub-tasks with an id and a goal; null if it can."""
+    steps = F.try_variant_get(plan, "$.subtasks", "array<variant>")
+    whole = F.forall(steps, lambda s: _given(s, "$.id") & _given(s, "$.goal"))
+    return F.when(plan.isNull() | ~F.coalesce(F.schema_of_variant(plan).startswith("OBJECT"), F.lit(False)), "not_an_object").when(~F.coalesce(F.size(steps).between(1, SUBTASKS), F.lit(False)), "bad_subtasks").when(~F.coalesce(whole, F.lit(False)), "subtask_needs_id_and_goal")
+
+
+def answer_problem(answer: Column) -> Column:
+    """Why an answer (a variant) cannot be used; null if it can."""
+    return F.when(answer.isNull() | ~F.coalesce(F.schema_of_variant(answer).startswith("OBJECT"), F.lit(False)), "not_an_object").when(~_given(answer, "$.answer"), "needs_answer")
+
+
 def fitts_ms(distance: Column, width: Column) -> Column:
     """Duration of a movement in milliseconds, between 140 and 700."""
     raw = 150 + 130 * F.log2(distance / F.greatest(F.lit(15.0), width) + 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -172,6 +172,35 @@ def visible(display: Column, visibility: Column, opacity: Column, font: Column,
     return (display != "none") & (visibility != "hidden") & (opacity > 0.05) & (font >= 2) & ~((fg == bg) & (bg_alpha > 0.5))
 
 
+#: Addresses and words of pages that ask to sign in, pages of widgets and words that ask to prove one is human,
+#: the longest text of a thin page and the most other fields of a sign-in gate.
+LOGIN_URL = r"(?i)/(?:i/flow/login|login|account/login|signin|sign[_-]?in|auth)(?:/|\?|#|$)"
+LOGIN_CTA = r"(?i)log in|sign up|see what.?s happening"
+CAPTCHA_WIDGET, CAPTCHA_HELPER = r"(?i)recaptcha|hcaptcha|arkoselabs|funcaptcha|challenges\.cloudflare\.com", r"(?i)recaptcha/api2/(?:aframe|anchor)"
+CAPTCHA_TITLE = r"(?i)just a moment|attention required"
+CAPTCHA_TEXT = r"(?i)verify you are human|i'?m not a robot|security check|checking your browser|prove you'?re human|rate limit exceeded|unusual traffic from your computer network"
+THIN_PAGE, GATE_FIELDS = 1_800, 2
+
+
+def page_walls(nodes: DataFrame, page: str, url: str, title: str) -> DataFrame:
+    """(page, login_wall, captcha) from a page's nodes (node_role, text, label, placeholder, src, rect) with its address and title.
+
+    A sign-in wall is an address that says so, a timeline without posts that asks to sign up, or a thin page with a
+    password field and at most two others.
+    """
+    t, words = F.coalesce("text", F.lit("")), F.lower(F.concat_ws(" ", "label", "placeholder"))
+    field = F.col("node_role").isin("textbox", "combobox", "password")
+    secret = (F.col("node_role") == "password") | field & words.rlike("password|passwd|pwd")
+    n = lambda c: F.count(F.when(c, 1))
+    widget = F.col("src").rlike(CAPTCHA_WIDGET) & ~F.col("src").rlike(CAPTCHA_HELPER) & (F.col("rect.w") > 4) & (F.col("rect.h") > 4)
+    by = nodes.groupBy(page).agg(F.max(url).alias("u"), F.max(title).alias("ti"), F.sum(F.length(t)).alias("size"), n(secret).alias("pw"), n(field & ~secret).alias("others"), n(F.col("node_role") == "article").alias("posts"), n(t.rlike(LOGIN_CTA)).alias("cta"), n(widget).alias("widgets"), n(t.rlike(CAPTCHA_TEXT)).alias("asks"))
+    feed = F.coalesce(F.col("u").rlike(r"(?i)^https?://(?:[^/]*\.)?(?:x|twitter)\.com(?:[/:?#]|$)"), F.lit(False)) & (F.col("posts") == 0) & (F.col("cta") > 0)
+    gate = (F.col("pw") > 0) & (F.col("size") < THIN_PAGE) & (F.col("others") <= GATE_FIELDS)
+    login = F.coalesce(F.col("u").rlike(LOGIN_URL), F.lit(False)) | feed | gate
+    captcha = (F.col("widgets") > 0) | (F.col("asks") > 0) | F.coalesce(F.col("ti").rlike(CAPTCHA_TITLE), F.lit(False))
+    return by.select(page, login.alias("login_wall"), captcha.alias("captcha"))
+
+
 #: Roles of input types and of elements, and the elements and roles a person can act on.
 INPUT_ROLES = {"submit": "button", "button": "button", "image": "button", "reset": "button", "checkbox": "checkbox", "radio": "radio", "file": "file", "range": "slider", "color": "button"}
 TAG_ROLES = {"a": "link", "button": "button", "textarea": "textbox", "select": "combobox", "article": "article", "h1": "heading", "h2": "heading", "h3": "heading", "li": "listitem", "p": "paragraph", "img": "image", "nav": "navigation", "dialog": "dialog"}

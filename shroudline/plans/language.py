@@ -15,9 +15,13 @@ def known_site(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "step_messages").where("prompt is not null").select("msg_id", language.known_site(prompt).alias("url"))
 
 
+#: Links with a mail address in the path of every twentieth.
+_LINK = "CASE WHEN node_pk % 20 = 0 THEN concat('https://a.example/u/x', node_pk, '%40mail.example/in?k=1') ELSE href END"
+
+
 def sanitize_url(spark: SparkSession, d: str) -> DataFrame:
     """Origin and path of each link with personal data in the path replaced, the query only hinted at."""
-    rows = table(spark, d, "nodes").where("href is not null").select("node_pk", "href", F.coalesce(F.try_url_decode(text.url_path(F.col("href"))), F.lit("")).alias("path"))
+    rows = table(spark, d, "nodes").where("href is not null").select("node_pk", F.expr(_LINK).alias("href")).withColumn("path", F.coalesce(F.try_url_decode(text.url_path(F.col("href"))), F.lit("")))
     found = rows.withColumn("spans", rules.detect(F.col("path")))
     path = F.when(F.size("spans") > 0, rules.apply_tokens(F.col("path"), F.col("spans"), rules.coarse_token)).otherwise(text.url_path(F.col("href")))
     return found.select("node_pk", F.concat(text.origin(F.col("href")), path, F.when(F.col("href").rlike(r"^[^#]*\?"), "?…").otherwise("")).alias("url"))
@@ -60,11 +64,14 @@ def next_row_meta(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nodes").withColumn("meta_text", F.lead("text").over(w)).where("node_role = 'link'").select("node_pk", "meta_text")
 
 
+#: Addresses and titles of the pages of the query below.
+_WALL = {"u": "concat('https://', CASE WHEN page_id % 4 = 0 THEN 'x.com' ELSE 'a.example' END, CASE page_id % 7 WHEN 0 THEN '/sign_in?next=1' WHEN 1 THEN '/authors' ELSE '/page' END)", "title": "CASE WHEN page_id % 11 = 0 THEN 'Just a moment...' END", "said": "CASE WHEN node_pk % 40 = 0 THEN 'Log in or sign up' WHEN node_pk % 97 = 0 THEN 'Checking your browser' ELSE text END", "label": "CASE WHEN node_pk % 31 = 0 THEN 'Password' ELSE label END", "src": "CASE WHEN node_pk % 53 = 0 THEN 'https://hcaptcha.example/x' WHEN node_pk % 59 = 0 THEN 'https://g.example/recaptcha/api2/anchor' ELSE src END"}
+
+
 def login_walls(spark: SparkSession, d: str) -> DataFrame:
-    """Pages with a password or sign-in cue and few texts; captcha cues beside."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    by = table(spark, d, "nodes").groupBy("page_id").agg(F.count("*").alias("nodes"), F.count(F.when(t.rlike(r"(?i)sign in|log ?in|password|anmelden"), 1)).alias("cues"), F.count(F.when(t.rlike(r"(?i)captcha|not a robot|checking your browser"), 1)).alias("captcha"))
-    return by.select("page_id", ((F.col("cues") >= 1) & (F.col("nodes") <= 12)).alias("login_wall"), (F.col("captcha") > 0).alias("captcha"))
+    """Pages that ask to sign in or to prove one is human, with addresses, titles and cues put in by number."""
+    nodes = table(spark, d, "nodes").select("page_id", "node_role", "placeholder", "rect", *[F.expr(e).alias("text" if n == "said" else n) for n, e in _WALL.items()])
+    return policy.page_walls(nodes, "page_id", "u", "title")
 
 
 def distinct_detection(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +88,10 @@ _SITE_ON = " ".join(f"WHEN regexp_matches(low, '\\b(?:on|from|in|at|search|using
 _SITE_TO = r"trim(regexp_extract(low, '\b(?:go to|open|visit|navigate to)\s+([a-z][a-z0-9.\s]{1,20}?)(?:\s+(?:and|,|to|then)\b|[.,!?]|$)', 1))"
 _ALONE = r"\p{P}$+<=>^`|~\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}"
 _WHITE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
+_ACCOUNT = "(?i)" + rules.RULES[19].pattern.pattern.replace(r"\b(?:a/c", r"(\b(?:a/c").replace("((?:[Xx*]", ")((?:[Xx*]")
+_AT = r"lower(regexp_extract(h, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*'))"
 ORACLE = {
+    "sanitize_url": f"SELECT node_pk, {_AT} || CASE WHEN node_pk % 20 = 0 THEN '/u/[REDACTED_EMAIL]/in' ELSE regexp_replace(regexp_extract(regexp_replace(h, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '^[^?#]*'), '{_ACCOUNT}', '\\1[REDACTED_ID]') END || CASE WHEN regexp_matches(h, '^[^#]*\\?') THEN '?…' ELSE '' END AS url FROM (SELECT node_pk, {_LINK} AS h FROM nodes WHERE href IS NOT NULL)",
     "word_counts": f"SELECT node_pk, CAST(len(regexp_extract_all(text, '[{_ALONE}]|[^{_ALONE}{_WHITE}]+')) AS INTEGER) AS words FROM nodes WHERE text IS NOT NULL",
     "known_site": f"SELECT msg_id, CASE WHEN regexp_matches(low, 'https?://') THEN NULL WHEN CASE {_SITE_TO} {_SITE_OF} END IS NOT NULL THEN CASE {_SITE_TO} {_SITE_OF} END {_SITE_ON} END AS url FROM (SELECT msg_id, lower(CASE msg_id % 3 WHEN 0 THEN 'open GitHub and ' || prompt WHEN 1 THEN prompt || ' on Wikipedia' ELSE prompt END) AS low FROM step_messages WHERE prompt IS NOT NULL)",
     "lookup": "SELECT host, CASE default_lang WHEN 'de' THEN 'Deutsch' WHEN 'fr' THEN 'Français' WHEN 'en' THEN 'English' ELSE default_lang END AS name FROM site_hosts",
@@ -89,7 +99,9 @@ ORACLE = {
     "transient_errors": f"SELECT msg_id, coalesce(regexp_matches(coalesce(CASE WHEN json_valid(last_action_result) THEN json_extract_string(last_action_result, '$.error') END, CASE WHEN msg_id % 7 = 0 THEN 'No frame with id 3' END), '{policy.TRANSIENT}'), false) AS transient FROM step_messages",
     "fitts": "SELECT node_pk, CAST(round(greatest(140, least(700, 150 + 130 * log2(x / greatest(15, w) + 1)))) AS INTEGER) AS ms, round(10 * t ** 3 - 15 * t ** 4 + 6 * t ** 5, 6) AS jerk FROM (SELECT node_pk, rect.x::DOUBLE AS x, rect.w::DOUBLE AS w, (rect.x % 100) / 100.0::DOUBLE AS t FROM nodes WHERE rect IS NOT NULL)",
     "next_row_meta": "SELECT node_pk, meta_text FROM (SELECT node_pk, node_role, lead(text) OVER (PARTITION BY page_id ORDER BY frame_id, pos, node_pk) AS meta_text FROM nodes) WHERE node_role = 'link'",
-    "login_walls": "SELECT page_id, count(*) FILTER (regexp_matches(coalesce(text, ''), '(?i)sign in|log ?in|password|anmelden')) >= 1 AND count(*) <= 12 AS login_wall, count(*) FILTER (regexp_matches(coalesce(text, ''), '(?i)captcha|not a robot|checking your browser')) > 0 AS captcha FROM nodes GROUP BY page_id",
+    "login_walls": f"""WITH n AS (SELECT page_id, node_role, lower(concat_ws(' ', {_WALL['label']}, placeholder)) AS w, rect, coalesce({_WALL['said']}, '') AS t, {_WALL['u']} AS u, {_WALL['title']} AS title, {_WALL['src']} AS src FROM nodes), f AS (SELECT *, node_role IN ('textbox', 'combobox', 'password') AS field, node_role = 'password' OR node_role IN ('textbox', 'combobox', 'password') AND regexp_matches(w, 'password|passwd|pwd') AS secret FROM n)
+        SELECT page_id, regexp_matches(max(u), '{policy.LOGIN_URL}') OR contains(max(u), '//x.com/') AND count(*) FILTER (node_role = 'article') = 0 AND count(*) FILTER (regexp_matches(t, '{policy.LOGIN_CTA}')) > 0 OR count(*) FILTER (secret) > 0 AND sum(length(t)) < 1800 AND count(*) FILTER (field AND NOT secret) <= 2 AS login_wall,
+        count(*) FILTER (regexp_matches(src, '{policy.CAPTCHA_WIDGET}') AND NOT regexp_matches(src, '{policy.CAPTCHA_HELPER}') AND rect.w > 4 AND rect.h > 4) > 0 OR count(*) FILTER (regexp_matches(t, '{policy.CAPTCHA_TEXT.replace(chr(39), chr(39) * 2)}')) > 0 OR coalesce(regexp_matches(max(title), '{policy.CAPTCHA_TITLE}'), false) AS captcha FROM f GROUP BY page_id""",
     "label_runs": """WITH t AS (SELECT event_id // 10 AS doc, event_id AS pos, 'wo' || user_id AS word, ['O', 'B-PER', 'I-PER', 'B-LOC', 'I-LOC'][(event_id * event_id + user_id) % 5 + 1] AS label, 0.5 + (event_id % 50) / 100 AS score FROM events),
         k AS (SELECT *, regexp_extract(label, '^[BI]-(.+)$', 1) AS kind FROM t), m AS (SELECT *, CASE WHEN kind <> '' AND label[1] <> 'B' AND lag(kind) OVER w = kind AND pos - lag(pos) OVER w = 1 THEN 0 ELSE 1 END AS fresh FROM k WINDOW w AS (PARTITION BY doc ORDER BY pos)),
         r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc ORDER BY pos) AS run FROM m)

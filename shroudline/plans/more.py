@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shroudline.operators import collect, language, policy, requests, vault
+from shroudline.operators import collect, egress, language, policy, requests, vault
 from shroudline.plans.detection import _K, _N4, _pick
 from shroudline.plans.records import _EVENTS, _customers
 from shroudline.sources import logs
@@ -73,13 +73,47 @@ def empty_streak(spark: SparkSession, d: str) -> DataFrame:
     return collect.streaks(table(spark, d, "events").select("user_id", "event_id", "ts", "event_type"), "user_id", ["ts", "event_id"], empty).where("streak >= 3").select("event_id", "streak")
 
 
-QUERIES = {f.__name__: f for f in (element_roles, label_only, tokenized_prompts, subword_entities, recent_ring, markdown_report, bundle_roundtrip, empty_streak)}
+_PLAN = _pick("concat('{\"subtasks\": [{\"id\": \"a\", \"goal\": \"', c_name, '\"}]}')", "'[]'", "'{\"subtasks\": []}'", "'{\"subtasks\": [{\"id\": \"a\"}]}'", "'{oops'", "'{\"subtasks\": [{\"id\": 1, \"goal\": \"g\"}, {\"id\": 2, \"goal\": \"g\"}, {\"id\": 3, \"goal\": \"g\"}, {\"id\": 4, \"goal\": \"g\"}, {\"id\": 5, \"goal\": \"g\"}, {\"id\": 6, \"goal\": \"g\"}]}'", "'{\"answer\": \"x\"}'")
+
+
+def plan_problems(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with plans and answers."""
+    v = F.try_parse_json("p")
+    return _customers(spark, d, p=_PLAN).select(_K, language.plan_problem(v).alias("plan"), language.answer_problem(v).alias("answer"))
+
+
+def sse_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Messages as frames of an event stream."""
+    done = table(spark, d, "step_messages").where("action_json is not null")
+    return done.select("msg_id", egress.sse_text(F.lit("result"), F.col("action_json")).alias("frame"))
+
+
+def log_rotation(spark: SparkSession, d: str) -> DataFrame:
+    """The newest two files of each host's log at a small limit."""
+    entries = table(spark, d, "audit_entries").where("host is not null and body is not null").select("host", "entry_id", "body")
+    return logs.rotated(entries, ["host"], ["entry_id"], "body", 20_000).select("host", "entry_id", "file")
+
+
+def placed_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as frames of nations: two by their address, whatever the order of the reports, the rest by what is left."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("int").alias("parent_id"), F.col("c_custkey").cast("int").alias("frame_id"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("ord")).where("ord <= 4")
+    frames = c.select("parent_id", "frame_id", "ord", F.expr("CASE WHEN ord <= 2 THEN concat('https://a.example/f', ord, '?k=', frame_id) END").alias("url"))
+    reported = c.where("ord <= 3").select("parent_id", (4 - F.col("ord")).alias("ord"), F.expr("concat('https://a.example/f', ord, '#x')").alias("src"), (F.col("ord") * 10).alias("x"), F.lit(5).alias("y"), F.lit(7).alias("w"), F.lit(9).alias("h"))
+    return collect.placed_frames(frames, reported)
+
+
+QUERIES = {f.__name__: f for f in (plan_problems, sse_sink, log_rotation, placed_frames, element_roles, label_only, tokenized_prompts, subword_entities, recent_ring, markdown_report, bundle_roundtrip, empty_streak)}
 
 _ROLE = "CASE WHEN coalesce(role, '') <> '' THEN role WHEN t = 'input' THEN CASE lower(coalesce(type, 'text')) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in policy.INPUT_ROLES.items()) + " ELSE 'textbox' END WHEN editable THEN 'textbox' WHEN regexp_matches(coalesce(classes, ''), '(?i)toast|alert|error|invalid|destructive') THEN 'alert' ELSE CASE t " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in policy.TAG_ROLES.items()) + " ELSE t END END"
 _STOP = ", ".join(f"'{w}'" for w in sorted(language.STOP))
 #: What each event leads to from each state, as a fold over a task's events; a pause keeps the state it holds behind a colon.
 _NEXT = "CASE WHEN s IN ('DONE', 'ERROR') THEN s WHEN e = 'fail' THEN 'ERROR' WHEN e = 'stop' THEN 'DONE' WHEN e = 'pause' AND NOT starts_with(s, 'PAUSED') THEN 'PAUSED:' || s WHEN starts_with(s, 'PAUSED') THEN CASE WHEN e = 'resume' THEN s[8:] ELSE s END " + " ".join(f"WHEN s = '{a}' AND e = '{b}' THEN '{c}'" for (a, b), c in requests.MOVES.items()) + " ELSE s END"
 ORACLE = {
+    "plan_problems": f"SELECT {_K}, CASE {_K} % 7 WHEN 0 THEN NULL WHEN 1 THEN 'not_an_object' WHEN 4 THEN 'not_an_object' WHEN 3 THEN 'subtask_needs_id_and_goal' ELSE 'bad_subtasks' END AS plan, CASE {_K} % 7 WHEN 6 THEN NULL WHEN 1 THEN 'not_an_object' WHEN 4 THEN 'not_an_object' ELSE 'needs_answer' END AS answer FROM customer",
+    "sse_sink": r"SELECT msg_id, 'event: result' || chr(10) || 'data: ' || regexp_replace(action_json, '[\r\n]+', ' ', 'g') || chr(10) || chr(10) AS frame FROM step_messages WHERE action_json IS NOT NULL",
+    "log_rotation": "SELECT host, entry_id, file FROM (SELECT *, max(file) OVER (PARTITION BY host) AS last FROM (SELECT host, entry_id, CAST(floor(coalesce(sum(octet_length(encode(body)) + 1) OVER (PARTITION BY host ORDER BY entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 20000) AS BIGINT) AS file FROM audit_entries WHERE host IS NOT NULL AND body IS NOT NULL)) WHERE file > last - 2",
+    "placed_frames": """WITH c AS (SELECT CAST(c_nationkey AS INTEGER) AS parent_id, CAST(c_custkey AS INTEGER) AS frame_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS ord FROM customer)
+        SELECT parent_id, frame_id, CAST(CASE WHEN ord <= 3 THEN ord * 10 END AS INTEGER) AS x, CAST(CASE WHEN ord <= 3 THEN 5 END AS INTEGER) AS y, CAST(CASE WHEN ord <= 3 THEN 7 END AS INTEGER) AS w, CAST(CASE WHEN ord <= 3 THEN 9 END AS INTEGER) AS h FROM c WHERE ord <= 4""",
     "element_roles": f"SELECT {_K}, {_ROLE} AS inferred, t IN ('a', 'button', 'input', 'textarea', 'select') OR coalesce(role IN ('button', 'link', 'menuitem', 'tab', 'checkbox', 'textbox'), false) OR editable OR handler OR coalesce(tab_index >= 0, false) AS interactive FROM (SELECT *, lower(tag) AS t FROM (SELECT {_K}, " + ", ".join(f"{e} AS {n}" for n, e in _TAGS.items()) + " FROM customer))",
     "label_only": f"""WITH c AS (SELECT {_K}, {_K} % 10 AS s, '4000' || ({_K} % 40) AS v FROM customer), h AS (SELECT s, v, row_number() OVER (PARTITION BY s ORDER BY min({_K})) AS n FROM c WHERE {_K} % 2 = 0 GROUP BY s, v),
         f AS (SELECT s, v, row_number() OVER (PARTITION BY s ORDER BY min({_K})) + coalesce((SELECT max(n) FROM h WHERE h.s = c.s), 0) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.s = c.s AND h.v = c.v) GROUP BY s, v)

@@ -42,6 +42,18 @@ def write_report(items: DataFrame, columns: list[str], folder: str) -> None:
     items.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
 
 
+#: Fixed value: a log file of more bytes is rotated.
+FILE_BYTES = 20_000_000
+
+
+def rotated(entries: DataFrame, by: list[str], order: list[str], line: str, most: int = FILE_BYTES, keep: int = 2) -> DataFrame:
+    """The lines of the newest ``keep`` files of each log, with the number of their file: a file takes lines until it holds ``most`` bytes."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    before = F.coalesce(F.sum(F.octet_length(line) + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = entries.withColumn("file", F.floor(before / most).cast("bigint"))
+    return placed.withColumn("last", F.max("file").over(Window.partitionBy(*by))).where(F.col("file") > F.col("last") - keep).drop("last")
+
+
 def recent(log: DataFrame, time: str, tie: str, n: int = 20) -> DataFrame:
     """The newest entries by arrival: a ring of n, 100 at most."""
     return log.orderBy(F.desc(time), F.desc(tie)).limit(max(1, min(100, n)))

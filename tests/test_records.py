@@ -210,3 +210,26 @@ def test_bundles_reports_and_roles(spark):
     e = spark.createDataFrame([(None, None, None, None, None, None, None), ("INPUT", None, None, None, None, None, None)], "tag string, type string, role string, editable boolean, classes string, handler boolean, tab int")
     got = e.select(policy.element_role(*[F.col(c) for c in ("tag", "type", "role", "editable", "classes")]).alias("r"), policy.interactive(*[F.col(c) for c in ("tag", "role", "editable", "handler", "tab")]).alias("i")).collect()
     assert got[1].r == "textbox" and got[1].i is True and got[0].r is None
+
+
+def test_frames_take_the_report_of_their_address(spark):
+    frames = spark.createDataFrame([(0, 1, 1, "https://a.b/x?q=1"), (0, 2, 2, None), (0, 3, 3, "https://a.b/y"), (0, 4, 4, "https://a.b/x"), (9, 5, 1, "u")], "parent_id int, frame_id int, ord int, url string")
+    reported = spark.createDataFrame([(0, 1, "https://a.b/y", 1, 1, 1, 1), (0, 2, "https://a.b/x#f", 2, 2, 2, 2), (0, 3, None, 3, 3, 3, 3)], "parent_id int, ord int, src string, x int, y int, w int, h int")
+    assert [(r.frame_id, r.x) for r in collect.placed_frames(frames, reported).orderBy("frame_id").collect()] == [(1, 2), (2, 1), (3, 3), (4, None), (5, None)]
+    assert collect.placed_frames(frames.limit(0), reported.limit(0)).count() == 0
+
+
+def test_plans_logs_and_walls(spark):
+    from shroudline.operators import egress, language, policy
+    from shroudline.sources import logs
+
+    plans = spark.createDataFrame([(None,), ("{}",), ('{"subtasks": {"id": 1}}',), ('{"subtasks": [{"id": "a", "goal": "g"}, 7]}',), ('{"subtasks": [{"id": "a", "goal": "g"}]}',)], "t string").select(F.try_parse_json("t").alias("v"))
+    assert [r[0] for r in plans.select(language.plan_problem(F.col("v"))).collect()] == ["not_an_object", "bad_subtasks", "bad_subtasks", "subtask_needs_id_and_goal", None]
+    lines = spark.createDataFrame([("h", i, "x" * 9) for i in range(7)], "host string, k int, line string")
+    assert [(r.k, r.file) for r in logs.rotated(lines, ["host"], ["k"], "line", 20).orderBy("k").collect()] == [(4, 2), (5, 2), (6, 3)]
+    frame = spark.createDataFrame([("a", "1\n2"), ("b", None)], "e string, d string").select(egress.sse_text(F.col("e"), F.col("d")).alias("f")).collect()
+    assert [r.f for r in frame] == ["event: a\ndata: 1 2\n\n", None]
+    schema = "page int, node_role string, text string, label string, placeholder string, src string, rect struct<x:int,y:int,w:int,h:int>, u string, title string"
+    pages = [(1, "password", None, None, None, None, None, "https://a.b/", None), (2, "paragraph", "x" * 2_000, None, None, None, None, "https://a.b/", None), (2, "textbox", None, "Password", None, None, None, None, None), (3, None, None, None, None, "https://hcaptcha.com/x", (0, 0, 300, 70), None, None), (4, "link", "log in", None, None, None, None, "https://x.com/home", "Just a moment"), (5, "p", "x", None, None, None, None, "https://a.b/author", None)]
+    got = {r.page: (r.login_wall, r.captcha) for r in policy.page_walls(spark.createDataFrame(pages, schema), "page", "u", "title").collect()}
+    assert got == {1: (True, False), 2: (False, False), 3: (False, True), 4: (True, True), 5: (False, False)}

@@ -56,7 +56,10 @@ def span_scores(gold: DataFrame, predicted: DataFrame, doc: str, cover: float =
     fresh = pieces.withColumn("seen", F.coalesce(F.max("b").over(w), F.col("a"))).withColumn("new", F.greatest(F.lit(0), F.col("b") - F.greatest("a", "seen")))
     covered = fresh.groupBy("g_doc", "g_start", "g_end").agg(F.sum("new").alias("n")).where(F.col("n") >= cover * (F.col("g_end") - F.col("g_start")))
     right = p.join(g, touch, "left_semi")
-    one = g.agg(F.count("*").alias("gold")).crossJoin(covered.agg(F.count("*").alias("tp"))).crossJoin(p.agg(F.count("*").alias("predicted"))).crossJoin(right.agg(F.count("*").alias("right")))
+    kinds = {"gold": g, "tp": covered, "predicted": p, "right": right}
+    rows = [df.select(F.lit(kind).alias("kind")) for kind, df in kinds.items()]
+    counted = rows[0].unionAll(rows[1]).unionAll(rows[2]).unionAll(rows[3])
+    one = counted.agg(*[F.count(F.when(F.col("kind") == kind, 1)).alias(kind) for kind in kinds])
     ratio = lambda a, b: F.when(b > 0, F.round(a / b, 3)).otherwise(F.lit(0.0))
     scored = one.select("gold", "tp", "predicted", "right", ratio(F.col("tp"), F.col("gold")).alias("recall"), ratio(F.col("right"), F.col("predicted")).alias("precision"))
     total = F.col("recall") + F.col("precision")

@@ -191,6 +191,49 @@ def fingerprints(content: Column) -> Column:
     return run(content)
 
 
+def write_pixels(pixels: np.ndarray) -> bytes:
+    """A binary PPM or PGM image."""
+    colour = pixels.ndim == 3
+    head = f"{'P6' if colour else 'P5'}\n{pixels.shape[1]} {pixels.shape[0]}\n255\n".encode()
+    return head + np.clip(np.round(pixels), 0, 255).astype(np.uint8).tobytes()
+
+
+def painted(content: Column, boxes: Column, pad: int = 2) -> Column:
+    """Each image with opaque boxes (array<struct<x,y,w,h>>) over it; null where it cannot be read."""
+
+    @F.pandas_udf("binary")
+    def run(images: pd.Series, places: pd.Series) -> pd.Series:
+        out = []
+        for image, held in zip(images, places):
+            pixels = read_pixels(image) if image is not None else None
+            if pixels is None:
+                out.append(None)
+                continue
+            rows = pixels if pixels.ndim == 3 else pixels[..., None]
+            done = vision.paint(rows, [(b["x"], b["y"], b["w"], b["h"]) for b in (held if held is not None else ()) if None not in (b["x"], b["y"], b["w"], b["h"])], pad)
+            out.append(write_pixels(done if pixels.ndim == 3 else done[..., 0]))
+        return pd.Series(out, dtype=object)
+
+    return run(content, boxes)
+
+
+def resized(content: Column, width: int, height: int, box: Column | None = None) -> Column:
+    """Each image, or the part of it a box (struct<x,y,w,h>) covers, at another size; null where it cannot be read."""
+
+    @F.pandas_udf("binary")
+    def run(images: pd.Series, parts: pd.DataFrame) -> pd.Series:
+        out = []
+        for i, image in enumerate(images):
+            pixels = read_pixels(image) if image is not None else None
+            if pixels is not None and pd.notna(parts["x"].iloc[i]):
+                pixels = crop(pixels, *[int(parts[c].iloc[i]) for c in "xywh"])
+            out.append(write_pixels(vision.resize(pixels.astype(float), width, height)) if pixels is not None else None)
+        return pd.Series(out, dtype=object)
+
+    whole = F.struct(*[F.lit(None).cast("int").alias(c) for c in "xywh"])
+    return run(content, box if box is not None else whole)
+
+
 def screenshots(spark, folder: str) -> DataFrame:
     """(path, content, at) of the pictures under a folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content", F.col("modificationTime").alias("at"))

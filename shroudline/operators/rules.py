@@ -283,6 +283,16 @@ def custom_term_spans(text: str, terms: list[tuple[str, str, bool]]) -> list[Spa
     return out
 
 
+def term_places(c: Column, terms: list[tuple[str, str, bool]]) -> Column:
+    """array<string>: the types of all places of user terms in a text, before any overlap is resolved."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [s[2] for s in custom_term_spans(t, terms)] if t else [])
+
+    return run(c)
+
+
 _BASE64, _HEX = re.compile(r"\b[A-Za-z0-9+/]{16,}={0,2}", re.ASCII), re.compile(r"\b(?:[0-9a-fA-F]{2}){8,}\b", re.ASCII)
 
 

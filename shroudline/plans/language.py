@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shroudline.functions import text
 from shroudline.operators import language, policy, rules
+from shroudline.plans import text as text_plan
 from shroudline.sources.tables import table
 
 
@@ -75,10 +76,10 @@ def login_walls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def distinct_detection(spark: SparkSession, d: str) -> DataFrame:
-    """Spans per node with each distinct text searched once and joined back."""
+    """Mail addresses of each node, with each distinct text searched once and joined back."""
     nodes = table(spark, d, "nodes").where("text is not null").select("node_pk", F.xxhash64("text").alias("h"), "text")
-    once = nodes.groupBy("h", "text").agg(F.lit(1).alias("one")).select("h", F.col("text").alias("t"), F.size(rules.detect(F.col("text"))).alias("spans"))
-    return nodes.join(once.where("spans > 0"), (nodes["h"] == once["h"]) & (nodes["text"] == once["t"])).select("node_pk", "spans")
+    once = nodes.groupBy("h", "text").agg(F.lit(1).alias("one")).select("h", F.col("text").alias("t"), F.size(rules.matched(F.col("text"), (1,))).alias("found"))
+    return nodes.join(once.where("found > 0"), (nodes["h"] == once["h"]) & (nodes["text"] == once["t"])).select("node_pk", "found")
 
 
 QUERIES = {f.__name__: f for f in (known_site, sanitize_url, word_counts, label_runs, lookup, action_problems, transient_errors, fitts, next_row_meta, login_walls, distinct_detection)}
@@ -90,7 +91,9 @@ _ALONE = r"\p{P}$+<=>^`|~\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}"
 _WHITE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
 _ACCOUNT = "(?i)" + rules.RULES[19].pattern.pattern.replace(r"\b(?:a/c", r"(\b(?:a/c").replace("((?:[Xx*]", ")((?:[Xx*]")
 _AT = r"lower(regexp_extract(h, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*'))"
+_FLAT = text_plan.ORACLE["n6_scan_form"].split("SELECT node_pk, ", 1)[1].split(" AS out FROM", 1)[0]
 ORACLE = {
+    "distinct_detection": f"SELECT node_pk, CAST(len(regexp_extract_all({_FLAT}, '{rules.RULES[1].pattern.pattern}')) AS INTEGER) AS found FROM nodes WHERE text IS NOT NULL AND regexp_matches({_FLAT}, '{rules.RULES[1].pattern.pattern}')",
     "sanitize_url": f"SELECT node_pk, {_AT} || CASE WHEN node_pk % 20 = 0 THEN '/u/[REDACTED_EMAIL]/in' ELSE regexp_replace(regexp_extract(regexp_replace(h, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '^[^?#]*'), '{_ACCOUNT}', '\\1[REDACTED_ID]') END || CASE WHEN regexp_matches(h, '^[^#]*\\?') THEN '?…' ELSE '' END AS url FROM (SELECT node_pk, {_LINK} AS h FROM nodes WHERE href IS NOT NULL)",
     "word_counts": f"SELECT node_pk, CAST(len(regexp_extract_all(text, '[{_ALONE}]|[^{_ALONE}{_WHITE}]+')) AS INTEGER) AS words FROM nodes WHERE text IS NOT NULL",
     "known_site": f"SELECT msg_id, CASE WHEN regexp_matches(low, 'https?://') THEN NULL WHEN CASE {_SITE_TO} {_SITE_OF} END IS NOT NULL THEN CASE {_SITE_TO} {_SITE_OF} END {_SITE_ON} END AS url FROM (SELECT msg_id, lower(CASE msg_id % 3 WHEN 0 THEN 'open GitHub and ' || prompt WHEN 1 THEN prompt || ' on Wikipedia' ELSE prompt END) AS low FROM step_messages WHERE prompt IS NOT NULL)",

@@ -121,6 +121,26 @@ def fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", F.coalesce(perception.fingerprints(image), F.lit(-2).cast("bigint")).alias("hash"))
 
 
+def _white(spark: SparkSession, d: str) -> DataFrame:
+    """White pictures of 30 by 20 pixels, with a box each."""
+    image = F.concat(F.lit(b"P5\n30 20\n255\n"), F.unhex(F.repeat(F.lit("FF"), 600)))
+    box = F.expr("struct(cast(c_custkey % 40 as int) as x, cast(c_custkey % 15 as int) as y, cast(c_custkey % 9 as int) as w, cast(c_custkey % 6 as int) as h)")
+    return table(spark, d, "customer").select("c_custkey", image.alias("image"), box.alias("box"))
+
+
+def painted_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Black pixels after a padded box was painted over each picture."""
+    done = _white(spark, d).select("c_custkey", F.hex(perception.painted(F.col("image"), F.array("box"))).alias("h"))
+    bytes_ = F.transform(F.sequence(F.lit(0), F.lit(599)), lambda i: F.substr("h", 27 + 2 * i, F.lit(2)))
+    return done.select("c_custkey", F.size(F.filter(bytes_, lambda b: b == "00")).alias("black"))
+
+
+def crops(spark: SparkSession, d: str) -> DataFrame:
+    """A box of each picture at twelve by ten pixels: the picture's head and length."""
+    done = _white(spark, d).select("c_custkey", perception.resized(F.col("image"), 12, 10, F.col("box")).alias("i"))
+    return done.select("c_custkey", F.hex(F.substr("i", F.lit(1), F.lit(9))).alias("head"), F.octet_length("i").alias("bytes"))
+
+
 # behaviour
 def delays(spark: SparkSession, d: str) -> DataFrame:
     """Clamped normal and log-normal delays of each order line."""
@@ -143,7 +163,7 @@ def pointer_paths(spark: SparkSession, d: str) -> DataFrame:
     return behavior.paths(moves, "s_suppkey")
 
 
-QUERIES = {f.__name__: f for f in (viewport_clips, image_hints, region_sensitivity, face_regions, ocr_words, ocr_boxes, box_union, head_classes, detector_boxes, detector_kept, mosaic_back, merged_faces, fingerprints, delays, target_points, pointer_paths)}
+QUERIES = {f.__name__: f for f in (viewport_clips, image_hints, region_sensitivity, face_regions, ocr_words, ocr_boxes, box_union, head_classes, detector_boxes, detector_kept, mosaic_back, merged_faces, fingerprints, painted_boxes, crops, delays, target_points, pointer_paths)}
 
 _U = "((CAST('0x' || left(md5({k} || '|{s}'), 8) AS BIGINT) + 0.5) / 4294967296.0)"
 
@@ -187,6 +207,8 @@ ORACLE = {
     "mosaic_back": "SELECT p_partkey, CAST(p_partkey % 100 + p_size * 3 AS DOUBLE) AS x, CAST(p_partkey % 60 + p_size * 2 AS DOUBLE) AS y FROM part",
     "merged_faces": "SELECT s_suppkey % 10 AS image, CAST(s_suppkey // 10 * 100 AS DOUBLE) AS x, 5.0::DOUBLE AS y, 44.0::DOUBLE AS w, 43.0::DOUBLE AS h FROM supplier",
     "fingerprints": "SELECT c_custkey, CAST(CASE c_custkey % 3 WHEN 0 THEN -1 WHEN 1 THEN 0 ELSE -2 END AS BIGINT) AS hash FROM customer",
+    "painted_boxes": """SELECT c_custkey, CAST(greatest(0, least(30, x + w + 2) - least(30, greatest(0, x - 2))) * greatest(0, least(20, y + h + 2) - greatest(0, y - 2)) AS INTEGER) AS black FROM (SELECT c_custkey, c_custkey % 40 AS x, c_custkey % 15 AS y, c_custkey % 9 AS w, c_custkey % 6 AS h FROM customer)""",
+    "crops": "SELECT c_custkey, hex('P5' || chr(10) || '12 10' || chr(10)) AS head, 133 AS bytes FROM customer",
     "delays": f"""SELECT l_orderkey, l_linenumber, round(greatest(60, least(150, 100 + z * 30)), 5) AS normal, round(greatest(40, least(500, exp(ln(10000 / sqrt(900 + 10000)) + sqrt(ln(900 / 10000 + 1)) * z))), 5) AS log_normal
         FROM (SELECT l_orderkey, l_linenumber, {_normal("(l_orderkey || '-' || l_linenumber)", 'delay')} AS z FROM lineitem)""",
     "target_points": f"""SELECT node_pk, CAST(round(greatest(x + px, least(x + w - px, x + w / 2 + zx * greatest(1, (w - 2 * px) / 6)))) AS INTEGER) AS x, CAST(round(greatest(y + py, least(y + h - py, y + h / 2 + zy * greatest(1, (h - 2 * py) / 6)))) AS INTEGER) AS y

@@ -117,8 +117,8 @@ def vault_emails(spark: SparkSession, d: str) -> DataFrame:
 def custom_terms(spark: SparkSession, d: str) -> DataFrame:
     """A literal and two patterns as user terms, one of them broken."""
     terms = [("Code name", "lantern", False), ("ticket id", r"ZX\d{10}QT", True), ("broken", "(", True)]
-    found = _texts(spark, d).select("node_pk", F.explode(rules.detect(F.col("text"), terms=terms)).alias("s")).where("s.source = 'custom'")
-    return found.groupBy(F.col("s.type").alias("type")).agg(F.count("*").alias("n"), F.countDistinct("node_pk").alias("nodes"))
+    found = _texts(spark, d).select("node_pk", F.explode(rules.term_places(F.col("text"), terms)).alias("type"))
+    return found.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("node_pk").alias("nodes"))
 
 
 def encoded_values(spark: SparkSession, d: str) -> DataFrame:
@@ -285,6 +285,8 @@ ORACLE = {
     "field_category": f"SELECT node_pk, {_CATEGORY} AS category FROM (SELECT node_pk, concat_ws(' ', label, placeholder) AS l FROM nodes WHERE label IS NOT NULL OR placeholder IS NOT NULL)",
     "origin_policy": f"SELECT node_pk, coalesce({_HOST} <> '' AND (({_HOST} = 'eastwiki.example' OR ends_with({_HOST}, '.eastwiki.example')) OR lower(regexp_extract(href, '(?i)^(https?://[^/?#]+)', 1)) = 'https://my.fernport.test' OR lower(regexp_extract(href, '(?i)^(https?://[^/?#]+)', 1)) = 'https://' || host), false) AS allowed FROM nodes WHERE href IS NOT NULL",
     "screenshot_gate": f"SELECT msg_id, CASE WHEN regexp_matches(coalesce(prompt, ''), '{_sql(policy.IMAGE_TASK)}') THEN 'visual_task' WHEN coalesce(screen_state_confidence, 1.0) < 0.35 THEN 'low_confidence' END AS reason FROM step_messages",
+    "residual_pii": 'SELECT false AS "left", count(*) AS n FROM nodes WHERE text IS NOT NULL',
+    "custom_terms": """SELECT type, count(*) AS n, count(DISTINCT node_pk) AS nodes FROM (SELECT node_pk, 'CODE_NAME' AS type, unnest(regexp_extract_all(text, '(?i)lantern')) AS v FROM nodes WHERE text IS NOT NULL UNION ALL SELECT node_pk, 'TICKET_ID', unnest(regexp_extract_all(text, '(?i)ZX\\d{10}QT')) FROM nodes WHERE text IS NOT NULL) GROUP BY type""",
     "overlap_resolve": """WITH l AS (SELECT l_orderkey, list([{a: CAST(l_partkey % 40 AS INTEGER), b: CAST(l_partkey % 40 + CAST(floor(l_quantity) AS INTEGER) % 12 + 1 AS INTEGER)}] ORDER BY l_returnflag = 'R', -(CAST(floor(l_quantity) AS INTEGER) % 12), l_linenumber, l_partkey % 40) AS s FROM lineitem GROUP BY 1),
         k AS (SELECT l_orderkey, list_reduce(s, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: x[1].a < y.b AND y.a < x[1].b)) > 0 THEN acc ELSE list_concat(acc, x) END) AS k FROM l)
         SELECT l_orderkey, len(k) AS kept, CAST(list_sum(list_transform(k, lambda y: y.b - y.a)) AS BIGINT) AS covered FROM k""",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroudline.functions import checks
+from shroudline.functions import checks, text
 from shroudline.operators import rules, scrub
 from shroudline.sources.tables import table
 
@@ -215,3 +215,38 @@ ORACLE |= {
         CASE WHEN k = 0 THEN 2 WHEN k IN (1, 4, 5, 6, 7) OR k = 2 AND luhn OR k = 3 AND verhoeff THEN 1 ELSE 0 END AS hits
         FROM (SELECT *, {_LUHN} AS luhn, {_VERHOEFF} AS verhoeff FROM (SELECT {_K}, {_K} % 9 AS k, {_SCRUB} AS t, CASE WHEN {_K} % 9 = 2 THEN {_CARD} ELSE {_AADHAAR} END AS d FROM customer))""",
 }
+
+
+# all rules together over free text, by the other engine -----------------------------------------------------------
+_SPECIALS = "".join(sorted(set(text.ZERO_WIDTH + text.BIDI)))
+_FOLD = f"'{_quoted(text.HOMOGLYPHS + text.DEVANAGARI + text.FULLWIDTH + text.ZERO_WIDTH + text.BIDI)}', '{_quoted(text.HOMOGLYPHS_TO + '0123456789' + text.FULLWIDTH_TO)}'"
+
+
+def _places_sql(i: int) -> str:
+    """Rows (k, s, v, r) of one rule's values with their place in the flat text t: what lies before a match is counted from the pieces between matches."""
+    rule = rules.RULES[i]
+    pattern, group = (_AROUND[i], 1) if i in _AROUND else (rule.pattern.pattern, rule.group)
+    if i == 32:  # the second word is looked at by itself
+        pattern, group = f"{rules._HI_TITLE}\\s+({rules._HI}(?:\\s+{rules._HI})?)", 1
+    p = _quoted(("(?i)" if rule.pattern.flags & 2 else "") + pattern)
+    rows = f"SELECT k, t, unnest(regexp_extract_all(t, '{p}')) AS m, unnest(regexp_extract_all(t, '{p}', {group})) AS v0, unnest(list_transform(range(1, len(ps)), lambda x: CAST(coalesce(list_sum(list_transform(ps[1:x], lambda q: length(q))), 0) + coalesce(list_sum(list_transform(ms[1:x - 1], lambda q: length(q))), 0) AS BIGINT))) AS b FROM (SELECT k, t, regexp_split_to_array(t, '{p}') AS ps, regexp_extract_all(t, '{p}') AS ms FROM texts WHERE regexp_matches(t, '{p}'))"
+    value = "v0"
+    if i == 32:
+        second = f"regexp_extract(v0, '\\s+({rules._HI})$', 1)"
+        value = f"CASE WHEN {second} <> '' AND (regexp_full_match({second}, '{rules._HI_STOP}') OR regexp_matches({second}, '^{rules._HI_CITY}')) THEN regexp_extract(v0, '^{rules._HI}') ELSE v0 END"
+    placed = f"SELECT k, t, CAST(b + length(m) - instr(reverse(m), reverse(v0)) - length(v0) + 1 AS BIGINT) AS s, regexp_replace({value}, '{_TAIL}', '') AS v FROM ({rows}) WHERE v0 <> ''"
+    test = f" AND ({TESTS[i]})" if i in TESTS else ""
+    return f"SELECT k, s, v, {i} AS r FROM (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM ({placed})) WHERE v <> ''{test}"
+
+
+def spans_sql(source: str) -> str:
+    """CTEs up to ``spans`` (k, ord, start, "end", type, "value", weak): all rules over a relation (k, body), overlaps resolved.
+
+    Encoded values and right-to-left runs, which need bytes and reversal, are left to the tests.
+    """
+    every = " UNION ALL ".join(_places_sql(i) for i in range(len(rules.RULES)))
+    types, weak = [r.type for r in rules.RULES], [r.weak for r in rules.RULES]
+    kept = f"CASE WHEN body = t OR length(body) = length(t) THEN range(0, length(body)) ELSE list_filter(range(0, length(body)), lambda i: instr('{_SPECIALS}', substr(body, i + 1, 1)) = 0) END"
+    return f"""texts AS (SELECT k, translate(body, {_FOLD}) AS t, body FROM ({source})), found AS ({every}), lists AS (SELECT k, list([{{a: s, b: s + length(v), r: r, v: v}}] ORDER BY {weak}[r + 1], -length(v), r, s) AS l FROM found GROUP BY k),
+        chosen AS (SELECT k, list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: x[1].a < y.b AND y.a < x[1].b)) > 0 THEN acc ELSE list_concat(acc, x) END) AS c FROM lists), each AS (SELECT k, unnest(c) AS x FROM chosen), places AS (SELECT k, {kept} AS origin FROM texts WHERE k IN (SELECT k FROM chosen)),
+        spans AS (SELECT e.k, CAST(row_number() OVER (PARTITION BY e.k ORDER BY x.a) - 1 AS INTEGER) AS ord, CAST(origin[x.a + 1] AS INTEGER) AS start, CAST(origin[x.b] + 1 AS INTEGER) AS "end", {types}[x.r + 1] AS type, x.v AS "value", {weak}[x.r + 1] AS weak FROM each e JOIN places p ON p.k = e.k)"""

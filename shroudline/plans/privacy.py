@@ -265,7 +265,21 @@ _KIND = f"CASE WHEN type = 'password' THEN 'PASSWORD' WHEN autocomplete = 'cc-nu
 _MATRIX = "CASE data_type " + " ".join(f"WHEN '{t}' THEN category IN ({', '.join(repr(c) for c in allowed)})" for t, allowed in policy.RELEASE.items() if allowed) + " ELSE data_type NOT IN ('IP', 'SECRET') END"
 _SCRUB = f"regexp_replace(regexp_replace(regexp_replace(text, '\\b{scrub.EMAIL}\\b', '[REDACTED_EMAIL]', 'g'), '\\b{scrub.SSN}\\b', '[REDACTED_SSN]', 'g'), '\\b{scrub.PAN}\\b', '[REDACTED_PAN]', 'g')"
 _HOST = r"lower(regexp_extract(href, '(?i)^https?://([^/?#:]+)', 1))"
+_ALL = "WITH " + detection.spans_sql("SELECT node_pk AS k, text AS body FROM nodes WHERE text IS NOT NULL")
+_PIECES = """pieces AS (SELECT k, ord, substr(text, lag("end", 1, 0) OVER w + 1, start - lag("end", 1, 0) OVER w) || token AS piece, "end" AS stop, text FROM tokens JOIN nodes ON node_pk = k WINDOW w AS (PARTITION BY k ORDER BY ord)),
+    spliced AS (SELECT k, string_agg(piece, '' ORDER BY ord) || substr(any_value(text), max(stop) + 1) AS redacted FROM pieces GROUP BY k)"""
+_COARSE_OF = "CASE type " + " ".join(f"WHEN '{t}' THEN '[REDACTED_{c}]'" for t, c in rules.COARSE.items()) + " ELSE '[REDACTED_ID]' END"
+_KEY = "CASE WHEN type IN (" + ", ".join(f"'{t}'" for t in vault.DIGIT_TYPES) + r""") THEN regexp_replace("value", '[^0-9]', '', 'g') ELSE trim(regexp_replace(lower("value"), '[\s\x0B]+', ' ', 'g')) END"""
+_VAULT_SQL = _ALL + f""", scoped AS (SELECT s.*, host, coalesce(task_id, 'page ' || page_id, '') AS scope, {_KEY} AS norm_key FROM spans s JOIN nodes ON node_pk = k),
+    lits AS (SELECT coalesce(task_id, 'page ' || page_id, '') AS scope, unnest(regexp_extract_all(text, '\\[([A-Z_]+)_\\d+\\]', 1)) AS type, TRY_CAST(unnest(regexp_extract_all(text, '\\[[A-Z_]+_(\\d+)\\]', 1)) AS INTEGER) AS n FROM nodes WHERE text IS NOT NULL), tops AS (SELECT scope, type, max(n) AS top FROM lits GROUP BY ALL),
+    vault AS (SELECT f.*, row_number() OVER (PARTITION BY scope, type ORDER BY seen) + coalesce(top, 0) AS n FROM (SELECT scope, type, norm_key, min((k, ord)) AS seen, arg_min(host, (k, ord)) AS origin FROM scoped GROUP BY ALL) f LEFT JOIN tops USING (scope, type))"""
 ORACLE = {
+    "redact_coarse": f"{_ALL}, tokens AS (SELECT *, {_COARSE_OF} AS token FROM spans), {_PIECES} SELECT node_pk, coalesce(redacted, text) AS redacted FROM nodes LEFT JOIN spliced ON k = node_pk WHERE text IS NOT NULL",
+    "vault_catalog": _VAULT_SQL + " SELECT scope, type, CAST(n AS INTEGER) AS n, '[' || type || '_' || n || ']' AS token, type || '_' || n AS label, origin FROM vault",
+    "redact_vault": f"{_VAULT_SQL}, tokens AS (SELECT s.*, '[' || s.type || '_' || v.n || ']' AS token FROM scoped s JOIN vault v ON v.scope = s.scope AND v.type = s.type AND v.norm_key = s.norm_key), {_PIECES} SELECT node_pk, coalesce(redacted, text) AS redacted FROM nodes LEFT JOIN spliced ON k = node_pk WHERE text IS NOT NULL",
+    "spans_full": _ALL + " SELECT k AS node_pk, ord, start, \"end\", type, \"value\", 'rule' AS source, weak FROM spans",
+    "scrub_log": _ALL + " SELECT type, count(*) AS hits, count(DISTINCT k) AS elements FROM spans GROUP BY type",
+    "pii_rollup": _ALL + " SELECT host, type, count(*) AS n, count(DISTINCT k) AS nodes FROM spans JOIN nodes ON node_pk = k GROUP BY ROLLUP (host, type)",
     **{name: _count_sql(rule) for name, rule in COUNTED.items()},
     "resolve_roundtrip": "SELECT node_pk, text AS resolved FROM nodes WHERE text IS NOT NULL",
     "field_allowed": f"SELECT c_custkey, array_to_string(list_sort(cs), ',') AS classes, list_contains(cs, {_ALIAS.format('data_type')}) AS allowed, {_KIND} AS kind FROM ({_CLASSED})",

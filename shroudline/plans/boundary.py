@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroudline.operators import egress, vault
+from shroudline.operators import egress, rules, vault
+from shroudline.plans import detection
+from shroudline.plans.privacy import _LEAVES
 from shroudline.sources.tables import table
 
 
@@ -43,6 +45,8 @@ def sse_deltas(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (json_leaves, egress_gate, rehydrated, sse_deltas)}
 ORACLE = {
+    "egress_gate": f"""WITH {_LEAVES}, {detection.spans_sql("SELECT k, text AS body FROM leaves WHERE text <> ''")}, bad AS (SELECT DISTINCT entry_id, k, path FROM spans JOIN leaves USING (k) WHERE type IN ({', '.join(repr(t) for t in rules.HIGH_RISK)}) AND NOT regexp_matches("value", '^[Xx*]{{4}}'))
+        SELECT entry_id, count(*) AS fixes, array_to_string((list_sort(list_distinct(list(path))))[1:10], ',') AS places FROM bad GROUP BY entry_id""",
     "json_leaves": """SELECT msg_id, k AS path, json_extract_string(last_action_result, '$.' || k) AS text FROM (SELECT msg_id, last_action_result, unnest(json_keys(last_action_result)) AS k FROM step_messages WHERE last_action_result IS NOT NULL AND json_valid(last_action_result))
         WHERE json_type(last_action_result, '$.' || k) = 'VARCHAR'""",
     "rehydrated": """WITH v AS (SELECT c_custkey % 100 AS scope, arg_min(lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) || '@mail.example', c_custkey) AS value FROM customer GROUP BY 1)

@@ -273,7 +273,7 @@ _KEY = "CASE WHEN type IN (" + ", ".join(f"'{t}'" for t in vault.DIGIT_TYPES) +
 _VAULT_SQL = _ALL + f""", scoped AS (SELECT s.*, host, coalesce(task_id, 'page ' || page_id, '') AS scope, {_KEY} AS norm_key FROM spans s JOIN nodes ON node_pk = k),
     lits AS (SELECT coalesce(task_id, 'page ' || page_id, '') AS scope, unnest(regexp_extract_all(text, '\\[([A-Z_]+)_\\d+\\]', 1)) AS type, TRY_CAST(unnest(regexp_extract_all(text, '\\[[A-Z_]+_(\\d+)\\]', 1)) AS INTEGER) AS n FROM nodes WHERE text IS NOT NULL), tops AS (SELECT scope, type, max(n) AS top FROM lits GROUP BY ALL),
     vault AS (SELECT f.*, row_number() OVER (PARTITION BY scope, type ORDER BY seen) + coalesce(top, 0) AS n FROM (SELECT scope, type, norm_key, min((k, ord)) AS seen, arg_min(host, (k, ord)) AS origin FROM scoped GROUP BY ALL) f LEFT JOIN tops USING (scope, type))"""
-def _scrub_steps() -> str:
+def _scrub_steps(source: str = "SELECT node_pk AS k, text AS t FROM nodes WHERE text IS NOT NULL") -> str:
     """CTEs t0, t1 … of the scrub's steps: matches with their pieces between, a match that fails its check stays."""
     digits = "regexp_replace(x, '[^0-9]', '', 'g')"
     ends = "(^|[^A-Za-z0-9_+\\[])", "($|[^0-9])"
@@ -282,18 +282,24 @@ def _scrub_steps() -> str:
         ("UPI", rf"\b{scrub.UPI}\b", "NOT regexp_matches(x, '(?i)@(gmail|yahoo|outlook|hotmail)$') AND NOT regexp_matches(n, '^[.@-][A-Za-z0-9_]')"), ("PHONE", r"(?:\+91[\s-]?|0)?[6-9]\d{4}[\s-]?\d{5}", "NOT regexp_matches(p, '[A-Za-z0-9_+\\[]$') AND NOT regexp_matches(n, '^[0-9]')"),
         ("PHONE", scrub.PHONE, "length(d) BETWEEN 10 AND 15 AND regexp_matches(x, '[+()\\-]') AND NOT regexp_full_match(x, '\\d{4}-\\d{2}-\\d{2}.*')"),
     )
-    out = ["t0 AS (SELECT node_pk AS k, text AS t FROM nodes WHERE text IS NOT NULL)"]
+    out = [f"t0 AS ({source})"]
     for i, (kind, pattern, test) in enumerate(steps):
         p = pattern.replace("'", "''")
         hit = f"SELECT k, i, p, x, n, {digits} AS d FROM (SELECT k, unnest(range(1, len(ms) + 1)) AS i, unnest(ps[1:len(ms)]) AS p, unnest(ms) AS x, unnest(ps[2:]) AS n FROM (SELECT k, regexp_split_to_array(t, '{p}') AS ps, regexp_extract_all(t, '{p}') AS ms FROM t{i} WHERE regexp_matches(t, '{p}')))"
         out.append(f"h{i} AS (SELECT *, coalesce({test}, false) AS ok FROM ({hit}))")
         out.append(f"t{i + 1} AS (SELECT k, CASE WHEN o.r IS NULL THEN t ELSE o.r END AS t FROM t{i} LEFT JOIN (SELECT k, string_agg(p || CASE WHEN ok THEN '{scrub.TOKENS[kind]}' ELSE x END, '' ORDER BY i) || arg_max(n, i) AS r FROM h{i} GROUP BY k) o USING (k))")
     hits = " UNION ALL ".join(f"SELECT k, '{kind}' AS type FROM h{i} WHERE ok" for i, (kind, _, _) in enumerate(steps))
-    return "WITH " + ", ".join(out) + f", hits AS ({hits})"
+    return ", ".join(out) + f", hits AS ({hits})"
+
+
+#: All texts of request bodies with their paths; a body that is no JSON is one text.
+_LEAVES = """leaves AS MATERIALIZED (SELECT row_number() OVER () AS k, entry_id, path, text FROM (SELECT entry_id, regexp_replace(replace(substr(fullkey, 2), '"', ''), '^[.]', '') AS path, value ->> '$' AS text FROM (SELECT entry_id, CAST(body AS JSON) AS j FROM audit_entries WHERE json_valid(body)) b, json_tree(b.j) t
+    WHERE t.type = 'VARCHAR' AND NOT regexp_matches(fullkey, '[.]redactedScreenshot($|[.\\[])') UNION ALL SELECT entry_id, '', body FROM audit_entries WHERE body IS NOT NULL AND NOT json_valid(body)))"""
 
 
 ORACLE = {
-    "server_scrub": _scrub_steps() + " SELECT k AS node_pk, type, CAST(count(*) AS INTEGER) AS hits FROM hits GROUP BY k, type",
+    "audit_scrub": f"WITH {_LEAVES}, {_scrub_steps('SELECT k, text AS t FROM leaves')} SELECT entry_id, type, count(*) AS hits FROM hits JOIN leaves USING (k) GROUP BY entry_id, type",
+    "server_scrub": "WITH " + _scrub_steps() + " SELECT k AS node_pk, type, CAST(count(*) AS INTEGER) AS hits FROM hits GROUP BY k, type",
     "redact_coarse": f"{_ALL}, tokens AS (SELECT *, {_COARSE_OF} AS token FROM spans), {_PIECES} SELECT node_pk, coalesce(redacted, text) AS redacted FROM nodes LEFT JOIN spliced ON k = node_pk WHERE text IS NOT NULL",
     "vault_catalog": _VAULT_SQL + " SELECT scope, type, CAST(n AS INTEGER) AS n, '[' || type || '_' || n || ']' AS token, type || '_' || n AS label, origin FROM vault",
     "redact_vault": f"{_VAULT_SQL}, tokens AS (SELECT s.*, '[' || s.type || '_' || v.n || ']' AS token FROM scoped s JOIN vault v ON v.scope = s.scope AND v.type = s.type AND v.norm_key = s.norm_key), {_PIECES} SELECT node_pk, coalesce(redacted, text) AS redacted FROM nodes LEFT JOIN spliced ON k = node_pk WHERE text IS NOT NULL",

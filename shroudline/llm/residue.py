@@ -84,7 +84,7 @@ UNFILLED = ("undefined", "NaN", "null", "[object Object]")
 _VALUE = re.compile(r"\W*(?:undefined|NaN|null|\[object Object\])\W+\w+(?:\W+\w+){0,4}\W*")
 #: Keys struck at random and the like, and the pattern of such a word.
 STRUCK = ("asdf", "qwerty", "xx", "test", "bla", "foo", "bar", "aaa", "abc", "123")
-_STRUCK = re.compile(r"(?:asdf|qwerty|xx+|test|bla|foo|bar|aaa+|abc|123)+")
+_STRUCK = re.compile(r"\W*(?:(?:asdf|qwerty|xx+|test|bla|foo|bar|aaa+|abc|123)+\W*)+")
 _WORD = re.compile(r"\w")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\u3002\uff01\uff1f\u0964][\"'\u201d\u00bb)\]]*\s+|\n+")
@@ -95,7 +95,7 @@ def automaton():
     import ahocorasick
 
     kinds: dict[str, list[tuple[str, str]]] = {}
-    for word in FILLER:
+    for word in _RARE:  # the everyday words among the filler are looked at only where rare ones stand
         kinds.setdefault(word, []).append(("filler", word))
     for word in STRUCK:
         kinds.setdefault(word, []).append(("struck", word))
@@ -141,14 +141,6 @@ def _sentence(text: str, start: int, end: int) -> tuple[int, int]:
     return first, m.start() + 1 if m else len(text)
 
 
-def _whole_word(low: str, start: int, end: int) -> tuple[int, int]:
-    while start and low[start - 1].isalnum():
-        start -= 1
-    while end < len(low) and low[end].isalnum():
-        end += 1
-    return start, end
-
-
 def coverage(text: str) -> tuple[float, bool]:
     """(the share of the text's letters and digits that verified matches cover, whether whole sentences are)."""
     low = text.lower()
@@ -156,8 +148,7 @@ def coverage(text: str) -> tuple[float, bool]:
         text = low
     covered = bytearray(len(low))
     strong = False
-    filler: list[tuple[int, int]] = []
-    struck: list[tuple[int, int]] = []
+    filler, struck = 0, False
     talks, sentences = None, False
 
     def cover(a: int, b: int) -> None:
@@ -175,27 +166,25 @@ def coverage(text: str) -> tuple[float, bool]:
                         strong = sentences = True
                         cover(*_sentence(text, start, m.end()))
             elif kind == "struck":
-                if _STRUCK.fullmatch(low, *(word := _whole_word(low, start, end))):
-                    struck.append(word)
+                struck = True
             elif not _edge(low, start, end):
                 continue
             elif kind == "phrase":
                 strong |= what not in WEAK
                 cover(start, end)
             elif kind == "filler":
-                filler.append((start, end))
+                filler += 1
             elif not _WORD.search(text, 0, start) and _VALUE.fullmatch(text):
                 strong = True
                 cover(0, len(text))
     if talks:  # a text about templates may quote what it speaks of
         return 0.0, False
-    for a, b in _runs(low, filler):
+    for a, b in _runs(low, [m.span() for m in _LETTERS.finditer(low) if m.group() in FILLER]) if filler >= 3 else ():
         strong = sentences = True
         cover(_sentence(text, a, a)[0], _sentence(text, b, b)[1])
-    if struck and sum(b - a for a, b in set(struck)) == sum(map(len, _LETTERS_DIGITS.findall(low))):
+    if struck and _STRUCK.fullmatch(low):
         strong = True
-        for a, b in struck:
-            cover(a, b)
+        cover(0, len(low))
     if not any(covered) or not strong and low.strip(" .!:\n\t\xa0") not in ALONE:
         return 0.0, False
     for m in _TECH.finditer(text):
@@ -208,9 +197,6 @@ def coverage(text: str) -> tuple[float, bool]:
     return matched / total if total else float(any(covered)), sentences
 
 
-_LETTERS_DIGITS = re.compile(r"[^\W_]+")
-
-
 def residue(text: str | None) -> bool:
     """True if the text is template residue, filler, an error page or a script notice."""
     if not text or text.isspace():

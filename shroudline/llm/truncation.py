@@ -54,12 +54,18 @@ COMPLETE = -99.0
 _SUFFIX = re.compile(r"(?:\s*(?:…|\.{3,}|\[\s*(?:…|\.\.\.)\s*\]|\(\s*(?:…|\.\.\.)\s*\)|�|\s[>»]|&[a-z#]\w{0,6}|</?\w{0,10}(?:\s[^<>]*)?|\\u?[0-9a-fA-F]{0,3}|%[0-9A-Fa-f]?))+\s*$")
 _PUTS = re.compile(r"[….�><&\\%\[(]")
 _MORE = re.compile(r"\s*(?:[\[(]\s*)?(?:…|\.\.\.)\s*(?:read more|show more|see more|more|mehr(?: lesen)?|weiterlesen|lire la suite|(?:leer|ver) más|читать далее|続きを読む)\s*[\])]?\s*$", re.I)
-_CLOSED = re.compile(r"[.!?。।．！？][\"”“»’')\]}（）\s]*$|[\"”“»][\s]*$")
+#: Final marks, what may stand behind them, and quotes that close by themselves.
+_FINAL, _BEHIND, _QUOTES = frozenset(".!?。।．！？"), "\"”“»’')]}（） \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000", frozenset("\"”“»")
 _HELD = re.compile(r"(?:[}>]|\|\*|\]\]|__|%[sd]|\w\)s)$")
 _MARKS = frozenset(".!?。।．！？")
 _TAGS = re.compile(r"(?:\s#\w+)+\s*$")
 
 
+def closed(text: str) -> bool:
+    """The text ends in a final mark, whatever quotes, brackets and spaces stand behind it, or in a closing quote."""
+    return text.rstrip(_BEHIND)[-1:] in _FINAL or text.rstrip()[-1:] in _QUOTES
+
+
 def split_suffix(text: str) -> tuple[str, str]:
     """(the text, what was put after a cut)."""
     start = max(0, len(text) - 32)
@@ -99,7 +105,7 @@ LABEL = 60
 def taught(text: str) -> tuple[list[str], list[tuple[str, str]]]:
     """The words and neighbours a text teaches: all but its last word, which may be cut."""
     found = words_of(text)
-    last = found[-1:] if found and _CLOSED.search(text) else []
+    last = found[-1:] if found and closed(text) else []
     return found[:-1] + last, list(zip(found[:-2], found[1:-1]))
 
 
@@ -146,7 +152,7 @@ def ending(text: str, role: str | None) -> tuple[list[str], tuple] | None:
         return None
     body, suffix = split_suffix(text)
     stripped = body.rstrip()
-    if not stripped or _CLOSED.search(stripped):
+    if not stripped or closed(stripped):
         return None
     at = 0
     for m in _INNER.finditer(stripped):
@@ -286,12 +292,12 @@ def corpus_counts(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         for batch in batches:
             held, pairs = [], []
-            for t in batch.column(0).to_pylist():
+            for t, n in Counter(batch.column(0).to_pylist()).items():  # neighbouring rows often hold one text
                 found = words_of(t)
                 if found:
-                    last = len(found) if _CLOSED.search(t) else len(found) - 1
-                    held += found[:last]
-                    pairs += zip(found[:-2], found[1:-1])
+                    last = len(found) if closed(t) else len(found) - 1
+                    held += found[:last] * n
+                    pairs += list(zip(found[:-2], found[1:-1])) * n
             singles.update(held)
             beside.update(pairs)
             if len(singles) + len(beside) > 200_000:

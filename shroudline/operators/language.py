@@ -71,6 +71,17 @@ def pieces(text: str, vocabulary: dict[str, int], unknown: str = "[UNK]", longes
     return out[:limit]
 
 
+def piece_counts(c: Column, vocabulary: dict[str, int], unknown: str = "[UNK]") -> Column:
+    """struct(pieces, unknown): how many sub-words a text has under a small vocabulary, and how many words have none; whole texts."""
+
+    @F.pandas_udf("struct<pieces:int,unknown:int>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [[p for p, _, _ in pieces(t, vocabulary, unknown, limit=len(t) + 1)] if t is not None else [] for t in texts]
+        return pd.DataFrame({"pieces": [len(f) for f in found], "unknown": [f.count(unknown) for f in found]}, dtype="int32")
+
+    return run(c)
+
+
 def word_counts(c: Column) -> Column:
     """Number of tokenizer words, vectorised."""
 

@@ -65,6 +65,15 @@ def next_row_meta(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nodes").withColumn("meta_text", F.lead("text").over(w)).where("node_role = 'link'").select("node_pk", "meta_text")
 
 
+#: Sub-words of the query below: single letters, and two words that match longer.
+_PIECES = {p: i for i, p in enumerate([*"abcdefghijklmnopqrstuvwxyz", *[f"##{x}" for x in "abcdefghijklmnopqrstuvwxyz"], "the", "and"])}
+
+
+def word_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Sub-words of all texts by longest match."""
+    return table(spark, d, "nodes").where("text is not null").select("node_pk", language.piece_counts(F.col("text"), _PIECES).alias("p")).select("node_pk", "p.*")
+
+
 #: Addresses and titles of the pages of the query below.
 _WALL = {"u": "concat('https://', CASE WHEN page_id % 4 = 0 THEN 'x.com' ELSE 'a.example' END, CASE page_id % 7 WHEN 0 THEN '/sign_in?next=1' WHEN 1 THEN '/authors' ELSE '/page' END)", "title": "CASE WHEN page_id % 11 = 0 THEN 'Just a moment...' END", "said": "CASE WHEN node_pk % 40 = 0 THEN 'Log in or sign up' WHEN node_pk % 97 = 0 THEN 'Checking your browser' ELSE text END", "label": "CASE WHEN node_pk % 31 = 0 THEN 'Password' ELSE label END", "src": "CASE WHEN node_pk % 53 = 0 THEN 'https://hcaptcha.example/x' WHEN node_pk % 59 = 0 THEN 'https://g.example/recaptcha/api2/anchor' ELSE src END"}
 
@@ -82,7 +91,7 @@ def distinct_detection(spark: SparkSession, d: str) -> DataFrame:
     return nodes.join(once.where("found > 0"), (nodes["h"] == once["h"]) & (nodes["text"] == once["t"])).select("node_pk", "found")
 
 
-QUERIES = {f.__name__: f for f in (known_site, sanitize_url, word_counts, label_runs, lookup, action_problems, transient_errors, fitts, next_row_meta, login_walls, distinct_detection)}
+QUERIES = {f.__name__: f for f in (known_site, sanitize_url, word_counts, word_pieces, label_runs, lookup, action_problems, transient_errors, fitts, next_row_meta, login_walls, distinct_detection)}
 _NEED = " ".join(f"WHEN t IN ({', '.join(repr(k) for k in kinds)}) AND coalesce(json_extract_string(a, '$.{f}'), '') = '' THEN 'needs_{f}'" for f, kinds in language.NEEDS.items())
 _SITE_OF = " ".join(f"WHEN '{a}' THEN '{u}'" for a, u in language.KNOWN_SITES.items())
 _SITE_ON = " ".join(f"WHEN regexp_matches(low, '\\b(?:on|from|in|at|search|using)\\s+(?:the\\s+)?{a.replace('.', '[.]')}\\b') THEN '{u}'" for a, u in language.KNOWN_SITES.items())
@@ -96,6 +105,7 @@ ORACLE = {
     "distinct_detection": f"SELECT node_pk, CAST(len(regexp_extract_all({_FLAT}, '{rules.RULES[1].pattern.pattern}')) AS INTEGER) AS found FROM nodes WHERE text IS NOT NULL AND regexp_matches({_FLAT}, '{rules.RULES[1].pattern.pattern}')",
     "sanitize_url": f"SELECT node_pk, {_AT} || CASE WHEN node_pk % 20 = 0 THEN '/u/[REDACTED_EMAIL]/in' ELSE regexp_replace(regexp_extract(regexp_replace(h, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '^[^?#]*'), '{_ACCOUNT}', '\\1[REDACTED_ID]') END || CASE WHEN regexp_matches(h, '^[^#]*\\?') THEN '?…' ELSE '' END AS url FROM (SELECT node_pk, {_LINK} AS h FROM nodes WHERE href IS NOT NULL)",
     "word_counts": f"SELECT node_pk, CAST(len(regexp_extract_all(text, '[{_ALONE}]|[^{_ALONE}{_WHITE}]+')) AS INTEGER) AS words FROM nodes WHERE text IS NOT NULL",
+    "word_pieces": f"SELECT node_pk, CAST(coalesce(list_sum(list_transform(ws, lambda w: CASE WHEN NOT regexp_full_match(w, '[a-z]{{1,100}}') THEN 1 WHEN starts_with(w, 'the') OR starts_with(w, 'and') THEN length(w) - 2 ELSE length(w) END)), 0) AS INTEGER) AS pieces, CAST(len(list_filter(ws, lambda w: NOT regexp_full_match(w, '[a-z]{{1,100}}'))) AS INTEGER) AS unknown FROM (SELECT node_pk, list_transform(regexp_extract_all(text, '[{_ALONE}]|[^{_ALONE}{_WHITE}]+'), lambda x: strip_accents(lower(x))) AS ws FROM nodes WHERE text IS NOT NULL)",
     "known_site": f"SELECT msg_id, CASE WHEN regexp_matches(low, 'https?://') THEN NULL WHEN CASE {_SITE_TO} {_SITE_OF} END IS NOT NULL THEN CASE {_SITE_TO} {_SITE_OF} END {_SITE_ON} END AS url FROM (SELECT msg_id, lower(CASE msg_id % 3 WHEN 0 THEN 'open GitHub and ' || prompt WHEN 1 THEN prompt || ' on Wikipedia' ELSE prompt END) AS low FROM step_messages WHERE prompt IS NOT NULL)",
     "lookup": "SELECT host, CASE default_lang WHEN 'de' THEN 'Deutsch' WHEN 'fr' THEN 'Français' WHEN 'en' THEN 'English' ELSE default_lang END AS name FROM site_hosts",
     "action_problems": f"SELECT msg_id, CASE WHEN NOT coalesce(json_valid(a), false) OR a = '' THEN 'not_an_object' WHEN t IS NULL OR t NOT IN ({', '.join(repr(k) for k in language.ACTIONS)}) THEN 'bad_type' {_NEED} END AS problem FROM (SELECT msg_id, action_json AS a, CASE WHEN json_valid(action_json) THEN json_extract_string(action_json, '$.type') END AS t FROM step_messages WHERE action_json IS NOT NULL)",

@@ -89,8 +89,13 @@ def html_nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"key": k, **r} for k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in scan(h)]
-            yield pa.RecordBatch.from_pylist(rows, schema=_FIELDS)
+            keys, found = [], []
+            for k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                elements = scan(h)
+                keys += [k] * len(elements)
+                found += elements
+            columns = [keys, *[[r[f.name] for r in found] for f in list(_FIELDS)[1:]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FIELDS)], schema=_FIELDS)
 
     schema = "key bigint, pos int, tag string, role string, text string, href string, value string, interactive boolean"
     return pages.select(F.col(key).cast("bigint").alias("key"), F.col(html)).mapInArrow(run, schema).withColumnRenamed("key", key)
